@@ -4,20 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cms, lpf
+from . import cms, decontam, jaccard, lpf, mixing, quality, tokencount, tokenstore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf.dedup_substrings(table(spark, sf_dir, "documents"), 50)
 
 
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_count_min_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cms.dedup_windows(table(spark, sf_dir, "documents"), 13)
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op5_count_min_dedup)}
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_cube_mixing, op3_suffix_array_dedup, op4_spaced_seed_decontamination, op5_count_min_dedup, op8_token_output, op9_token_counts, op10_jaccard_join)
+}
 ORACLE_SQL: dict[str, str] = {}

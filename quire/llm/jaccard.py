@@ -280,3 +280,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     full = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
     return full.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each class of near duplicates, the one with the smallest doc_id, with all columns of docs.
+
+    Of rows that share this doc_id the one whose text hashes lowest stays.  Rows without words are classes of their own
+    and stay, as do rows without a doc_id whose class has no other.
+    """
+    found = near_duplicates(docs, k, percent).where("doc_id <=> component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_shingles"))
+    named = F.col("doc_id").cast("long")
+    firsts = found.where("doc_id is not null").select(F.col("doc_id").alias("_id"))
+    kept = docs.join(firsts, named == F.col("_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    again = kept.groupBy(named.alias("_id")).agg(F.count("*").alias("_n"), F.min(F.xxhash64("text")).alias("_least")).where("_n > 1 and _id is not null")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, named == F.col("_id"))
+    first = twice.where(F.xxhash64("text") == F.col("_least")).dropDuplicates(["_id"]).select(*docs.columns)
+    return kept.join(again, named == F.col("_id"), "left_anti").unionByName(first)

@@ -42,13 +42,41 @@ def targets(sizes: dict[str | None, int], most: int = MOST, weights: tuple[int,
     return out
 
 
+def lead(sizes: np.ndarray, probability: np.ndarray, draws: np.ndarray, most: int = 200, all_below: int = 600) -> np.ndarray:
+    """Settles the first rows (the largest) while all later ones can still take up their words.
+
+    A row moves along the projection of its own axis on the null space, so that every open row gives way a little.
+    """
+    p, s = probability.copy(), sizes.astype(np.float64)
+    for i in range(len(p) if len(p) <= all_below else most):
+        while _EPS < p[i] < 1 - _EPS:
+            at = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+            if len(at) < 4:
+                return p
+            x = s[at] - s[at].mean()
+            spread = (x * x).sum()
+            own = int(np.searchsorted(at, i))
+            d = -(1 / len(at) + (x[own] * x / spread if spread > 0 else 0))
+            d[own] += 1
+            d[np.abs(d) < 1e-12] = 0
+            if not d[own] > 0:
+                break
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.nanmin(np.where(d > 0, (1 - p[at]) / d, np.where(d < 0, p[at] / -d, np.inf)))
+                down = np.nanmin(np.where(d > 0, p[at] / d, np.where(d < 0, (1 - p[at]) / -d, np.inf)))
+            p[at] += (up if draws[i] * (up + down) < down else -down) * d
+            p[p < _EPS] = 0
+            p[p > 1 - _EPS] = 1
+    return p
+
+
 def fly(sizes: np.ndarray, probability: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Flight phase with the constraints sum(p) and sum(p * size): at most two p are left between 0 and 1.
 
     draws: a number in [0, 1) for each row, that decides the direction of the step in which the row comes in.  Rows come
     in order, so the last ones are left over.
     """
-    p = probability.tolist()
+    p = lead(sizes, probability, draws).tolist()
     s = sizes.tolist()
     u = draws.tolist()
     held: list[int] = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cms, decontam, jaccard, lpf, mixing, quality, tokencount, tokenstore
+from . import cms, decontam, html, jaccard, license, lpf, mixing, quality, tokencount, tokenstore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op5_count_min_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cms.dedup_windows(table(spark, sf_dir, "documents"), 13)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -51,6 +59,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_cube_mixing, op3_suffix_array_dedup, op4_spaced_seed_decontamination, op5_count_min_dedup, op8_token_output, op9_token_counts, op10_jaccard_join)
+    for f in (op1_quality_rules, op2_cube_mixing, op3_suffix_array_dedup, op4_spaced_seed_decontamination, op5_count_min_dedup, op6_html_extraction, op7_license_scan, op8_token_output, op9_token_counts, op10_jaccard_join)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .blocks import U, Block
 from .cms import split_parts
-from .graph import components
+from .graph import joined
 from .lpf import shortened
 
-#: Lists up to this size have their remaining pairs compared at once: at most half as many comparisons a row.
-SMALL_LIST = 48
-#: Sets of a larger list that all others are compared with in one round.
-STARS = 8
+#: Comparisons that are made at once, for each row of the lists and at least; beyond them, stars go first.
+PAIRS_A_ROW, LEAST_PAIRS = 4, 50_000
+#: Sets of a list that all others are compared with in one round; classes up to which they are compared pairwise.
+STARS, FEW_CLASSES = 8, 32
+#: Rows of one list that its elements are charged for when the boundary is chosen.
+SCAN = 8
 
 
 class Sets:
@@ -59,8 +61,8 @@ class Sets:
         self.size = np.diff(self.first)
         sums = [np.concatenate([[U(0)], np.cumsum(B.mix(self.values ^ U(s)), dtype=np.uint64)]) for s in (0x1234567, 0x89ABCDEF0)]
         a, b = (B.mix(s[self.first[1:]] - s[self.first[:-1]] + self.size.astype(np.uint64)) for s in sums)
-        self.print = np.stack([a, b], 1)
-        _, at = np.unique(self.print, axis=0, return_index=True)
+        self.print = np.ascontiguousarray(np.stack([a, b], 1))
+        _, at = np.unique(self.print.view("V16").reshape(-1), return_index=True) if len(self.print) else (None, [])
         #: The first of the documents with one set.
         self.heads = np.zeros(len(block.ids), bool)
         self.heads[at] = True
@@ -94,29 +96,28 @@ def describe(row: dict, k: int, n_shards: int, bits: int, percent: int) -> pa.Re
     """A row for each document; sets that can have a link also get their prefix, from rare to frequent."""
     block = Block(row)
     sets = Sets(block, k)
-    key, _ = shortened(*(lambda v: (v, np.ones(len(v), np.uint8)))(np.unique(sets.values[sets.heads[sets.doc]])), bits)
+    own = np.unique(sets.values[sets.heads[sets.doc]])
+    key, _ = shortened(own, np.ones(len(own), np.uint8), bits)
     df = np.zeros(len(key), np.uint16)
     replies = B.reply_map(row, "counts")
     for shard, s in B.by_shard(key, n_shards):
         df[s] = np.frombuffer(B.unzip_bytes(replies[0, shard]), np.uint16)
-    out: dict[str, list] = {x: [] for x in ("prefix", "single", "light_cost", "heavy_cost")}
-    for i in range(len(block.ids)):
-        prefix = None
-        single = light = heavy = 0
-        n = int(sets.size[i])
-        if sets.heads[i] and n > 1:
-            v = sets.values[sets.first[i] : sets.first[i + 1]]
-            f = df[np.searchsorted(key, v >> U(64 - bits) << U(64 - bits))]
-            need = least_overlap(n, percent)
-            alone = int((f < 2).sum())
-            if n - alone >= need:
-                order = np.lexsort((v, f))[: n - need + 2]
-                at = order[f[order] > 1]
-                prefix = v[at].view(np.int64)
-                single = max(0, n - need + 1 - alone)
-                light, heavy = len(at) * (len(at) - 1) // 2, int(f[at[:single]].astype(np.int64).sum())
-        for x, y in zip(out, (prefix, single, light, heavy)):
-            out[x].append(y)
+    n_docs = len(block.ids)
+    out: dict[str, list] = {"prefix": [None] * n_docs} | {x: [0] * n_docs for x in ("single", "light_cost", "heavy_cost")}
+    freq = df[np.searchsorted(key, sets.values >> U(64 - bits) << U(64 - bits))]
+    total = np.concatenate([[0], np.cumsum(freq < 2)])
+    alone = total[sets.first[1:]] - total[sets.first[:-1]]
+    need = least_overlap(sets.size, percent)
+    # a set with fewer shared elements than it needs has no link
+    for i in np.flatnonzero(sets.heads & (sets.size > 1) & (sets.size - alone >= need)).tolist():
+        v, f = sets.values[sets.first[i] : sets.first[i + 1]], freq[sets.first[i] : sets.first[i + 1]]
+        n = len(v)
+        order = np.lexsort((v, f))[: n - need[i] + 2]
+        at = order[f[order] > 1]
+        out["prefix"][i] = v[at].view(np.int64)
+        out["single"][i] = single = max(0, int(n - need[i] + 1 - alone[i]))
+        out["light_cost"][i] = len(at) * (len(at) - 1) // 2
+        out["heavy_cost"][i] = int(np.minimum(f[at[:single]], SCAN).astype(np.int64).sum())
     raw = sets.print.tobytes()
     return pa.RecordBatch.from_arrays(
         [
@@ -209,43 +210,58 @@ def verified(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
 
 
+def distinct_lists(live: DataFrame) -> DataFrame:
+    """One of the lists with the same members; near copies share many elements, and so many equal lists."""
+    own = live.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")).where("size > 1")
+    first = own.groupBy("size", "p", "q").agg(F.min("sig").alias("sig")).select("sig")
+    return live.join(first, "sig", "left_semi")
+
+
 def links(members: DataFrame, values: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of all sets with a link, from the lists (sig, node, n)."""
-    spark = members.sparkSession
+    """(node, root) of all sets with a link, from the lists (sig, node, n).
+
+    First every list is compared with its smallest set.  Then, while lists hold several classes: if the pairs between
+    classes are at most PAIRS_A_ROW for each row of the lists, all of them are compared, and that is the end; else the
+    classes' smallest sets are compared with each other (in lists of few classes), and those of the STARS smallest
+    classes with the whole list, which they then leave.
+    """
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    found = checked = roots = None
-    live, first = members, True
+    star = members.groupBy("sig").agg(F.min(F.struct("n", "node")).alias("r"))
+    pairs = members.join(star, "sig").select(F.col("r.node").alias("x"), F.col("r.n").alias("na"), F.col("node").alias("y"), F.col("n").alias("nb")).where("x <> y")
+    used = star.select("sig", F.col("r.node").alias("node"))
+    budget = PAIRS_A_ROW * members.count() + LEAST_PAIRS
+    live, checked, roots, last = members, None, None, False
     while True:
-        if first:
-            star = live.groupBy("sig").agg(F.min(F.struct("n", "node")).alias("r"))
-            pairs = live.join(star, "sig").select("sig", F.col("r.node").alias("x"), F.col("r.n").alias("na"), F.col("node").alias("y"), F.col("n").alias("nb")).where("x <> y")
-            used = star.select("sig", F.col("r.node").alias("node"))
-        else:
-            # stars are taken from the smallest classes of a list
-            few = live.where(f"size <= {SMALL_LIST}")
-            many = live.where(f"size > {SMALL_LIST}")
-            own = few.select("sig", "root", F.col("node").alias("x"), F.col("n").alias("na"))
-            pairs = own.join(few.select("sig", F.col("root").alias("rb"), F.col("node").alias("y"), F.col("n").alias("nb")), "sig").where("x < y and root <> rb").select("sig", "x", "na", "y", "nb")
-            held = many.groupBy("sig", "root").agg(F.count("*").alias("held"), F.min(F.struct("n", "node")).alias("r"))
-            stars = held.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list(F.struct("held", "r", "root"))), 1, STARS).alias("s")).select("sig", F.explode("s").alias("s")).select("sig", "s.root", F.col("s.r.node").alias("x"), F.col("s.r.n").alias("na"))
-            stars = B.written(stars, "stars")
-            pairs = pairs.union(stars.join(many.select("sig", F.col("root").alias("rb"), F.col("node").alias("y"), F.col("n").alias("nb")), "sig").where("x <> y and root <> rb").select("sig", "x", "na", "y", "nb"))
-            used = few.select("sig", "node").union(stars.select("sig", F.col("x").alias("node")))
         new = pairs.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if checked is not None:
             new = new.join(checked, ["a", "b"], "left_anti")
         new = B.written(new, "pairs")
         checked = new if checked is None else checked.union(new)
-        good = B.written(verified(new, values, percent), "links")
-        found = good if found is None else found.union(good)
-        roots = components(found)
-        rest = (live if first else live.select("sig", "node", "n")).join(used, ["sig", "node"], "left_anti")
+        roots = joined(roots, B.written(verified(new, values, percent), "links"))
+        if last:
+            return roots
+        rest = live.select("sig", "node", "n").join(used, ["sig", "node"], "left_anti")
         rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        size = rest.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig", "size")
-        live = B.written(rest.join(size, "sig").select("sig", "node", "n", "root", "size"), "live")
-        first = False
-        if live.isEmpty():
+        mixed = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+        live = B.written(distinct_lists(B.written(rest.join(mixed, "sig", "left_semi"), "rest")), "live")
+        classes = B.written(live.groupBy("sig", "root").agg(F.count("*").alias("held"), F.min(F.struct("n", "node")).alias("r")), "classes")
+        lists_ = classes.groupBy("sig").agg(F.sum("held").alias("size"), F.sum(F.col("held") * F.col("held")).alias("square"), F.count("*").alias("classes"))
+        total = lists_.agg(F.sum(F.col("size") * F.col("size") - F.col("square"))).first()[0]
+        if not total:
             return roots
+        side = lambda df, root, node, n: df.select("sig", F.col("root").alias(root), F.col("node").alias(node), F.col("n").alias(n))
+        if total <= 2 * budget:
+            last = True
+            pairs = side(live, "ra", "x", "na").join(side(live, "rb", "y", "nb"), "sig").where("ra <> rb and x < y")
+            continue
+        heads = classes.select("sig", "root", F.col("r.node").alias("node"), F.col("r.n").alias("n"))
+        few = heads.join(lists_.where(f"classes <= {FEW_CLASSES}").select("sig"), "sig", "left_semi")
+        between = side(few, "ra", "x", "na").join(side(few, "rb", "y", "nb"), "sig").where("x < y")
+        stars = classes.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list(F.struct("held", "r", "root"))), 1, STARS).alias("s")).select("sig", F.explode("s").alias("s")).select("sig", "s.root", F.col("s.r.node").alias("node"), F.col("s.r.n").alias("n"))
+        stars = B.written(stars, "stars")
+        around = side(stars, "ra", "x", "na").join(side(live, "rb", "y", "nb"), "sig").where("ra <> rb")
+        pairs = between.union(around)
+        used = stars.select("sig", "node")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -271,7 +287,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = B.written(nodes, "nodes")
     every = lists(nodes, boundary(nodes), percent)
     shared = every.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    members = B.written(every.join(shared, "sig"), "lists")
+    members = B.written(distinct_lists(B.written(every.join(shared, "sig"), "lists")), "lists")
     wanted = nodes.select("node", "block_id", "idx").join(members.select("node").distinct(), "node", "left_semi")
     values = B.written(set_values(table, wanted, k), "values")
     roots = links(members, values, percent)

@@ -25,6 +25,8 @@ from .blocks import U, Block
 from .cms import split_parts
 
 GRAM = 24
+#: Smaller blocks and shards than elsewhere: suffixes take 50 bytes each where they are sorted.
+BLOCK_BYTES, SHARDS_A_PARTITION = 3 << 20, 8
 #: Documents with a minimizer from which on its suffixes are dealt one by one.
 HOT = 512
 
@@ -267,10 +269,12 @@ def factors(kind: int, shard: int, blobs: list[bytes], length: int) -> list[byte
     windows = np.ascontiguousarray(sliding_window_view(text, length)[at]).view(f"S{length}").reshape(-1)
     order = np.argsort(windows)
     order_doc = place[order]
-    run = windows[order]
     # common prefixes count up to `length` only: between runs of equal windows they are shorter
     same = np.zeros(len(order), bool)
-    same[1:] = run[1:] == run[:-1]
+    for a in range(1, len(order), 1 << 16):
+        own = windows[order[a - 1 : a + (1 << 16)]]
+        same[a : a + (1 << 16)] = own[1:] == own[:-1]
+    del windows
     group = np.cumsum(~same)
     before, after = smaller_neighbours(order_doc)
     reach = (before >= 0) & (group[before] == group) | (after < len(order)) & (group[np.minimum(after, len(order) - 1)] == group)
@@ -321,8 +325,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     not looked at.
     """
     spark = docs.sparkSession
-    table = B.block_table(docs)
-    n_shards = B.shard_count(spark)
+    table = B.block_table(docs, BLOCK_BYTES)
+    n_shards = SHARDS_A_PARTITION * B.partitions(spark)
     bits = min(64, int(np.ceil(np.log2(B.total_bytes(table) // 8 + 2))) + 8)
     known = B.written(B.answer(B.send(table, lambda r: ask_shared(r, length, n_shards, bits)), shared), "shared")
     asked = B.with_replies(table, known, "shared")

@@ -29,6 +29,10 @@ GRAM = 24
 BLOCK_BYTES, SHARDS_A_PARTITION = 3 << 20, 8
 #: Documents with a minimizer from which on its suffixes are dealt one by one.
 HOT = 512
+#: Suffixes that are sorted in full at once (more where more have the same first eight bytes).
+RANGE = 1 << 17
+#: Bytes of a block whose minimizers are sought at once (more where a document is longer).
+SCAN_BYTES = 1 << 19
 
 
 # ---------------------------------------------------------------- arrays of one text or shard
@@ -157,7 +161,7 @@ class Runs:
 def keys_of(block: Block, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct minimizers of a block and in how many of its documents each stands (up to 255)."""
     keys, docs = [], []
-    for a, _, data, offsets in block.pieces():
+    for a, _, data, offsets in block.pieces(SCAN_BYTES):
         r = Runs(data, offsets, length)
         keys.append(r.key)
         docs.append(r.doc + a)
@@ -214,7 +218,7 @@ class Parcels:
         for shard, s in B.by_shard(key, n_shards):
             levels[s] = np.frombuffer(B.unzip_bytes(replies[0, shard]), np.uint8)
         dealt, place, size, doc, digest = [], [], [], [], []
-        for a, _, data, offsets in block.pieces():
+        for a, _, data, offsets in block.pieces(SCAN_BYTES):
             r = Runs(data, offsets, length)
             level = levels[np.searchsorted(key, r.key >> U(64 - bits) << U(64 - bits))]
             warm, hot = level == 1, level == 2
@@ -255,33 +259,65 @@ def ask_factors(row: dict, length: int, n_shards: int, bits: int) -> Iterator[tu
         yield 0, shard, b"".join(len(x).to_bytes(4, "little") + x for x in parts)
 
 
+def distinct_strings(text: bytes, size: np.ndarray) -> np.ndarray:
+    """Number of the distinct string that each of the strings laid end to end is."""
+    seen: dict[bytes, int] = {}
+    ends = np.cumsum(size)
+    return np.fromiter((seen.setdefault(text[a:b], len(seen)) for a, b in zip((ends - size).tolist(), ends.tolist())), np.int64, len(size))
+
+
+def reaching(text: np.ndarray, at: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Of suffixes at `at`: does the longest previous factor over smaller places reach `length`?
+
+    Suffixes are ordered by their first eight bytes, then range by range of that order in full.
+    """
+    out = np.zeros(len(at), bool)
+    prefix = np.ascontiguousarray(sliding_window_view(text, 8)[at]).view(">u8").reshape(-1).astype(np.uint64)
+    by_prefix = np.argsort(prefix)
+    prefix = prefix[by_prefix]
+    edges = np.append(np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])), len(at))
+    del prefix
+    lo = 0
+    while lo < len(at):
+        i = int(np.searchsorted(edges, lo + RANGE, "right")) - 1
+        hi = int(edges[i]) if edges[i] > lo else int(edges[i + 1])
+        own = by_prefix[lo:hi]
+        windows = np.ascontiguousarray(sliding_window_view(text, length)[at[own]]).view(f"S{length}").reshape(-1)
+        order = np.argsort(windows)
+        windows = windows[order]
+        # common prefixes count up to `length` only: between runs of equal windows they are shorter
+        group = np.cumsum(np.append(True, windows[1:] != windows[:-1]))
+        before, after = smaller_neighbours(place[own][order])
+        out[own[order]] = (before >= 0) & (group[before] == group) | (after < len(order)) & (group[np.minimum(after, len(order) - 1)] == group)
+        lo = hi
+    return out
+
+
 def factors(kind: int, shard: int, blobs: list[bytes], length: int) -> list[bytes]:
-    """Sorts the suffixes of a shard; a bit for each: does its longest previous factor reach `length`?"""
+    """Sorts the suffixes of a shard; a bit for each: does its longest previous factor reach `length`?
+
+    A string that several blocks sent is sorted once, for the smallest doc_id that has it: in later documents an earlier
+    one has all of it.
+    """
     parts = [split_parts(b) for b in blobs]
     sizes = [B.unpack_ints(p[0]).astype(np.int64) for p in parts]
     size = np.concatenate(sizes)
     ids = np.concatenate([B.unpack_ints(p[1]).astype(np.int64) for p in parts])
-    text = np.frombuffer(b"".join(B.unzip_bytes(p[2]) for p in parts), np.uint8)
+    text = b"".join(B.unzip_bytes(p[2]) for p in parts)
+    of = distinct_strings(text, size)
+    order = np.lexsort((ids, of))
+    heads = order[np.append(True, of[order][1:] != of[order][:-1])]
     count = size - length + 1
-    first = np.cumsum(size) - size
-    at = spread(first, count)
-    place = np.repeat(ids, count)
-    windows = np.ascontiguousarray(sliding_window_view(text, length)[at]).view(f"S{length}").reshape(-1)
-    order = np.argsort(windows)
-    order_doc = place[order]
-    # common prefixes count up to `length` only: between runs of equal windows they are shorter
-    same = np.zeros(len(order), bool)
-    for a in range(1, len(order), 1 << 16):
-        own = windows[order[a - 1 : a + (1 << 16)]]
-        same[a : a + (1 << 16)] = own[1:] == own[:-1]
-    del windows
-    group = np.cumsum(~same)
-    before, after = smaller_neighbours(order_doc)
-    reach = (before >= 0) & (group[before] == group) | (after < len(order)) & (group[np.minimum(after, len(order) - 1)] == group)
-    out = np.empty(len(order), bool)
-    out[order] = reach
-    n = np.add.reduceat(count, np.concatenate([[0], np.cumsum([len(x) for x in sizes])[:-1]])) if len(count) else []
-    return [B.pack_bits(x) for x in np.split(out, np.cumsum(n)[:-1])]
+    own = count[heads]
+    reach = reaching(np.frombuffer(text, np.uint8), spread((np.cumsum(size) - size)[heads], own), np.repeat(ids[heads], own), length)
+    edge = np.cumsum(own) - own
+    later = ids > ids[heads][of]
+    out, lo = [], 0
+    for x in sizes:
+        s = slice(lo, lo + len(x))
+        out.append(B.pack_bits(reach[spread(edge[of[s]], count[s])] | np.repeat(later[s], count[s])))
+        lo += len(x)
+    return out
 
 
 def cut(row: dict, length: int, n_shards: int, bits: int) -> pa.RecordBatch:

@@ -10,10 +10,12 @@ last few of a source are landed with one constraint given up at a time, words la
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,8 +161,13 @@ def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
     doc_id, source and text) are drawn as one unit, in its first place, and then share its outcome: their common extra
     copy weighs the sum of their sizes.  An empty table gives no rows; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    rows = B.written(count_words(docs), "sizes")
+    return drawn(count_words(docs), seed).select("doc_id", "size", "source_size", "target", "taken", "copies", "source", "unit")
+
+
+def drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows of (source, size, unit) and others, with source_size, target, taken and copies."""
+    spark = rows.sparkSession
+    rows = B.written(rows, "sizes")
     sizes = {r.source: r.size for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     goal = targets(sizes)
     plan = [(s, n, float(goal[s]), min(float(MOST), goal[s] / n) if n else 0.0) for s, n in sizes.items()]
@@ -185,12 +192,79 @@ def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
         left = left.where("p > 0 and p < 1")
     done = done.where("p = 1").select("unit", F.lit(1).alias("extra"))
     out = rows.join(done, "unit", "left").withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source", "unit")
+    return out.withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def row_table(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """All rows of docs, with source and unit after their own columns, as compressed blocks bucketed by block_id."""
+    spark = docs.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as stream:
+                for b in held:
+                    stream.write_batch(b)
+            body = B.zip_bytes(sink.getvalue().to_pybytes(), 3)
+            return pa.RecordBatch.from_pydict({"block_id": pa.array([(part << 24) + seq], pa.int64()), "n_docs": pa.array([sum(map(len, held))], pa.int32()), "body": pa.array([body], pa.binary())})
+
+        size = 0
+        for batch, _, _ in B.pieces(batches, 1 << 20):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= block_bytes:
+                yield packed()
+                seq, size, held = seq + 1, 0, []
+        if held:
+            yield packed()
+
+    # longer than any column's name, so that none clashes
+    mark = "_" * (1 + max(map(len, docs.columns)))
+    source = F.col("source").cast("string")
+    own = docs.select("*", source.alias(f"{mark}source"), F.xxhash64(F.col("doc_id").cast("long"), source, "text").alias(f"{mark}unit"))
+    name = f"quire_rows_{uuid.uuid4().hex}"
+    own.mapInArrow(run, "block_id long, n_docs int, body binary").write.bucketBy(B.partitions(spark), "block_id").option("path", f"{B.shared_dir(spark)}/rows").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def unpacked(body: bytes) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches of a block, each with the number of its first row."""
+    at = 0
+    for batch in pa.ipc.open_stream(B.unzip_bytes(body)):
+        yield at, batch
+        at += batch.num_rows
+
+
+def repeated(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with all its columns.
+
+    Texts are written once in blocks and never shuffled; only a row's number and its copies travel.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for block, body in zip(rows.column("block_id").to_pylist(), rows.column("body")):
+                for at, b in unpacked(body.as_py()):
+                    n = b.num_rows
+                    size = B.Words(*B.texts_of(b)).counts.astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(at, at + n)), b.column(b.num_columns - 2), b.column(b.num_columns - 1), pa.array(size)], ["block_id", "at", "source", "unit", "size"])
 
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                row = rows.slice(i, 1).to_pylist()[0]
+                copies = np.zeros(row["n_docs"], np.int64)
+                copies[[x["at"] for x in row["taken"]]] = [x["copies"] for x in row["taken"]]
+                for at, b in unpacked(row["body"]):
+                    own = copies[at : at + b.num_rows]
+                    b = pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2])
+                    for c in range(1, int(own.max(initial=0)) + 1):
+                        yield b.filter(pa.array(own >= c))
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with all its columns."""
-    copies = mixed(docs).where("copies > 0").groupBy("unit").agg(F.max("copies").alias("_copies"))
-    rows = docs.withColumn("_unit", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text"))
-    full = rows.join(copies.withColumnRenamed("unit", "_unit"), "_unit")
-    return full.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    table = row_table(docs)
+    sizes = table.select("block_id", "body").mapInArrow(count, "block_id long, at long, source string, unit long, size long")
+    taken = drawn(sizes, seed).where("copies > 0").groupBy("block_id").agg(F.collect_list(F.struct("at", "copies")).alias("taken"))
+    return table.join(taken, "block_id").select("n_docs", "body", "taken").mapInArrow(repeat, docs.schema)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import cms, decontam, gbt, html, jaccard, license, lpf, mixing, quality, tokencount, tokenstore
 from quire.llm.queries import vocabulary
@@ -161,7 +162,15 @@ def test_mixing(docs, rows, empty):
     taken = collections.Counter()
     for r in got:
         taken[r.source] += r.taken
-    assert mixing.repeated(docs).columns == docs.columns
+    mix = mixing.repeated(docs.withColumn("unit", F.lit(7)).withColumn("Copies", F.lit("x")))
+    assert mix.columns == docs.columns + ["unit", "Copies"]
+    want = collections.Counter()
+    for r in got:
+        want[r.doc_id] += r.copies
+    assert collections.Counter(r.doc_id for r in mix.collect()) == +want
+    own = dict(rows)
+    assert all(r.text == own[r.doc_id] and r.unit == 7 for r in mix.collect())
+    assert mixing.repeated(empty).count() == 0
     assert mixing.targets({"a": 10, "b": 1000, None: 10}) == {"a": 30.0, "b": 960.0, None: 30.0}
     assert mixing.mixed(empty).count() == 0
 

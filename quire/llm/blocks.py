@@ -8,6 +8,7 @@ occurs in a third of all rows is one entry per block, so no group grows with a h
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Stands for a null doc_id: it comes after every other id.
 NO_ID = np.iinfo(np.int64).max
 
@@ -54,6 +55,25 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its tasks, and other stages need the room."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases its memory when its task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 # ---------------------------------------------------------------- hashes
 
 
@@ -272,7 +292,7 @@ def block_table(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_column: str
         if ids:
             yield flush()
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCK_SCHEMA)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), BLOCK_SCHEMA)
     name = f"quire_blocks_{uuid.uuid4().hex}"
     rows.write.bucketBy(partitions(spark), "block_id").option("path", f"{shared_dir(spark)}/blocks").format("parquet").saveAsTable(name)
     return spark.table(name)
@@ -302,7 +322,7 @@ def send(blocks: DataFrame, make: Callable[[dict], Iterator[tuple[int, int, byte
                         {"kind": pa.array([x[0] for x in out], pa.int32()), "shard": pa.array([x[1] for x in out], pa.int32()), "block_id": pa.array([row["block_id"]] * len(out), pa.int64()), "blob": pa.array([x[2] for x in out], pa.binary())}
                     )
 
-    return blocks.mapInArrow(run, MESSAGE)
+    return blocks.mapInArrow(tidy(run), MESSAGE)
 
 
 def answer(messages: DataFrame, reply: Callable[[int, int, list[bytes]], list[bytes]]) -> DataFrame:
@@ -314,6 +334,7 @@ def answer(messages: DataFrame, reply: Callable[[int, int, list[bytes]], list[by
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         out = reply(table.column("kind")[0].as_py(), table.column("shard")[0].as_py(), table.column("blob").to_pylist())
+        release()
         return pa.table({"kind": table.column("kind"), "shard": table.column("shard"), "block_id": table.column("block_id"), "blob": pa.array(out, pa.binary())})
 
     back = messages.groupBy("kind", "shard").applyInArrow(run, MESSAGE)

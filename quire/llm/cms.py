@@ -193,4 +193,4 @@ def dedup_windows(docs: DataFrame, k: int = 13) -> DataFrame:
             for i in range(batch.num_rows):
                 yield cut(batch.slice(i, 1).to_pylist()[0], k, width_bits, n_shards)
 
-    return B.with_replies(asked, later, "later").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return B.with_replies(asked, later, "later").mapInArrow(B.tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")

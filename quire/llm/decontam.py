@@ -155,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     doc, item, n, first = (np.array(x, np.int64) for x in zip(*found))
                     yield pa.RecordBatch.from_arrays([B.id_array(ids[doc]), pa.array(own.ids[item]), pa.array(n), pa.array(own.counts[item].astype(np.int64)), pa.array(first)], ["doc_id", "item_id", "n_equal", "item_words", "first_word"])
 
-        out = out.union(rows.mapInArrow(run, LEAK))
+        out = out.union(rows.mapInArrow(B.tidy(run), LEAK))
     return out
 
 
@@ -172,5 +172,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[x[0] for x in own.leaks(data, offsets)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(B.tidy(run), docs.schema)
     return docs

@@ -351,4 +351,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = main_text([own[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], trees)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(B.tidy(run), "page_id long, url string, text string, n_chars long")

@@ -26,6 +26,8 @@ from .cms import split_parts
 from .graph import joined
 from .lpf import shortened
 
+#: Bytes of text in a block; its sets' arrays take about ten times as much.
+BLOCK_BYTES = 4 << 20
 #: Comparisons that are made at once, for each row of the lists and at least; beyond them, stars go first.
 PAIRS_A_ROW, LEAST_PAIRS = 4, 50_000
 #: Sets of a list that all others are compared with in one round; classes up to which they are compared pairwise.
@@ -174,7 +176,7 @@ def lists(nodes: DataFrame, most_light: int, percent: int) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(part.num_rows), counts))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), part.column("node").take(take), part.column("n").take(take)], ["sig", "node", "n"])
 
-    return nodes.select("node", "n", "single", "prefix").mapInArrow(run, "sig long, node binary, n long")
+    return nodes.select("node", "n", "single", "prefix").mapInArrow(B.tidy(run), "sig long, node binary, n long")
 
 
 def set_values(blocks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -190,7 +192,7 @@ def set_values(blocks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     own = row["wanted"][at : at + 500]
                     yield pa.RecordBatch.from_pydict({"node": pa.array([x["node"] for x in own], pa.binary()), "hashes": pa.array([sets.values[sets.first[x["idx"]] : sets.first[x["idx"] + 1]].tobytes() for x in own], pa.binary())})
 
-    return asked.mapInArrow(run, "node binary, hashes binary")
+    return asked.mapInArrow(B.tidy(run), "node binary, hashes binary")
 
 
 def verified(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +209,7 @@ def verified(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "ha", "hb").mapInArrow(B.tidy(run), "a binary, b binary")
 
 
 def distinct_lists(live: DataFrame) -> DataFrame:
@@ -272,7 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with null only where its class has no other.  An empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
-    table = B.block_table(docs)
+    table = B.block_table(docs, BLOCK_BYTES)
     n_shards = B.shard_count(spark)
     bits = min(64, int(np.ceil(np.log2(B.total_bytes(table) // 4 + 2))) + 10)
     known = B.answer(B.send(table, lambda r: ask_counts(r, k, n_shards, bits)), counts)
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             for i in range(batch.num_rows):
                 yield describe(batch.slice(i, 1).to_pylist()[0], k, n_shards, bits, percent)
 
-    rows = B.written(B.with_replies(table, known, "counts").mapInArrow(run, DESCRIBED), "sets")
+    rows = B.written(B.with_replies(table, known, "counts").mapInArrow(B.tidy(run), DESCRIBED), "sets")
     nodes = rows.where("prefix is not null").groupBy("node").agg(F.min_by(F.struct("block_id", "idx", F.col("n_shingles").alias("n"), "single", "prefix", "light_cost", "heavy_cost"), "block_id").alias("s")).select("node", "s.*")
     nodes = B.written(nodes, "nodes")
     every = lists(nodes, boundary(nodes), percent)

@@ -373,4 +373,4 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
             for i in range(batch.num_rows):
                 yield cut(batch.slice(i, 1).to_pylist()[0], length, n_shards, bits)
 
-    return B.with_replies(asked, found, "factors").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return B.with_replies(asked, found, "factors").mapInArrow(B.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -151,7 +151,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("unit"), pa.array(size)], ["doc_id", "source", "unit", "size"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "source", "text").alias("unit"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, unit long, size long")
+    return rows.mapInArrow(B.tidy(run), "doc_id long, source string, unit long, size long")
 
 
 def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -195,7 +195,7 @@ def drawn(rows: DataFrame, seed: int) -> DataFrame:
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def row_table(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def row_table(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """All rows of docs, with source and unit after their own columns, as compressed blocks bucketed by block_id."""
     spark = docs.sparkSession
 
@@ -226,7 +226,7 @@ def row_table(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     source = F.col("source").cast("string")
     own = docs.select("*", source.alias(f"{mark}source"), F.xxhash64(F.col("doc_id").cast("long"), source, "text").alias(f"{mark}unit"))
     name = f"quire_rows_{uuid.uuid4().hex}"
-    own.mapInArrow(run, "block_id long, n_docs int, body binary").write.bucketBy(B.partitions(spark), "block_id").option("path", f"{B.shared_dir(spark)}/rows").format("parquet").saveAsTable(name)
+    own.mapInArrow(B.tidy(run), "block_id long, n_docs int, body binary").write.bucketBy(B.partitions(spark), "block_id").option("path", f"{B.shared_dir(spark)}/rows").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -265,6 +265,6 @@ def repeated(docs: DataFrame, seed: int = 42) -> DataFrame:
                         yield b.filter(pa.array(own >= c))
 
     table = row_table(docs)
-    sizes = table.select("block_id", "body").mapInArrow(count, "block_id long, at long, source string, unit long, size long")
+    sizes = table.select("block_id", "body").mapInArrow(B.tidy(count), "block_id long, at long, source string, unit long, size long")
     taken = drawn(sizes, seed).where("copies > 0").groupBy("block_id").agg(F.collect_list(F.struct("at", "copies")).alias("taken"))
-    return table.join(taken, "block_id").select("n_docs", "body", "taken").mapInArrow(repeat, docs.schema)
+    return table.join(taken, "block_id").select("n_docs", "body", "taken").mapInArrow(B.tidy(repeat), docs.schema)

@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest |
         for batch, data, offsets in B.pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(B.ids_of(batch)), pa.array(list(statistics(data, offsets)[1]), pa.list_(pa.float64()))], ["doc_id", "features"])
 
-    found = picked.mapInArrow(run, "doc_id long, features array<double>").dropDuplicates(["doc_id"]).collect()
+    found = picked.mapInArrow(B.tidy(run), "doc_id long, features array<double>").dropDuplicates(["doc_id"]).collect()
     found.sort(key=lambda r: r.doc_id)
     y = np.array([rows[r.doc_id] for r in found], np.float64)
     if len(y) < 20 or y.min() == y.max():
@@ -120,7 +120,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             counts, failed, kept, score = verdicts(data, offsets, forest)
             yield pa.RecordBatch.from_arrays([B.id_array(B.ids_of(batch)), *(pa.array(counts[:, i]) for i in range(5)), pa.array(failed), pa.array(kept), pa.array(score)], [x.split()[0] for x in SCORED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(B.tidy(run), SCORED)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -131,4 +131,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch, data, offsets in B.pieces(batches):
             yield batch.filter(pa.array(verdicts(data, offsets, forest)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(B.tidy(run), docs.schema)

@@ -285,4 +285,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             n = count_tokens([own[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], path)
             yield pa.RecordBatch.from_arrays([B.id_array(B.ids_of(batch)), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(B.tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

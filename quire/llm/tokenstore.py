@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str) -> tuple[DataFrame, bytes]:
         if ids:
             yield flush()
 
-    return B.written(dealt.mapInArrow(run, WRITTEN), "tokens"), dictionary
+    return B.written(dealt.mapInArrow(B.tidy(run), WRITTEN), "tokens"), dictionary
 
 
 def read_tokens(segments: DataFrame, dictionary: bytes) -> DataFrame:
@@ -190,7 +190,7 @@ def read_tokens(segments: DataFrame, dictionary: bytes) -> DataFrame:
                 crc = [zlib.crc32(s.tokens(i).astype("<u4").tobytes()) for i in range(len(s))]
                 yield pa.RecordBatch.from_arrays([B.id_array(np.array(s.ids)), pa.array(start), pa.array(np.array(s.n_tokens)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.select("shard", "before", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("shard", "before", "blob").mapInArrow(B.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ occurs in a third of all rows is one entry per block, so no group grows with a h
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,7 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    made().append(path)
+    return path
+
+
+_local = threading.local()
+
+
+def made() -> list[str]:
+    """Folders that this thread's operators have made so far."""
+    if not hasattr(_local, "paths"):
+        _local.paths = []
+    return _local.paths
+
+
+def drop(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the folders made since then, but for those of tables named in keep.
+
+    For tables of an operator that no frame it returns reads; what they led to must have been written.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    for folder in made()[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(conf)
+        if not any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")) for name in keep):
+            fs.delete(path, True)
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:

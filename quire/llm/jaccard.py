@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with null only where its class has no other.  An empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
+    begun = len(B.made())
     table = B.block_table(docs, BLOCK_BYTES)
     n_shards = B.shard_count(spark)
     bits = min(64, int(np.ceil(np.log2(B.total_bytes(table) // 4 + 2))) + 10)
@@ -292,9 +293,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = B.written(distinct_lists(B.written(every.join(shared, "sig"), "lists")), "lists")
     wanted = nodes.select("node", "block_id", "idx").join(members.select("node").distinct(), "node", "left_semi")
     values = B.written(set_values(table, wanted, k), "values")
+    B.drop(spark, begun, keep=("sets", "lists", "values"))
     roots = links(members, values, percent)
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = B.written(least, "least")
+    B.drop(spark, begun, keep=("sets", "least"))
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     full = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
     return full.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -63,27 +63,59 @@ def neighbours(lines: DataFrame, depth: int) -> DataFrame:
     return lines.where(f"slot < {depth}")
 
 
-def furniture(lines: DataFrame, depth: int = 3, least: float = 0.6) -> DataFrame:
-    """doc_id, page_no, slot, strength, is_header for the first lines of each page of documents of three pages or more.
+def similar_lines(key, other, gap):
+    """Score of two line keys `gap` pages apart: 1 if they count the pages (one number advances by gap, the others stay), else their similarity."""
+    same_shape = T.number_shape(key) == T.number_shape(other)
+    steps = F.zip_with(T.numbers(key), T.numbers(other), lambda a, b: F.try_subtract(b.try_cast("long"), a.try_cast("long")))
+    counting = same_shape & (F.size(F.filter(steps, lambda s: s == gap)) == 1) & (F.size(F.filter(steps, lambda s: s == 0)) == F.size(steps) - 1)
+    return F.when(F.coalesce(counting, F.lit(False)), 1.0).otherwise(T.similarity(key, other))
+
+
+def edge_strength(ranked: DataFrame, depth: str, name: str) -> DataFrame:
+    """Adds the strength of each line as the one that is `depth` lines from its edge of the page.
 
-    A line's strength is the larger of its mean similarity to the same line one page away and up to two pages away; a
-    counting line (one number that advances with the page) counts as equal, a neighbour page without the line as 0.
-    Lines are headers from the top down to the first weak one.
+    The larger of two means: over the pages two before and two after, and over the pages one before and one after.  A
+    page without a line at this depth counts as 0, one that the document has not is left out.
     """
-    pages = lines.groupBy("doc_id").agg((F.max("page_no") + 1).alias("n_pages")).where("n_pages >= 3")
-    top = lines.where(F.col("slot") < depth).join(pages, "doc_id").select("doc_id", "page_no", "slot", "n_pages", T.line_key(F.col("line")).alias("key"))
-    own = top.withColumn("other", F.explode(F.array([F.col("page_no") + d for d in (-2, -1, 1, 2)]))).where("other >= 0 and other < n_pages")
-    there = top.select("doc_id", F.col("page_no").alias("other"), "slot", F.col("key").alias("other_key"))
-    pairs = own.join(there, ["doc_id", "other", "slot"], "left")
-    gap = F.col("other") - F.col("page_no")
-    same_shape = T.number_shape(F.col("key")) == T.number_shape(F.col("other_key"))
-    steps = F.zip_with(T.numbers(F.col("key")), T.numbers(F.col("other_key")), lambda a, b: F.try_subtract(b.try_cast("long"), a.try_cast("long")))
-    counting = same_shape & (F.size(F.filter(steps, lambda s: s == gap)) == 1) & (F.size(F.filter(steps, lambda s: s == 0)) == F.size(steps) - 1)
-    score = F.when(F.coalesce(counting, F.lit(False)), 1.0).otherwise(F.coalesce(T.similarity(F.col("key"), F.col("other_key")), F.lit(0.0)))
-    scored = pairs.select("doc_id", "page_no", "slot", (F.abs(gap) == 1).alias("next"), score.alias("score"))
-    strength = scored.groupBy("doc_id", "page_no", "slot").agg(F.round(F.greatest(F.avg("score"), F.coalesce(F.avg(F.when(F.col("next"), F.col("score"))), F.lit(0.0))), 6).alias("strength"))
-    run = F.min((F.col("strength") >= least).cast("int")).over(W.partitionBy("doc_id", "page_no").orderBy("slot"))
-    return strength.withColumn("is_header", run == 1)
+    own = W.partitionBy("doc_id", depth).orderBy("page_no")
+    key, page = F.col("key"), F.col("page_no")
+    # the line `gap` pages on is among the next `gap` rows
+    at = lambda gap, row: F.when(F.lead(page, row).over(own) == page + gap, F.lead(key, row).over(own))
+    ahead = ranked.withColumns({"_other1": at(1, 1), "_other2": F.coalesce(at(2, 1), at(2, 2))})
+    score = lambda gap: F.coalesce(similar_lines(key, F.col(f"_other{gap}"), gap), F.lit(0.0))
+    ahead = ahead.withColumns({f"_on{gap}": score(gap) for gap in (1, 2)})
+    back = lambda gap, row: F.when(F.lag(page, row).over(own) == page - gap, F.lag(f"_on{gap}", row).over(own))
+    both = ahead.withColumns({"_back1": F.coalesce(back(1, 1), F.lit(0.0)), "_back2": F.coalesce(back(2, 1), back(2, 2), F.lit(0.0))})
+
+    def mean(gap):
+        n = (page >= gap).cast("int") + (page + gap < F.col("n_pages")).cast("int")
+        return F.when(n > 0, (F.col(f"_on{gap}") + F.col(f"_back{gap}")) / n).otherwise(0.0)
+
+    scored = both.withColumn(name, F.round(F.greatest(mean(1), mean(2)), 6))
+    return scored.drop(*[f"_{part}{gap}" for part in ("other", "on", "back") for gap in (1, 2)])
+
+
+def furniture(lines: DataFrame, least: float = 0.6) -> DataFrame:
+    """doc_id, page_no, slot, strength, is_header, foot_strength, is_footer of every line with text, in documents of three pages or more.
+
+    Lines are aligned by their place from the top of the page for heads, from its bottom for feet.  A run goes inward
+    from its edge over all lines of the page, to the first one that is weak, that lies more than two line sizes from the
+    line before it, or that is set at more than 1.25 times the document's median size.  Feet stop at the head.
+    """
+    text = lines.select("doc_id", "page_no", "slot", "size", "y", T.line_key(F.col("line")).alias("key"))
+    pages = text.groupBy("doc_id").agg((F.max("page_no") + 1).alias("n_pages"), T.upper_median(F.collect_list(F.when(F.col("key") != "", F.col("size")))).alias("body")).where("n_pages >= 3")
+    down, up = (W.partitionBy("doc_id", "page_no").orderBy(o) for o in (F.col("slot"), F.col("slot").desc()))
+    ranked = text.where("key <> ''").join(pages, "doc_id").withColumns({"top": F.row_number().over(down), "foot": F.row_number().over(up)})
+    scored = edge_strength(edge_strength(ranked, "top", "strength"), "foot", "foot_strength")
+
+    def run(strength, order):
+        near = F.coalesce(F.abs(F.lag("y").over(order) - F.col("y")) <= 2 * F.lag("size").over(order), F.lit(True))
+        good = (F.col(strength) >= least) & near & (F.col("size") <= 1.25 * F.col("body"))
+        return good.cast("int")
+
+    good = scored.withColumns({"_head": run("strength", down), "_foot": run("foot_strength", up)})
+    marked = good.withColumns({"is_header": F.min("_head").over(down) == 1, "is_footer": F.min("_foot").over(up) == 1})
+    return marked.select("doc_id", "page_no", "slot", "strength", "is_header", "foot_strength", (F.col("is_footer") & ~F.col("is_header")).alias("is_footer"))
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:

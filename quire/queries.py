@@ -182,12 +182,13 @@ def level_reconcile(spark, sf_dir):
 
 
 def with_heads(spark, sf_dir):
-    """Pages with a head line and a folio before their own lines."""
-    own = lines(spark, sf_dir).select("doc_id", "page_no", "slot", "line", "source")
+    """Pages with a head line and a folio over their own lines."""
+    own = lines(spark, sf_dir).select("doc_id", "page_no", "slot", "line", "source", "size", "y")
     pages = own.select("doc_id", "page_no", "source").distinct()
-    head = pages.select("doc_id", "page_no", F.lit(0).cast("long").alias("slot"), F.concat(F.lit("From "), F.coalesce("source", F.lit("?"))).alias("line"))
-    folio = pages.select("doc_id", "page_no", F.lit(1).cast("long").alias("slot"), F.concat(F.lit("Page "), (F.col("page_no") + 1).cast("string")).alias("line"))
-    return head.union(folio).union(own.select("doc_id", "page_no", (F.col("slot") + 2).alias("slot"), "line"))
+    made = lambda slot, line: pages.select("doc_id", "page_no", F.lit(slot).cast("long").alias("slot"), line.alias("line"), F.lit(10.0).alias("size"), F.lit(798.0 - 14 * slot).alias("y"))
+    head = made(0, F.concat(F.lit("From "), F.coalesce("source", F.lit("?"))))
+    folio = made(1, F.concat(F.lit("Page "), (F.col("page_no") + 1).cast("string")))
+    return head.union(folio).union(own.select("doc_id", "page_no", (F.col("slot") + 2).alias("slot"), "line", "size", "y"))
 
 
 @query(WITH_LINES + f""", pg AS (SELECT DISTINCT doc_id, page_no, source FROM lines),
@@ -205,7 +206,12 @@ strong AS (SELECT doc_id, page_no, slot::BIGINT AS slot, round(greatest(avg(scor
 SELECT *, min((strength >= 0.6)::INT) OVER (PARTITION BY doc_id, page_no ORDER BY slot) = 1 AS is_header FROM strong""")
 def furniture_header(spark, sf_dir):
     # letters beyond ASCII become one sign: the twin's edit distance counts bytes
-    return layout.furniture(with_heads(spark, sf_dir).withColumn("line", F.regexp_replace("line", "[^\\x00-\\x7F]", "?")))
+    return layout.furniture(with_heads(spark, sf_dir).withColumn("line", F.regexp_replace("line", "[^\\x00-\\x7F]", "?"))).select("doc_id", "page_no", "slot", "strength", "is_header")
+
+
+@query()
+def furniture_footer(spark, sf_dir):
+    return layout.furniture(with_heads(spark, sf_dir).withColumn("line", F.regexp_replace("line", "[^\\x00-\\x7F]", "?"))).select("doc_id", "page_no", "slot", F.col("foot_strength").alias("strength"), "is_footer")
 
 
 @query(WITH_LINES + "SELECT doc_id, (para_no + 1)::BIGINT AS island, min(line_no) AS first_line, count(*)::BIGINT AS n_lines, sum(n_words)::BIGINT AS n_words FROM lines GROUP BY 1, 2")

@@ -205,13 +205,12 @@ scored AS (SELECT doc_id, page_no, slot, abs(d) = 1 AS next, CASE
 strong AS (SELECT doc_id, page_no, slot::BIGINT AS slot, round(greatest(avg(score), coalesce(avg(score) FILTER (next), 0.0)), 6) AS strength FROM scored GROUP BY 1, 2, 3)
 SELECT *, min((strength >= 0.6)::INT) OVER (PARTITION BY doc_id, page_no ORDER BY slot) = 1 AS is_header FROM strong""")
 def furniture_header(spark, sf_dir):
-    # letters beyond ASCII become one sign: the twin's edit distance counts bytes
-    return layout.furniture(with_heads(spark, sf_dir).withColumn("line", F.regexp_replace("line", "[^\\x00-\\x7F]", "?"))).select("doc_id", "page_no", "slot", "strength", "is_header")
+    return layout.furniture(with_heads(spark, sf_dir)).select("doc_id", "page_no", "slot", "strength", "is_header")
 
 
 @query()
 def furniture_footer(spark, sf_dir):
-    return layout.furniture(with_heads(spark, sf_dir).withColumn("line", F.regexp_replace("line", "[^\\x00-\\x7F]", "?"))).select("doc_id", "page_no", "slot", F.col("foot_strength").alias("strength"), "is_footer")
+    return layout.furniture(with_heads(spark, sf_dir)).select("doc_id", "page_no", "slot", F.col("foot_strength").alias("strength"), "is_footer")
 
 
 @query(WITH_LINES + "SELECT doc_id, (para_no + 1)::BIGINT AS island, min(line_no) AS first_line, count(*)::BIGINT AS n_lines, sum(n_words)::BIGINT AS n_words FROM lines GROUP BY 1, 2")

@@ -1,5 +1,9 @@
 """Furniture against brute force: two means by neighbour, runs over all lines of a page, heads and feet."""
 
+from pyspark.sql import functions as F
+
+from quire import queries as Q
+from quire.functions import text as T
 from quire.operators import layout
 
 SCHEMA = "doc_id long, page_no long, slot long, line string, size double, y double"
@@ -83,3 +87,19 @@ def test_deep_runs_feet_and_bounds(spark):
     assert all(got[p, s][1] for p in range(6) for s in range(5)) and got[0, 8][3] and got[0, 7][3] and not got[0, 6][3]
     assert not found(spark, [r for r in rows if r[0] == 2])
     assert [found(spark, [r for r in rows if r[0] == 3])[p, 0][1] for p in range(3)] == [True, False, True]
+
+
+def test_queries_equal_brute_force_on_unchanged_lines(spark, tmp_path):
+    words = ["été", "Straße", "日本語", "привет", "norm", "Ελλάδα", "x"]
+    page = lambda d, p: "\n".join(["Überschrift é", "中文" * 4 if p % 2 else "привет ми", *[f"{words[(d + p * i) % 7]} {words[(p + i) % 7]}" for i in range(18)]])
+    docs = [(d, "\n".join(page(d, p) for p in range(3 + d)), "quelle é") for d in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = Q.with_heads(spark, str(tmp_path)).select("doc_id", "page_no", "slot", T.line_key(F.col("line")), "size", "y").collect()
+    head = {tuple(r)[:3]: tuple(r)[3:] for r in Q.furniture_header(spark, str(tmp_path)).collect()}
+    foot = {tuple(r)[:3]: tuple(r)[3:] for r in Q.furniture_footer(spark, str(tmp_path)).collect()}
+    assert head.keys() == foot.keys()
+    for d in range(4):
+        want = brute([tuple(r)[1:] for r in rows if r[0] == d])
+        same({k[1:]: (*head[k], *foot[k]) for k in head if k[0] == d}, want)
+    # unlike letters are unlike
+    assert head[0, 1, 3][0] < 0.6

@@ -1,10 +1,12 @@
 """Benchmark decontamination with spaced seeds.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters.  A seed is a window of words of which a fixed
-mask looks at six and ignores the others, so a replaced word breaks only the seeds that look at it.  Seeds that a
+mask looks at some and ignores the others, so a replaced word breaks only the seeds that look at it.  The masks are chosen
+so that every overlap which the verifier admits leaves a seed intact, whichever words are replaced or cut off.  Seeds that a
 document and a benchmark item share are put on diagonals (place in the document less place in the item), and each
 diagonal is verified word by word: a leak is a stretch of min(13, item) words of which at least 80 % are equal.
-Items of fewer words than a mask spans are looked up as whole word sequences, from MIN_WORDS words on.
+Items of 5 to 8 words have shorter masks of their own, items of 4 words are seeds as a whole; items of fewer than
+MIN_WORDS words are not looked for.
 """
 
 from __future__ import annotations
@@ -19,9 +21,17 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .blocks import U
 
-#: Places that each mask looks at.
-MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 3, 5, 7, 8), (0, 1, 2, 5, 6, 8), (0, 3, 4, 5, 7, 8))
-SPAN = 9
+#: Places that each mask looks at, by the words of the item; the last entry serves all items from 9 words on.  Of 5 to 9
+#: words one may differ, of 10 to 13 two.
+MASKS = {
+    4: ((0, 1, 2, 3),),
+    5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)),
+    6: ((0, 1, 2, 3), (0, 1, 3, 4)),
+    7: ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 4, 5)),
+    8: ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 6)),
+    9: ((0, 1, 2, 3, 5, 6), (0, 1, 4, 5, 6, 7), (0, 1, 3, 4, 7, 8), (0, 1, 2, 3, 5, 7), (0, 2, 4, 5, 6, 7)),
+}
+LONG = 9
 MIN_WORDS = 4
 STRETCH = 13
 EQUAL_PERCENT = 80
@@ -42,7 +52,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[B.Words, np.ndar
 
 def seed_hashes(wh: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     """Hash of the seed that starts at each word; texts are not looked at."""
-    n = max(0, len(wh) - SPAN + 1)
+    n = max(0, len(wh) - mask[-1])
     out = np.zeros(n, np.uint64)
     for j in mask:
         out = (out + wh[j : j + n]) * U(0x9FB21C651E98DF25 + 2 * j)
@@ -56,19 +66,18 @@ class Benchmark:
     def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray):
         w, self.words = word_hashes(data, offsets)
         self.ids, self.first, self.counts = ids, w.first, w.counts
-        keys, items, places, kinds = [], [], [], []
-        at = B.window_starts(w.first, w.counts, SPAN)
-        for m, mask in enumerate(MASKS):
-            if len(at):
-                keys.append(seed_hashes(self.words, mask)[at] ^ U(m + 1))
+        keys, items, places = [], [], []
+        #: (mask, salt) of the masks that items of this part need.
+        self.masks = []
+        for size in sorted({min(int(n), LONG) for n in w.counts if n >= MIN_WORDS}):
+            own = (w.counts == size) if size < LONG else (w.counts >= LONG)
+            for mask in MASKS[size]:
+                self.masks.append((mask, U(100 * size + len(self.masks) + 1)))
+                at = B.window_starts(w.first, w.counts, mask[-1] + 1)
+                at = at[own[w.doc[at]]]
+                keys.append(seed_hashes(self.words, mask)[at] ^ self.masks[-1][1])
                 items.append(w.doc[at])
                 places.append(at - w.first[w.doc[at]])
-        self.short = sorted({int(n) for n in w.counts if MIN_WORDS <= n < SPAN})
-        for n in self.short:
-            own = np.flatnonzero(w.counts == n)
-            keys.append(B.span_hashes(self.words, w.first[own], w.first[own] + n) ^ U(100 + n))
-            items.append(own)
-            places.append(np.zeros(len(own), np.int64))
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
         self.key = key[order]
@@ -90,13 +99,10 @@ class Benchmark:
         """(text, item, equal words, first word) of every verified overlap, the best for each text and item."""
         w, wh = word_hashes(data, offsets)
         found = []
-        at = B.window_starts(w.first, w.counts, SPAN)
-        for m, mask in enumerate(MASKS):
-            if len(at) and len(self.key):
-                found.append(self.hits(seed_hashes(wh, mask)[at] ^ U(m + 1), at))
-        for n in self.short:
-            own = B.window_starts(w.first, w.counts, n)
-            found.append(self.hits(B.span_hashes(wh, own, own + n) ^ U(100 + n), own))
+        for mask, salt in self.masks:
+            at = B.window_starts(w.first, w.counts, mask[-1] + 1)
+            if len(at):
+                found.append(self.hits(seed_hashes(wh, mask)[at] ^ salt, at))
         if not found:
             return []
         word, item, place = (np.concatenate(x) for x in zip(*found))

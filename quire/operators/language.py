@@ -11,8 +11,8 @@ SCRIPTS = {"latin": "\\p{IsLatin}", "cyrillic": "\\p{IsCyrillic}", "greek": "\\p
 
 
 def script_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, letters, and the letters of each script in the sample."""
-    s = F.substring("text", 1, SAMPLE_CHARS)
+    """doc_id, letters, and the letters of each script in the whole text."""
+    s = F.col("text")
     return docs.select("doc_id", F.regexp_count(s, F.lit("\\p{L}")).cast("long").alias("letters"), *[F.regexp_count(s, F.lit(f"[{p}&&\\p{{L}}]")).cast("long").alias(n) for n, p in SCRIPTS.items()])
 
 
@@ -22,13 +22,15 @@ def stopword_table(spark: SparkSession) -> DataFrame:
 
 
 def guess(docs: DataFrame) -> DataFrame:
-    """doc_id, guessed: a language or an empty string where it is too close to call.
+    """doc_id, guessed: a language or an empty string where it is too close to call.  Only a sample is looked at, the
+    first SAMPLE_CHARS characters.
 
     One exchange: tokens meet the function words in a broadcast join of fixed size, and votes are counted by document.
     """
     spark = docs.sparkSession
+    docs = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     scripts = script_counts(docs)
-    tokens = docs.select("doc_id", F.explode(F.filter(F.split(F.lower(F.substring("text", 1, SAMPLE_CHARS)), "[^\\p{L}]+"), lambda t: t != "")).alias("token"))
+    tokens = docs.select("doc_id", F.explode(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda t: t != "")).alias("token"))
     words = stopword_table(spark)
     total = tokens.groupBy("doc_id").agg(F.count("*").alias("total"))
     votes = tokens.join(F.broadcast(words), "token").groupBy("doc_id", "guess").agg(F.count("*").alias("n"))

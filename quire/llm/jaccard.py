@@ -13,6 +13,7 @@ yet no link between classes is lost.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +95,12 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
-def describe(row: dict, k: int, n_shards: int, bits: int, percent: int) -> pa.RecordBatch:
+def marks(block: Block) -> list[bytes]:
+    """The MD5 of each text; a null text is an empty one."""
+    return [hashlib.md5(data[x:y].tobytes()).digest() for _, _, data, offsets in block.pieces() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def describe(row: dict, k: int, n_shards: int, bits: int, percent: int, marked: bool = False) -> pa.RecordBatch:
     """A row for each document; sets that can have a link also get their prefix, from rare to frequent."""
     block = Block(row)
     sets = Sets(block, k)
@@ -132,8 +138,9 @@ def describe(row: dict, k: int, n_shards: int, bits: int, percent: int) -> pa.Re
             pa.array(out["single"], pa.int32()),
             pa.array(out["light_cost"], pa.int64()),
             pa.array(out["heavy_cost"], pa.int64()),
+            *([pa.array(marks(block), pa.binary())] if marked else []),
         ],
-        ["doc_id", "block_id", "idx", "n_shingles", "node", "prefix", "single", "light_cost", "heavy_cost"],
+        ["doc_id", "block_id", "idx", "n_shingles", "node", "prefix", "single", "light_cost", "heavy_cost", *(["mark"] if marked else [])],
     )
 
 
@@ -266,12 +273,11 @@ def links(members: DataFrame, values: DataFrame, percent: int) -> DataFrame:
         used = stars.select("sig", "node")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row.
+def classes(docs: DataFrame, k: int, percent: int, marked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and (node, least, root) of all sets with words.
 
-    Texts without words and null texts have the empty set and link with nothing.  A text of fewer than k words has one
-    shingle, its whole sequence.  Rows with equal sets are linked; a null doc_id counts as the largest and is answered
-    with null only where its class has no other.  An empty table gives no rows; other columns are not looked at.
+    `least` is the smallest doc_id of the set's rows; if `marked`, rows carry the mark of their text and `least` is the
+    smallest (none, doc_id, mark), where `none` says that there is no doc_id.
     """
     spark = docs.sparkSession
     begun = len(B.made())
@@ -283,9 +289,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield describe(batch.slice(i, 1).to_pylist()[0], k, n_shards, bits, percent)
+                yield describe(batch.slice(i, 1).to_pylist()[0], k, n_shards, bits, percent, marked)
 
-    rows = B.written(B.with_replies(table, known, "counts").mapInArrow(B.tidy(run), DESCRIBED), "sets")
+    rows = B.written(B.with_replies(table, known, "counts").mapInArrow(B.tidy(run), DESCRIBED + (", mark binary" if marked else "")), "sets")
     nodes = rows.where("prefix is not null").groupBy("node").agg(F.min_by(F.struct("block_id", "idx", F.col("n_shingles").alias("n"), "single", "prefix", "light_cost", "heavy_cost"), "block_id").alias("s")).select("node", "s.*")
     nodes = B.written(nodes, "nodes")
     every = lists(nodes, boundary(nodes), percent)
@@ -295,9 +301,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     values = B.written(set_values(table, wanted, k), "values")
     B.drop(spark, begun, keep=("sets", "lists", "values"))
     roots = links(members, values, percent)
-    least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark") if marked else F.col("doc_id")
+    least = rows.where("n_shingles > 0").groupBy("node").agg(F.min(first).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = B.written(least, "least")
     B.drop(spark, begun, keep=("sets", "least"))
+    return rows, least
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row.
+
+    Texts without words and null texts have the empty set and link with nothing.  A text of fewer than k words has one
+    shingle, its whole sequence.  Rows with equal sets are linked; a null doc_id counts as the largest and is answered
+    with null only where its class has no other.  An empty table gives no rows; other columns are not looked at.
+    """
+    rows, least = classes(docs, k, percent)
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     full = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
     return full.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -306,16 +324,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each class of near duplicates, the one with the smallest doc_id, with all columns of docs.
 
-    Of rows that share this doc_id the one whose text hashes lowest stays.  Rows without words are classes of their own
-    and stay, as do rows without a doc_id whose class has no other.
+    Rows are told apart by doc_id and MD5 of the text: rows that agree in both are in one class anyway.  Of rows that
+    share the smallest doc_id the one whose MD5 is lowest stays.  A null doc_id counts as the largest.  Rows without
+    words are classes of their own and all stay.
     """
-    found = near_duplicates(docs, k, percent).where("doc_id <=> component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_shingles"))
-    named = F.col("doc_id").cast("long")
-    firsts = found.where("doc_id is not null").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(firsts, named == F.col("_id"), "left_semi").unionByName(docs.where("doc_id is null"))
-    again = kept.groupBy(named.alias("_id")).agg(F.count("*").alias("_n"), F.min(F.xxhash64("text")).alias("_least")).where("_n > 1 and _id is not null")
-    if again.isEmpty():
-        return kept
-    twice = kept.join(again, named == F.col("_id"))
-    first = twice.where(F.xxhash64("text") == F.col("_least")).dropDuplicates(["_id"]).select(*docs.columns)
-    return kept.join(again, named == F.col("_id"), "left_anti").unionByName(first)
+    rows, least = classes(docs, k, percent, marked=True)
+    key = lambda c: [F.col(f"{c}doc_id").alias("_id"), F.col(f"{c}mark").alias("_mark")]
+    firsts = least.groupBy("root").agg(F.min("least").alias("least")).select(*key("least."))
+    bare = rows.where("n_shingles = 0").select(*key("")).distinct()
+    own_id, own_mark = F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    at = own_id.eqNullSafe(F.col("_id")) & (own_mark == F.col("_mark"))
+    kept = docs.join(firsts, at, "left_semi")
+    again = kept.groupBy(own_id.alias("_id"), own_mark.alias("_mark")).agg(F.count("*").alias("_n")).where("_n > 1")
+    if not again.isEmpty():
+        twice = kept.join(again, at)
+        kept = kept.join(again, at, "left_anti").unionByName(twice.dropDuplicates(["_id", "_mark"]).select(*docs.columns))
+    return kept.unionByName(docs.join(bare, at, "left_semi"))

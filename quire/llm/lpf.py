@@ -1,12 +1,13 @@
-"""Suffix-array dedup: longest-previous-factor arrays over the windows of all texts.
+"""Suffix-array dedup: longest previous factors over the windows of all texts, as a yes or no at `length` bytes.
 
 A byte is removed if a string of `length` bytes that covers it also starts in a document with a smaller doc_id, that is,
 if the longest previous factor of that place, taken over earlier documents, is `length` or more.
 
 Suffixes that share `length` bytes share the smallest hash among the g-byte strings inside them (their minimizer).  So
 suffixes are dealt to shards by minimizer, as runs of neighbouring suffixes with one minimizer, and each shard sorts its
-own suffixes.  In that order the previous and the next smaller document, with the common prefixes up to them, give the
-longest previous factor.  Before that, minimizers that occur in a single document are dropped: nothing can match there.
+own suffixes by their first `length` bytes.  In that order a suffix's factor reaches `length` just if the previous or the
+next smaller document stands in its run of equal windows; longer common prefixes are not computed, as the removed bytes do
+not depend on them.  `suffix_array` and `longest_previous` give whole arrays and are not on this path.  Before that, minimizers that occur in a single document are dropped: nothing can match there.
 A minimizer with very many neighbourhoods has its suffixes dealt by their whole first `length` bytes instead.
 """
 

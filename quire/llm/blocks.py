@@ -9,6 +9,7 @@ occurs in a third of all rows is one entry per block, so no group grows with a h
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,16 +30,18 @@ NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD1342543DE82EF95
-BLOCK_SCHEMA = "block_id long, n_docs int, n_units long, ids binary, lens binary, body binary"
+BLOCK_SCHEMA = "block_id long, n_docs int, n_units long, ids binary, lens binary, body binary, rest binary"
 
 
 # ---------------------------------------------------------------- shared folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests, one machine) below the warehouse."""
+    """A new folder below spark.checkpoint.dir; where that is unset, on one machine only, below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     path = f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
     made().append(path)
@@ -56,18 +59,37 @@ def made() -> list[str]:
 
 
 def drop(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the folders made since then, but for those of tables named in keep.
+    """Deletes the folders made since then, but for those of tables named in keep, and their entries in the catalog.
 
     For tables of an operator that no frame it returns reads; what they led to must have been written.
     """
+    entries = named()
     conf = spark._jsc.hadoopConfiguration()
     for folder in made()[since:]:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         fs = path.getFileSystem(conf)
         if not any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")) for name in keep):
+            if folder in entries:
+                spark.sql(f"DROP TABLE IF EXISTS {entries.pop(folder)}")
             fs.delete(path, True)
 
 
+def named() -> dict[str, str]:
+    """Folder -> catalog name of the bucketed tables that this thread's operators have made."""
+    if not hasattr(_local, "names"):
+        _local.names = {}
+    return _local.names
+
+
+def bucketed(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed by block_id."""
+    spark = rows.sparkSession
+    name, folder = f"quire_{kind}_{uuid.uuid4().hex}", shared_dir(spark)
+    rows.write.bucketBy(partitions(spark), "block_id").option("path", f"{folder}/{kind}").format("parquet").saveAsTable(name)
+    named()[folder] = name
+    return spark.table(name)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there."""
     spark = df.sparkSession
@@ -113,7 +135,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(_BASE))
+#: base**i and base**-i modulo 2**64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -129,13 +151,45 @@ def powers(n: int, base: int = _STEP) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _STEP) -> np.ndarray:
-    """A hash of values[start:end] for every span; equal spans have equal hashes wherever they stand."""
+    """A hash of values[start:end] for every span of a few mixed values; equal spans have equal hashes wherever they stand.
+
+    A polynomial modulo 2**64: long spans over two values can be made to collide, so it is for spans of words, not of bytes.
+    """
     up, down = powers(len(values) + 1, base)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(_BASE))
 
 
+#: Strings longer than this are hashed one by one by a library function.
+LONG_BYTES = 64
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of every span: eight bytes at a time through a mixer, or BLAKE2 where a span is long.
+
+    Hashes with different seeds are independent.
+    """
+    n = ends - starts
+    out = mix((n.astype(np.uint64) + U(1)) * U(_BASE) ^ U(seed))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    short = n <= LONG_BYTES
+    at = np.arange(len(n)) if short.all() else np.flatnonzero(short)
+    for j in range(0, LONG_BYTES, 8):
+        at = at[n[at] > j]
+        if not len(at):
+            break
+        rest = np.minimum(n[at] - j, 8).astype(np.uint64)
+        x = eights[starts[at] + j] << (U(64) - U(8) * rest)
+        out[at] = mix(out[at] ^ x * U(_STEP))
+    for i in np.flatnonzero(~short).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = U(int.from_bytes(digest, "little"))
+    return out
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -161,8 +215,8 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
         self.data = data
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        return span_hashes(_BYTE[self.data if data is None else data], self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return byte_hashes(self.data, self.starts, self.ends, seed)
 
 
 def window_starts(first: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
@@ -285,43 +339,67 @@ class Block:
             at = to
 
 
-def block_table(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id") -> DataFrame:
+def block_table(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id", whole: bool = False) -> DataFrame:
     """Writes doc_id and text of all rows as compressed blocks, bucketed by block_id, and returns the table.
 
     The table is the only copy of the texts that the operators make; joins on block_id read it where it lies, without
-    a shuffle of texts.
+    a shuffle of texts.  If `whole`, the other columns stand beside them (`rest`), for whole_rows to put together again.
     """
-    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         lens: list[np.ndarray] = []
         body: list[bytes] = []
+        rest: list[pa.RecordBatch] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, size
-            out = {"block_id": [(part << 24) + seq], "n_docs": [sum(map(len, ids))], "n_units": [size], "ids": [np.concatenate(ids).tobytes()], "lens": [np.concatenate(lens).tobytes()], "body": [zip_bytes(b"".join(body), 3)]}
+            out = {"block_id": [(part << 24) + seq], "n_docs": [sum(map(len, ids))], "n_units": [size], "ids": [np.concatenate(ids).tobytes()], "lens": [np.concatenate(lens).tobytes()], "body": [zip_bytes(b"".join(body), 3)], "rest": [packed_rows(rest) if whole else None]}
             seq, size = seq + 1, 0
-            for x in (ids, lens, body):
+            for x in (ids, lens, body, rest):
                 x.clear()
-            return pa.RecordBatch.from_pydict(out, pa.schema([("block_id", pa.int64()), ("n_docs", pa.int32()), ("n_units", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("body", pa.binary())]))
+            return pa.RecordBatch.from_pydict(out, pa.schema([("block_id", pa.int64()), ("n_docs", pa.int32()), ("n_units", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("body", pa.binary()), ("rest", pa.binary())]))
 
         for batch, data, offsets in pieces(batches, 1 << 20):
-            ids.append(ids_of(batch))
+            ids.append(ids_of(batch, id_column))
             lens.append(np.diff(offsets))
             body.append(data.tobytes())
+            if whole:
+                at = batch.schema.get_field_index("text")
+                rest.append(batch.set_column(at, "text", batch.column(at).is_valid()))
             size += len(data)
             if size >= block_bytes:
                 yield flush()
         if ids:
             yield flush()
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), BLOCK_SCHEMA)
-    name = f"quire_blocks_{uuid.uuid4().hex}"
-    rows.write.bucketBy(partitions(spark), "block_id").option("path", f"{shared_dir(spark)}/blocks").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    if not whole:
+        docs = docs.select(F.col(id_column).cast("long").alias(id_column), F.col("text").cast("string").alias("text"))
+    return bucketed(docs.mapInArrow(tidy(run), BLOCK_SCHEMA), "blocks")
+
+
+def packed_rows(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as stream:
+        for b in batches:
+            stream.write_batch(b)
+    return zip_bytes(sink.getvalue().to_pybytes(), 3)
+
+
+def whole_rows(row: dict) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a block that holds whole rows, in batches, each with the number of its first row."""
+    lens = np.frombuffer(row["lens"], np.int64)
+    body, at, byte = pa.py_buffer(unzip_bytes(row["body"])), 0, 0
+    for batch in pa.ipc.open_stream(unzip_bytes(row["rest"])):
+        n = batch.num_rows
+        offsets = np.concatenate([[byte], byte + np.cumsum(lens[at : at + n])]).astype(np.int32)
+        c = batch.schema.get_field_index("text")
+        valid = batch.column(c)
+        text = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), body, pa.array(valid.to_numpy(zero_copy_only=False), pa.bool_()).buffers()[1])
+        yield at, batch.set_column(c, "text", text)
+        at, byte = at + n, int(offsets[-1])
 
 
 def total_bytes(blocks: DataFrame) -> int:

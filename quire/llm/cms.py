@@ -51,7 +51,7 @@ def check_hashes(block: Block, k: int) -> np.ndarray:
     out = []
     for _, _, data, offsets in block.pieces():
         w = B.Words(data, offsets)
-        wh = B.mix(B.span_hashes(B._BYTE[data ^ np.uint8(0x5A)], w.starts, w.ends, 0xE7037ED1A0B428DB))
+        wh = w.hashes(0xE7037ED1A0B428DB)
         at = B.window_starts(w.first, w.counts, k)
         out.append(B.span_hashes(wh, at, at + k, 0x8EBC6AF09C88C6E3))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)

@@ -6,14 +6,15 @@ n - ceil(0.8 n) + 1, and two among the first n - ceil(0.8 n) + 2.  So a light (s
 longer prefix, and a heavy (large) set scans the inverted lists of its shorter prefix.  The boundary is the size at which
 the summed costs of both are least, from the costs of all sets by size.
 
-Within a list, sets are compared with one set of the list, then with others as long as the list holds sets that are not
-yet in one class; sets in one class need no further comparison.  So a list of n near copies costs about n comparisons,
-yet no link between classes is lost.
+Within a list, sets are told apart by sketches first: the parities of a set's hashes in SKETCH cells.  Cells in which two
+sketches differ are at most the elements in which the sets differ, so a pair that differs in too many cells has no link,
+and no link is lost.  Of the other pairs, those between classes are verified on the sets themselves, nearest first: each
+class proposes a few pairs in each part of a list, then eight times as many, until no part holds back a pair.  Sets that
+have come into one class are not compared any more, so a list of n near copies costs about n comparisons.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,15 @@ from .lpf import shortened
 
 #: Bytes of text in a block; its sets' arrays take about ten times as much.
 BLOCK_BYTES = 4 << 20
-#: Comparisons that are made at once, for each row of the lists and at least; beyond them, stars go first.
-PAIRS_A_ROW, LEAST_PAIRS = 4, 50_000
-#: Sets of a list that all others are compared with in one round; classes up to which they are compared pairwise.
-STARS, FEW_CLASSES = 8, 32
 #: Rows of one list that its elements are charged for when the boundary is chosen.
 SCAN = 8
+#: Cells of a sketch; members of a list that one task compares with each other.
+SKETCH = 1024
+PART = 512
+#: Pairs that a class proposes in each part of a list: at first, and how many times more in each further round.
+PROPOSED, MORE = 1, 8
+#: Rounds in which long lists are compared within their parts only.
+INNER = 2
 
 
 class Sets:
@@ -95,12 +99,7 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
-def marks(block: Block) -> list[bytes]:
-    """The MD5 of each text; a null text is an empty one."""
-    return [hashlib.md5(data[x:y].tobytes()).digest() for _, _, data, offsets in block.pieces() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-
-
-def describe(row: dict, k: int, n_shards: int, bits: int, percent: int, marked: bool = False) -> pa.RecordBatch:
+def describe(row: dict, k: int, n_shards: int, bits: int, percent: int) -> pa.RecordBatch:
     """A row for each document; sets that can have a link also get their prefix, from rare to frequent."""
     block = Block(row)
     sets = Sets(block, k)
@@ -111,7 +110,7 @@ def describe(row: dict, k: int, n_shards: int, bits: int, percent: int, marked:
     for shard, s in B.by_shard(key, n_shards):
         df[s] = np.frombuffer(B.unzip_bytes(replies[0, shard]), np.uint16)
     n_docs = len(block.ids)
-    out: dict[str, list] = {"prefix": [None] * n_docs} | {x: [0] * n_docs for x in ("single", "light_cost", "heavy_cost")}
+    out: dict[str, list] = {x: [None] * n_docs for x in ("prefix", "sketch", "hashes")} | {x: [0] * n_docs for x in ("single", "light_cost", "heavy_cost")}
     freq = df[np.searchsorted(key, sets.values >> U(64 - bits) << U(64 - bits))]
     total = np.concatenate([[0], np.cumsum(freq < 2)])
     alone = total[sets.first[1:]] - total[sets.first[:-1]]
@@ -123,6 +122,8 @@ def describe(row: dict, k: int, n_shards: int, bits: int, percent: int, marked:
         order = np.lexsort((v, f))[: n - need[i] + 2]
         at = order[f[order] > 1]
         out["prefix"][i] = v[at].view(np.int64)
+        out["sketch"][i] = np.packbits(np.bincount((v >> U(64 - int(SKETCH).bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+        out["hashes"][i] = v.tobytes()
         out["single"][i] = single = max(0, int(n - need[i] + 1 - alone[i]))
         out["light_cost"][i] = len(at) * (len(at) - 1) // 2
         out["heavy_cost"][i] = int(np.minimum(f[at[:single]], SCAN).astype(np.int64).sum())
@@ -138,13 +139,14 @@ def describe(row: dict, k: int, n_shards: int, bits: int, percent: int, marked:
             pa.array(out["single"], pa.int32()),
             pa.array(out["light_cost"], pa.int64()),
             pa.array(out["heavy_cost"], pa.int64()),
-            *([pa.array(marks(block), pa.binary())] if marked else []),
+            pa.array(out["sketch"], pa.binary()),
+            pa.array(out["hashes"], pa.binary()),
         ],
-        ["doc_id", "block_id", "idx", "n_shingles", "node", "prefix", "single", "light_cost", "heavy_cost", *(["mark"] if marked else [])],
+        ["doc_id", "block_id", "idx", "n_shingles", "node", "prefix", "single", "light_cost", "heavy_cost", "sketch", "hashes"],
     )
 
 
-DESCRIBED = "doc_id long, block_id long, idx int, n_shingles long, node binary, prefix array<long>, single int, light_cost long, heavy_cost long"
+DESCRIBED = "doc_id long, block_id long, idx int, n_shingles long, node binary, prefix array<long>, single int, light_cost long, heavy_cost long, sketch binary, hashes binary"
 
 
 def boundary(nodes: DataFrame) -> int:
@@ -186,24 +188,8 @@ def lists(nodes: DataFrame, most_light: int, percent: int) -> DataFrame:
     return nodes.select("node", "n", "single", "prefix").mapInArrow(B.tidy(run), "sig long, node binary, n long")
 
 
-def set_values(blocks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, n, hashes) of the wanted sets (node, block_id, idx)."""
-    asked = blocks.join(wanted.groupBy("block_id").agg(F.collect_list(F.struct("idx", "node")).alias("wanted")), "block_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                sets = Sets(Block(row), k)
-                for at in range(0, len(row["wanted"]), 500):
-                    own = row["wanted"][at : at + 500]
-                    yield pa.RecordBatch.from_pydict({"node": pa.array([x["node"] for x in own], pa.binary()), "hashes": pa.array([sets.values[sets.first[x["idx"]] : sets.first[x["idx"] + 1]].tobytes() for x in own], pa.binary())})
-
-    return asked.mapInArrow(B.tidy(run), "node binary, hashes binary")
-
-
 def verified(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets link."""
+    """Pairs (a, b) whose sets link, from the sets (node, hashes)."""
     both = pairs.join(values.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(values.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,86 +212,164 @@ def distinct_lists(live: DataFrame) -> DataFrame:
     return live.join(first, "sig", "left_semi")
 
 
-def links(members: DataFrame, values: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of all sets with a link, from the lists (sig, node, n).
+def apart(sketch: np.ndarray, a: slice | np.ndarray, b: slice | np.ndarray) -> np.ndarray:
+    """Cells in which the sketches (rows of 64-bit words) of a and of b differ."""
+    out = np.zeros((len(sketch[a]), len(sketch[b])), np.uint16)
+    for c in range(sketch.shape[1]):
+        out += np.bitwise_count(sketch[a, c][:, None] ^ sketch[b, c][None, :])
+    return out
+
 
-    First every list is compared with its smallest set.  Then, while lists hold several classes: if the pairs between
-    classes are at most PAIRS_A_ROW for each row of the lists, all of them are compared, and that is the end; else the
-    classes' smallest sets are compared with each other (in lists of few classes), and those of the STARS smallest
-    classes with the whole list, which they then leave.
+def proposals(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, side: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of one part of a list: places of the pairs to verify, and whether more are held back.
+
+    side: 1 for the members that are compared with all others, 2 for those that are compared with the former only.
+    """
+    _, root = np.unique(root, return_inverse=True)
+    first = np.flatnonzero(side == 1)
+    far = apart(sketch, first, slice(None)).astype(np.int64)
+    sizes = n[first][:, None] + n[None, :]
+    ok = (100 + percent) * far <= (100 - percent) * sizes
+    ok &= 100 * np.minimum(n[first][:, None], n[None, :]) >= percent * np.maximum(n[first][:, None], n[None, :])
+    ok &= root[first][:, None] != root[None, :]
+    i, j = np.nonzero(ok)
+    far = far[i, j]
+    i = first[i]
+    once = (side[j] == 2) | (i < j)
+    i, j, far = i[once], j[once], far[once]
+    if not len(i):
+        return i, j, False
+    low = np.minimum(node[i], node[j])
+    chosen = np.zeros(len(i), bool)
+    for own in (root[i], root[j]):
+        order = np.lexsort((low, far, own))
+        heads = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
+        rank = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+        chosen[order[rank < most]] = True
+    return i[chosen], j[chosen], not chosen.all()
+
+
+def parts(live: DataFrame, inner: bool) -> DataFrame:
+    """(sig, part, side, node, root, n, sketch): lists dealt into parts of bounded size that cover all pairs of classes.
+
+    A list of up to PART members is one part.  A longer one is dealt into chunks; if `inner`, each chunk is a part.  Else
+    members of the list's largest class meet the others only: every chunk of others is a part with each other chunk.
     """
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    star = members.groupBy("sig").agg(F.min(F.struct("n", "node")).alias("r"))
-    pairs = members.join(star, "sig").select(F.col("r.node").alias("x"), F.col("r.n").alias("na"), F.col("node").alias("y"), F.col("n").alias("nb")).where("x <> y")
-    used = star.select("sig", F.col("r.node").alias("node"))
-    budget = PAIRS_A_ROW * members.count() + LEAST_PAIRS
-    live, checked, roots, last = members, None, None, False
+    per_root = live.groupBy("sig", "root").agg(F.count("*").alias("held"))
+    lists_ = per_root.groupBy("sig").agg(F.sum("held").alias("size"), F.max(F.struct("held", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    rows = live.join(lists_.select("sig", "size", F.col("top.root").alias("top"), F.col("top.held").alias("held")), "sig")
+    spread_ = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    chunks = lambda n: F.ceil(n / F.lit(PART)).cast("int")
+    if inner:
+        rows = rows.withColumn("part", F.when(F.col("size") <= PART, 0).otherwise(spread_(chunks(F.col("size"))))).withColumn("side", F.lit(1))
+        return rows.select("sig", "part", "side", "node", "root", "n", "sketch")
+    minor = F.greatest(F.lit(1), chunks(F.col("size") - F.col("held")))
+    rows = rows.withColumn("minor", minor).withColumn("own", F.when(F.col("size") <= PART, 0).when(F.col("root") == F.col("top"), F.col("minor") + spread_(chunks(F.col("held")))).otherwise(spread_(F.col("minor"))))
+    # part (a, x) with a < minor and a <= x: chunk a is compared with itself (a = x) or with chunk x
+    as_first = F.when(F.col("own") < F.col("minor"), F.transform(F.sequence(F.col("own"), F.when(F.col("size") <= PART, 0).otherwise(F.col("minor") + chunks(F.col("held")) - 1).cast("int")), lambda x: F.struct((F.col("own").cast("long") * F.lit(1 << 31) + x).alias("part"), F.lit(1).alias("side"))))
+    as_second = F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), (F.least("own", "minor") - 1).cast("int")), lambda a: F.struct((a.cast("long") * F.lit(1 << 31) + F.col("own")).alias("part"), F.lit(2).alias("side"))))
+    none = F.array().cast("array<struct<part:bigint,side:int>>")
+    return rows.withColumn("p", F.explode(F.concat(F.coalesce(as_first, none), F.coalesce(as_second, none)))).select("sig", "p.part", "p.side", "node", "root", "n", "sketch")
+
+
+def proposed(dealt: DataFrame, most: int, percent: int) -> DataFrame:
+    """Pairs (a, b, more) that the parts of lists propose; a row with null a says that a part holds back pairs."""
+
+    def batch_of(held: pa.Table) -> pa.RecordBatch:
+        key = np.stack([held.column(c).to_numpy() for c in ("sig", "part")])
+        edges = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
+        edges = np.append(edges, held.num_rows)
+        raw = lambda c, width: np.frombuffer(b"".join(held.column(c).to_pylist()), f"V{width}")
+        node, root = raw("node", 16), raw("root", 16)
+        _, both = np.unique(np.concatenate([node, root]), return_inverse=True)
+        number, root = both[: len(node)], both[len(node) :]
+        n, side = held.column("n").to_numpy(), held.column("side").to_numpy()
+        sketch = np.frombuffer(b"".join(held.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
+        pairs, more = [], False
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if y - x > 1:
+                i, j, rest = proposals(number[x:y], root[x:y], n[x:y], sketch[x:y], side[x:y], most, percent)
+                pairs.append(np.stack([i, j]) + x)
+                more |= rest
+        at = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
+        low, high = np.where(number[at[0]] < number[at[1]], at, at[::-1])
+        _, keep = np.unique(number[low] * len(both) + number[high], return_index=True)
+        a, b = (pa.array(node[x[keep]].tolist(), pa.binary()) for x in (low, high))
+        if more:
+            a, b = pa.concat_arrays([a, pa.nulls(1, pa.binary())]), pa.concat_arrays([b, pa.nulls(1, pa.binary())])
+        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own]).combine_chunks()
+            sig, part = held.column("sig").to_numpy(), held.column("part").to_numpy()
+            last = int(((sig != sig[-1]) | (part != part[-1])).sum())
+            if last:
+                yield batch_of(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield batch_of(held)
+
+    rows = dealt.repartition("sig", "part").sortWithinPartitions("sig", "part", "node")
+    return rows.mapInArrow(B.tidy(run), "a binary, b binary")
+
+
+def links(members: DataFrame, values: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of all sets with a link, from the lists (sig, node, n, sketch)."""
+    most, round_, checked, roots = PROPOSED, 0, None, None
+    live = members.withColumn("root", F.col("node"))
     while True:
-        new = pairs.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        inner = round_ < INNER
+        pairs = B.written(proposed(parts(live, inner), most, percent).distinct(), "proposed")
+        more = inner or not pairs.where("a is null").isEmpty()
+        new = pairs.where("a is not null")
         if checked is not None:
             new = new.join(checked, ["a", "b"], "left_anti")
         new = B.written(new, "pairs")
-        checked = new if checked is None else checked.union(new)
-        roots = joined(roots, B.written(verified(new, values, percent), "links"))
-        if last:
-            return roots
-        rest = live.select("sig", "node", "n").join(used, ["sig", "node"], "left_anti")
-        rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        live = B.written(distinct_lists(B.written(rest.join(mixed, "sig", "left_semi"), "rest")), "live")
-        classes = B.written(live.groupBy("sig", "root").agg(F.count("*").alias("held"), F.min(F.struct("n", "node")).alias("r")), "classes")
-        lists_ = classes.groupBy("sig").agg(F.sum("held").alias("size"), F.sum(F.col("held") * F.col("held")).alias("square"), F.count("*").alias("classes"))
-        total = lists_.agg(F.sum(F.col("size") * F.col("size") - F.col("square"))).first()[0]
-        if not total:
-            return roots
-        side = lambda df, root, node, n: df.select("sig", F.col("root").alias(root), F.col("node").alias(node), F.col("n").alias(n))
-        if total <= 2 * budget:
-            last = True
-            pairs = side(live, "ra", "x", "na").join(side(live, "rb", "y", "nb"), "sig").where("ra <> rb and x < y")
-            continue
-        heads = classes.select("sig", "root", F.col("r.node").alias("node"), F.col("r.n").alias("n"))
-        few = heads.join(lists_.where(f"classes <= {FEW_CLASSES}").select("sig"), "sig", "left_semi")
-        between = side(few, "ra", "x", "na").join(side(few, "rb", "y", "nb"), "sig").where("x < y")
-        stars = classes.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list(F.struct("held", "r", "root"))), 1, STARS).alias("s")).select("sig", F.explode("s").alias("s")).select("sig", "s.root", F.col("s.r.node").alias("node"), F.col("s.r.n").alias("n"))
-        stars = B.written(stars, "stars")
-        around = side(stars, "ra", "x", "na").join(side(live, "rb", "y", "nb"), "sig").where("ra <> rb")
-        pairs = between.union(around)
-        used = stars.select("sig", "node")
-
-
-def classes(docs: DataFrame, k: int, percent: int, marked: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows, and (node, least, root) of all sets with words.
-
-    `least` is the smallest doc_id of the set's rows; if `marked`, rows carry the mark of their text and `least` is the
-    smallest (none, doc_id, mark), where `none` says that there is no doc_id.
+        if not new.isEmpty():
+            checked = new if checked is None else checked.union(new)
+            roots = joined(roots, B.written(verified(new, values, percent), "links"))
+        if not more:
+            return roots if roots is not None else members.select("node", F.col("node").alias("root")).limit(0)
+        if roots is not None:
+            live = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        round_, most = round_ + 1, most * MORE
+
+
+def classes(docs: DataFrame, k: int, percent: int, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The block table, the sets of all rows, and (node, least, root) of all sets with words.
+
+    `least` is the first of the set's rows: the smallest (none, doc_id, block_id, idx), where `none` says that there is
+    no doc_id.
     """
     spark = docs.sparkSession
     begun = len(B.made())
-    table = B.block_table(docs, BLOCK_BYTES)
+    table = B.block_table(docs, BLOCK_BYTES, whole=whole)
     n_shards = B.shard_count(spark)
     bits = min(64, int(np.ceil(np.log2(B.total_bytes(table) // 4 + 2))) + 10)
-    known = B.answer(B.send(table, lambda r: ask_counts(r, k, n_shards, bits)), counts)
+    texts = table.drop("rest")
+    known = B.answer(B.send(texts, lambda r: ask_counts(r, k, n_shards, bits)), counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield describe(batch.slice(i, 1).to_pylist()[0], k, n_shards, bits, percent, marked)
+                yield describe(batch.slice(i, 1).to_pylist()[0], k, n_shards, bits, percent)
 
-    rows = B.written(B.with_replies(table, known, "counts").mapInArrow(B.tidy(run), DESCRIBED + (", mark binary" if marked else "")), "sets")
-    nodes = rows.where("prefix is not null").groupBy("node").agg(F.min_by(F.struct("block_id", "idx", F.col("n_shingles").alias("n"), "single", "prefix", "light_cost", "heavy_cost"), "block_id").alias("s")).select("node", "s.*")
-    nodes = B.written(nodes, "nodes")
+    rows = B.written(B.with_replies(texts, known, "counts").mapInArrow(B.tidy(run), DESCRIBED), "sets")
+    nodes = rows.where("prefix is not null").groupBy("node").agg(F.min(F.struct("block_id", "idx")).alias("s")).select("s.*")
+    nodes = B.written(rows.where("prefix is not null").join(nodes, ["block_id", "idx"], "left_semi").select("node", F.col("n_shingles").alias("n"), "single", "prefix", "light_cost", "heavy_cost", "sketch", "hashes"), "nodes")
     every = lists(nodes, boundary(nodes), percent)
     shared = every.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    members = B.written(distinct_lists(B.written(every.join(shared, "sig"), "lists")), "lists")
-    wanted = nodes.select("node", "block_id", "idx").join(members.select("node").distinct(), "node", "left_semi")
-    values = B.written(set_values(table, wanted, k), "values")
-    B.drop(spark, begun, keep=("sets", "lists", "values"))
-    roots = links(members, values, percent)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark") if marked else F.col("doc_id")
+    members = distinct_lists(B.written(every.join(shared, "sig", "left_semi"), "lists"))
+    members = B.written(members.join(nodes.select("node", "sketch"), "node"), "members")
+    roots = links(members, nodes.select("node", "hashes"), percent)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "block_id", "idx")
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min(first).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = B.written(least, "least")
-    B.drop(spark, begun, keep=("sets", "least"))
-    return rows, least
+    B.drop(spark, begun, keep=("sets", "least", *(["blocks"] if whole else [])))
+    return table, rows, least
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -315,8 +379,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shingle, its whole sequence.  Rows with equal sets are linked; a null doc_id counts as the largest and is answered
     with null only where its class has no other.  An empty table gives no rows; other columns are not looked at.
     """
-    rows, least = classes(docs, k, percent)
-    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    _, rows, least = classes(docs, k, percent)
+    named = least.join(least.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", F.col("first.doc_id").alias("component_id"))
     full = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
     return full.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -324,19 +388,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each class of near duplicates, the one with the smallest doc_id, with all columns of docs.
 
-    Rows are told apart by doc_id and MD5 of the text: rows that agree in both are in one class anyway.  Of rows that
-    share the smallest doc_id the one whose MD5 is lowest stays.  A null doc_id counts as the largest.  Rows without
-    words are classes of their own and all stay.
+    A null doc_id counts as the largest; of rows that share the smallest doc_id the first in the blocks stays.  Rows
+    without words are classes of their own and all stay.  Whole rows lie in the blocks and are not shuffled.
     """
-    rows, least = classes(docs, k, percent, marked=True)
-    key = lambda c: [F.col(f"{c}doc_id").alias("_id"), F.col(f"{c}mark").alias("_mark")]
-    firsts = least.groupBy("root").agg(F.min("least").alias("least")).select(*key("least."))
-    bare = rows.where("n_shingles = 0").select(*key("")).distinct()
-    own_id, own_mark = F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    at = own_id.eqNullSafe(F.col("_id")) & (own_mark == F.col("_mark"))
-    kept = docs.join(firsts, at, "left_semi")
-    again = kept.groupBy(own_id.alias("_id"), own_mark.alias("_mark")).agg(F.count("*").alias("_n")).where("_n > 1")
-    if not again.isEmpty():
-        twice = kept.join(again, at)
-        kept = kept.join(again, at, "left_anti").unionByName(twice.dropDuplicates(["_id", "_mark"]).select(*docs.columns))
-    return kept.unionByName(docs.join(bare, at, "left_semi"))
+    table, rows, least = classes(docs, k, percent, whole=True)
+    firsts = least.groupBy("root").agg(F.min("least").alias("least")).select("least.block_id", "least.idx")
+    kept = firsts.union(rows.where("n_shingles = 0").select("block_id", "idx")).groupBy("block_id").agg(F.collect_list("idx").alias("kept"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                keep = np.zeros(row["n_docs"], bool)
+                keep[row["kept"]] = True
+                for at, b in B.whole_rows(row):
+                    yield b.filter(pa.array(keep[at : at + b.num_rows]))
+
+    return table.drop("ids").join(kept, "block_id").mapInArrow(B.tidy(run), docs.schema)

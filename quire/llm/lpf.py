@@ -226,9 +226,9 @@ class Parcels:
             starts = np.repeat(r.start[hot] - np.concatenate([[0], np.cumsum(r.count[hot])[:-1]]), r.count[hot]) + np.arange(r.count[hot].sum())
             st = np.concatenate([r.start[warm], starts])
             ln = np.concatenate([r.count[warm] + length - 1, np.full(len(starts), length)])
-            h = B.span_hashes(B._BYTE[data], st, st + ln)
+            h = B.byte_hashes(data, st, st + ln)
             dealt.append(np.concatenate([r.key[warm], h[warm.sum() :]]))
-            digest.append(h ^ B.span_hashes(B._BYTE[data ^ np.uint8(0x33)], st, st + ln, 0xE7037ED1A0B428DB) >> U(1))
+            digest.append(B.byte_hashes(data, st, st + ln, 0xE7037ED1A0B428DB))
             place.append(st + block.offsets[a])
             size.append(ln)
             doc.append(np.concatenate([r.doc[warm], np.repeat(r.doc[hot], r.count[hot])]) + a)

@@ -1,13 +1,19 @@
-"""Suffix-array dedup: longest previous factors over the windows of all texts, as a yes or no at `length` bytes.
+"""Suffix-array dedup: longest previous factors over the suffixes of all texts.
 
 A byte is removed if a string of `length` bytes that covers it also starts in a document with a smaller doc_id, that is,
 if the longest previous factor of that place, taken over earlier documents, is `length` or more.
 
 Suffixes that share `length` bytes share the smallest hash among the g-byte strings inside them (their minimizer).  So
-suffixes are dealt to shards by minimizer, as runs of neighbouring suffixes with one minimizer, and each shard sorts its
-own suffixes by their first `length` bytes.  In that order a suffix's factor reaches `length` just if the previous or the
-next smaller document stands in its run of equal windows; longer common prefixes are not computed, as the removed bytes do
-not depend on them.  `suffix_array` and `longest_previous` give whole arrays and are not on this path.  Before that, minimizers that occur in a single document are dropped: nothing can match there.
+suffixes are dealt to shards by minimizer, as strings: runs of neighbouring suffixes with one minimizer.  Four passes over
+the blocks find the factors:
+
+1. minimizers that stand in a single document are dropped: nothing can match there;
+2. of equal strings, only the first (smallest doc_id) takes part further: a later one is removed as a whole.  A first
+   string whose minimizer has no other string has no previous factor that is long enough;
+3. each shard sorts the suffixes of the strings that are left, takes the common prefixes of neighbours (up to `length`
+   bytes), and from them the longest previous factor of each suffix by previous and next smaller documents;
+4. blocks cut out what is covered.
+
 A minimizer with very many neighbourhoods has its suffixes dealt by their whole first `length` bytes instead.
 """
 
@@ -26,11 +32,11 @@ from .blocks import U, Block
 from .cms import split_parts
 
 GRAM = 24
-#: Smaller blocks and shards than elsewhere: suffixes take 50 bytes each where they are sorted.
-BLOCK_BYTES, SHARDS_A_PARTITION = 3 << 20, 8
+#: Bytes of text in a block, and for each shard: what a shard holds grows with the text, not with the cluster.
+BLOCK_BYTES, SHARD_BYTES = 3 << 20, 8 << 20
 #: Documents with a minimizer from which on its suffixes are dealt one by one.
 HOT = 512
-#: Suffixes that are sorted in full at once (more where more have the same first eight bytes).
+#: Suffixes that are sorted in full at once.
 RANGE = 1 << 17
 #: Bytes of a block whose minimizers are sought at once (more where a document is longer).
 SCAN_BYTES = 1 << 19
@@ -81,22 +87,22 @@ def longest_previous(order: np.ndarray, common: np.ndarray, place: np.ndarray) -
     """Longest previous factor of each suffix (by rank): the longest prefix shared with a suffix of a smaller place.
 
     order: suffixes by rank; common[i]: common prefix of ranks i-1 and i; place: each suffix's place, ties allowed.
+    Memory: the width of `common` for each suffix and power of two below their number.
     """
     n = len(order)
     if not n:
         return np.zeros(0, np.int64)
     before, after = smaller_neighbours(place[order])
     # least common prefix over a range of ranks, from a table of powers of two
-    table = [common.astype(np.int64)]
+    table = [common]
     while (1 << len(table)) <= n:
         half = 1 << (len(table) - 1)
         last = table[-1]
         table.append(np.minimum(last[: len(last) - half], last[half:]))
-    flat = [np.pad(t, (0, n - len(t))) for t in table]
-    stack = np.stack(flat)
+    stack = np.stack([np.pad(t, (0, n - len(t))) for t in table])
 
     def least(lo: np.ndarray, hi: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        out = np.zeros(n, np.int64)
+        out = np.zeros(n, common.dtype)
         lo, hi = lo[ok], hi[ok]
         level = np.frexp(hi - lo)[1] - 1
         out[ok] = np.minimum(stack[level, lo], stack[level, hi - (1 << level)])
@@ -208,7 +214,7 @@ def shared(kind: int, shard: int, blobs: list[bytes]) -> list[bytes]:
 class Parcels:
     """What a block deals out: distinct strings, each with the suffixes that start in its first bytes.
 
-    key: shard key; size: bytes; least: smallest doc_id that has it; `of`: the parcel of each occurrence, with the
+    key: shard key; size: bytes; digest: a hash of all of it; least: smallest doc_id that has it; `of`: the parcel of each occurrence, with the
     place in the block and the document of each occurrence.
     """
 
@@ -243,7 +249,7 @@ class Parcels:
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         heads = order[new]
-        self.key, self.size, self.least, self.at = dealt[heads], size[heads], ids[heads], self.place[heads]
+        self.key, self.size, self.least, self.at, self.digest = dealt[heads], size[heads], ids[heads], self.place[heads], digest[heads]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -251,13 +257,54 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
 
 
+def framed(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def ask_strings(row: dict, length: int, n_shards: int, bits: int) -> Iterator[tuple[int, int, bytes]]:
+    p = Parcels(Block(row), row, length, n_shards, bits)
+    for shard, s in B.by_shard(p.key, n_shards):
+        yield 0, shard, framed([B.pack_sorted(p.key[s] >> U(64 - bits)), B.zip_bytes(p.digest[s]), B.pack_ints(p.size[s]), B.pack_ints(p.least[s])])
+
+
+#: What pass 2 says of a string: no other string has its minimizer and no smaller doc_id has it; a smaller one has it; or
+#: its suffixes must be sorted among those of other strings.
+ALONE, LATER, SORTED = 0, 1, 2
+
+
+def strings(kind: int, shard: int, blobs: list[bytes]) -> list[bytes]:
+    parts = [split_parts(b) for b in blobs]
+    key = np.concatenate(keys := [B.unpack_sorted(p[0]) for p in parts])
+    digest = np.concatenate([np.frombuffer(B.unzip_bytes(p[1]), np.uint64) for p in parts])
+    size = np.concatenate([B.unpack_ints(p[2]).astype(np.int64) for p in parts])
+    ids = np.concatenate([B.unpack_ints(p[3]).astype(np.int64) for p in parts])
+    order = np.lexsort((ids, size, digest, key))
+    k, d, z, i = key[order], digest[order], size[order], ids[order]
+    new_key = np.append(True, k[1:] != k[:-1])
+    new = new_key | np.append(True, (d[1:] != d[:-1]) | (z[1:] != z[:-1]))
+    string, group = np.cumsum(new) - 1, np.cumsum(new_key) - 1
+    n_strings = np.bincount(group[new])
+    state = np.where(i > i[new][string], LATER, np.where(n_strings[group] > 1, SORTED, ALONE)).astype(np.uint8)
+    out = np.empty(len(state), np.uint8)
+    out[order] = state
+    return [B.zip_bytes(x) for x in np.split(out, np.cumsum([len(x) for x in keys])[:-1])]
+
+
+def states(p: Parcels, row: dict, n_shards: int) -> np.ndarray:
+    out = np.zeros(len(p.key), np.uint8)
+    replies = B.reply_map(row, "strings")
+    for shard, s in B.by_shard(p.key, n_shards):
+        out[s] = np.frombuffer(B.unzip_bytes(replies[0, shard]), np.uint8)
+    return out
+
+
 def ask_factors(row: dict, length: int, n_shards: int, bits: int) -> Iterator[tuple[int, int, bytes]]:
     block = Block(row)
     p = Parcels(block, row, length, n_shards, bits)
-    for shard, s in B.by_shard(p.key, n_shards):
-        body = block.data[spread(p.at[s], p.size[s])]
-        parts = [B.pack_ints(p.size[s]), B.pack_ints(p.least[s]), B.zip_bytes(body, 3)]
-        yield 0, shard, b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+    at = np.flatnonzero(states(p, row, n_shards) == SORTED)
+    for shard, s in B.by_shard(p.key[at], n_shards):
+        own = at[s]
+        yield 0, shard, framed([B.pack_ints(p.size[own]), B.pack_ints(p.least[own]), B.zip_bytes(block.data[spread(p.at[own], p.size[own])], 3)])
 
 
 def distinct_strings(text: bytes, size: np.ndarray) -> np.ndarray:
@@ -267,38 +314,62 @@ def distinct_strings(text: bytes, size: np.ndarray) -> np.ndarray:
     return np.fromiter((seen.setdefault(text[a:b], len(seen)) for a, b in zip((ends - size).tolist(), ends.tolist())), np.int64, len(size))
 
 
+def ranges(text: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Suffixes at `at`, in ascending order range by range, up to RANGE of them each; within a range in any order.
+
+    Suffixes are split by their next eight bytes until a range is small enough.  A range is true, and may be larger, if
+    its suffixes are equal in `length` bytes.
+    """
+    todo = [(np.arange(len(at)), 0)]
+    while todo:
+        own, depth = todo.pop()
+        if len(own) <= RANGE or depth >= length:
+            yield own, depth >= length
+            continue
+        width = min(8, length - depth)
+        part = np.zeros((len(own), 8), np.uint8)
+        for j in range(width):
+            part[:, j] = text[at[own] + depth + j]
+        prefix = part.view(">u8").reshape(-1).astype(np.uint64)
+        order = np.argsort(prefix, kind="stable")
+        prefix = prefix[order]
+        edges = np.append(np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])), len(own))
+        del part, prefix
+        own, lo, cuts = own[order], 0, []
+        while lo < len(own):
+            i = int(np.searchsorted(edges, lo + RANGE, "right")) - 1
+            hi = int(edges[i]) if edges[i] > lo else int(edges[i + 1])
+            # a run that is too long by itself is equal in the bytes looked at
+            cuts.append((own[lo:hi], depth + width if hi - lo > RANGE else depth))
+            lo = hi
+        todo += reversed(cuts)
+
+
 def reaching(text: np.ndarray, at: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     """Of suffixes at `at`: does the longest previous factor over smaller places reach `length`?
 
-    Suffixes are ordered by their first eight bytes, then range by range of that order in full.
+    Each range of the suffix order is sorted by its first `length` bytes; suffixes of different ranges share fewer.
     """
     out = np.zeros(len(at), bool)
-    prefix = np.ascontiguousarray(sliding_window_view(text, 8)[at]).view(">u8").reshape(-1).astype(np.uint64)
-    by_prefix = np.argsort(prefix)
-    prefix = prefix[by_prefix]
-    edges = np.append(np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])), len(at))
-    del prefix
-    lo = 0
-    while lo < len(at):
-        i = int(np.searchsorted(edges, lo + RANGE, "right")) - 1
-        hi = int(edges[i]) if edges[i] > lo else int(edges[i + 1])
-        own = by_prefix[lo:hi]
-        windows = np.ascontiguousarray(sliding_window_view(text, length)[at[own]]).view(f"S{length}").reshape(-1)
-        order = np.argsort(windows)
+    for own, equal in ranges(text, at, length):
+        if equal:
+            out[own] = place[own] > place[own].min()
+            continue
+        windows = np.ascontiguousarray(sliding_window_view(text, length)[at[own]])
+        order = np.argsort(windows.view(f"S{length}").reshape(-1), kind="stable")
         windows = windows[order]
-        # common prefixes count up to `length` only: between runs of equal windows they are shorter
-        group = np.cumsum(np.append(True, windows[1:] != windows[:-1]))
-        before, after = smaller_neighbours(place[own][order])
-        out[own[order]] = (before >= 0) & (group[before] == group) | (after < len(order)) & (group[np.minimum(after, len(order) - 1)] == group)
-        lo = hi
+        differ = windows[1:] != windows[:-1]
+        common = np.zeros(len(own), np.uint8 if length < 256 else np.int32)
+        common[1:] = np.where(differ.any(1), differ.argmax(1), length)
+        del windows, differ
+        out[own[order]] = longest_previous(order, common, place[own]) >= length
     return out
 
 
 def factors(kind: int, shard: int, blobs: list[bytes], length: int) -> list[bytes]:
     """Sorts the suffixes of a shard; a bit for each: does its longest previous factor reach `length`?
 
-    A string that several blocks sent is sorted once, for the smallest doc_id that has it: in later documents an earlier
-    one has all of it.
+    A string that several rows with one doc_id have comes several times and is sorted once.
     """
     parts = [split_parts(b) for b in blobs]
     sizes = [B.unpack_ints(p[0]).astype(np.int64) for p in parts]
@@ -324,13 +395,16 @@ def factors(kind: int, shard: int, blobs: list[bytes], length: int) -> list[byte
 def cut(row: dict, length: int, n_shards: int, bits: int) -> pa.RecordBatch:
     block = Block(row)
     p = Parcels(block, row, length, n_shards, bits)
+    state = states(p, row, n_shards)
     replies = B.reply_map(row, "factors")
     count = p.size - length + 1
     edge = np.concatenate([[0], np.cumsum(count)])
-    reach = np.zeros(edge[-1], bool)
-    for shard, s in B.by_shard(p.key, n_shards):
-        reach[edge[s.start] : edge[s.stop]] = B.unpack_bits(replies[0, shard], edge[s.stop] - edge[s.start])
-    # an occurrence in a later document than the parcel's first is covered as a whole
+    reach = np.repeat(state == LATER, count)
+    at = np.flatnonzero(state == SORTED)
+    for shard, s in B.by_shard(p.key[at], n_shards):
+        own = at[s]
+        reach[spread(edge[own], count[own])] = B.unpack_bits(replies[0, shard], int(count[own].sum()))
+    # an occurrence in a later document than the string's first is covered as a whole
     later = block.ids[p.doc] > p.least[p.of]
     flat = reach[spread(edge[p.of], count[p.of])] | np.repeat(later, count[p.of])
     starts = spread(p.place, count[p.of])[flat]
@@ -363,10 +437,13 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     table = B.block_table(docs, BLOCK_BYTES)
-    n_shards = SHARDS_A_PARTITION * B.partitions(spark)
-    bits = min(64, int(np.ceil(np.log2(B.total_bytes(table) // 8 + 2))) + 8)
+    total = B.total_bytes(table)
+    n_shards = max(B.partitions(spark), -(-total // SHARD_BYTES))
+    bits = min(64, int(np.ceil(np.log2(total // 8 + 2))) + 8)
     known = B.written(B.answer(B.send(table, lambda r: ask_shared(r, length, n_shards, bits)), shared), "shared")
     asked = B.with_replies(table, known, "shared")
+    told = B.written(B.answer(B.send(asked, lambda r: ask_strings(r, length, n_shards, bits)), strings), "strings")
+    asked = B.with_replies(asked, told, "strings")
     found = B.answer(B.send(asked, lambda r: ask_factors(r, length, n_shards, bits)), lambda k, s, b: factors(k, s, b, length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,30 +9,12 @@ from quire.functions import text as T
 from quire.functions.words import LEAD, MIN_LETTERS, MIN_SHARE, MIN_TOKENS, SAMPLE_CHARS, STOPWORDS
 from quire.operators import language, layout, readout
 from quire.plans import bridge
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from quire.registry import ORACLE_SQL, QUERIES, documents, query  # noqa: F401
 
 WITH_LINES = "WITH " + bridge.LINES_SQL.strip()
 _WS = "[ \\t\\n\\x0B\\f\\r]"
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name; `sql` is its twin for DuckDB."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.lines(documents(spark, sf_dir))
 
@@ -325,3 +305,8 @@ def outline_anchor_exact(spark, sf_dir):
     title = F.array_join(F.slice(F.split(F.element_at(F.split("text", "\n", -1), 1), " ", -1), 1, 12), " ")
     anchors = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", title.alias("line"))
     return lines(spark, sf_dir).join(anchors, "line").select("item_id", "doc_id", "line_no")
+
+
+# ---------------------------------------------------------------- over the model tables
+
+from quire.catalogue import signals  # noqa: E402, F401

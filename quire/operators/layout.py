@@ -41,14 +41,14 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
     return lines.join(body, "doc_id").where(ok).select("doc_id", "line_no", F.col("line").alias("title"))
 
 
-def heading_parents(headings: DataFrame, levels: int = 6) -> DataFrame:
-    """doc_id, ord, level, parent: the nearest earlier heading of a smaller level, null at the top.
+def heading_parents(headings: DataFrame, *others, levels: int = 6) -> DataFrame:
+    """doc_id, ord, level, parent and others: the nearest earlier heading of a smaller level, null at the top.
 
-    headings: doc_id, ord, level.  A heading that a later one of smaller level closes can be no parent after it.
+    headings: doc_id, ord, level from 1 to `levels`; a deeper one counts as `levels`, and so is no parent of another.
     """
     before = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     last = [F.when(F.col("level") > lv, F.last(F.when(F.col("level") == lv, F.col("ord")), ignorenulls=True).over(before)) for lv in range(1, levels)]
-    return headings.select("doc_id", "ord", "level", F.greatest(*last).alias("parent"))
+    return headings.select("doc_id", "ord", "level", F.greatest(*last).alias("parent"), *others)
 
 
 def level_reconcile(blocks: DataFrame) -> DataFrame:
@@ -58,11 +58,6 @@ def level_reconcile(blocks: DataFrame) -> DataFrame:
     return blocks.select("*", bucket).withColumn("level", F.least(rank, F.lit(6)).cast("long"))
 
 
-def neighbours(lines: DataFrame, depth: int) -> DataFrame:
-    """The first `depth` lines from the top of each page, with a folio line in the first place."""
-    return lines.where(f"slot < {depth}")
-
-
 def similar_lines(key, other, gap):
     """Score of two line keys `gap` pages apart: 1 if they count the pages (one number advances by gap, the others stay), else their similarity."""
     same_shape = T.number_shape(key) == T.number_shape(other)

@@ -69,20 +69,20 @@ def fills(docs: DataFrame) -> DataFrame:
     box = lambda fill, z, x0, y0, x1, y1, colour, when: F.when(when, F.struct(F.lit(fill).alias("fill"), z.cast("long").alias("z"), *(v.cast("long").alias(n) for n, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))), colour.cast("long").alias("colour")))
     z, h, n = F.col("ord") * 10, F.col("h"), F.lit
     kinds = F.array(
-        box("tight", z - 5, F.col("x0") - 5, F.col("y0") - 5, F.col("x1") + 5, F.col("y1") + 5, 16777215 - (h % 5) * 1000, h % 3 == 0),
+        box("tight", z - 5, F.col("x0") - 5, F.col("y0") - 5, F.col("x1") + 5, F.col("y1") + 5, F.when(h % 6 == 0, F.col("ink") + 5).otherwise(16777215 - (h % 5) * 1000), h % 3 == 0),
         box("wide", z - 6, n(50), n(30), n(950), n(530), n(15658734), (F.col("slot") == 0) & (h % 2 == 0)),
         box("page", z - 7, n(0), n(0), n(1000), n(1000), n(16777215), (F.col("slot") == 0) & (F.col("doc_id") % 4 == 0)),
-        box("cover", z + 5, F.col("x0"), F.col("y0"), F.col("x0") + 150, F.col("y0") + 30, F.when(h % 2 == 0, F.col("ink") + 5).otherwise(F.col("ink") + 2000000), h % 8 == 3),
+        box("cover", z + 5, F.col("x0"), F.col("y0") - F.when(h % 16 == 11, 400).otherwise(0), F.col("x0") + 150, F.col("y0") + 30, F.when(h % 2 == 0, F.col("ink") + 5).otherwise(F.col("ink") + 2000000), h % 8 == 3),
     )
     return b.select("doc_id", "page_no", "ord", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("f")).select("doc_id", "page_no", "ord", "f.*")
 
 
 FILLS_SQL = """
 fills AS (
-  SELECT doc_id, page_no, ord, 'tight' AS fill, ord * 10 - 5 AS z, x0 - 5 AS x0, y0 - 5 AS y0, x1 + 5 AS x1, y1 + 5 AS y1, 16777215 - (h % 5) * 1000 AS colour FROM blocks WHERE h % 3 = 0
+  SELECT doc_id, page_no, ord, 'tight' AS fill, ord * 10 - 5 AS z, x0 - 5 AS x0, y0 - 5 AS y0, x1 + 5 AS x1, y1 + 5 AS y1, CASE WHEN h % 6 = 0 THEN ink + 5 ELSE 16777215 - (h % 5) * 1000 END AS colour FROM blocks WHERE h % 3 = 0
   UNION ALL SELECT doc_id, page_no, ord, 'wide', ord * 10 - 6, 50, 30, 950, 530, 15658734 FROM blocks WHERE slot = 0 AND h % 2 = 0
   UNION ALL SELECT doc_id, page_no, ord, 'page', ord * 10 - 7, 0, 0, 1000, 1000, 16777215 FROM blocks WHERE slot = 0 AND doc_id % 4 = 0
-  UNION ALL SELECT doc_id, page_no, ord, 'cover', ord * 10 + 5, x0, y0, x0 + 150, y0 + 30, CASE WHEN h % 2 = 0 THEN ink + 5 ELSE ink + 2000000 END FROM blocks WHERE h % 8 = 3)"""
+  UNION ALL SELECT doc_id, page_no, ord, 'cover', ord * 10 + 5, x0, y0 - CASE WHEN h % 16 = 11 THEN 400 ELSE 0 END, x0 + 150, y0 + 30, CASE WHEN h % 2 = 0 THEN ink + 5 ELSE ink + 2000000 END FROM blocks WHERE h % 8 = 3)"""
 
 
 def pictures(docs: DataFrame) -> DataFrame:

@@ -309,4 +309,4 @@ def outline_anchor_exact(spark, sf_dir):
 
 # ---------------------------------------------------------------- over the model tables
 
-from quire.catalogue import signals, structure  # noqa: E402, F401
+from quire.catalogue import signals, structure, surgery  # noqa: E402, F401

@@ -105,3 +105,29 @@ def half_points(x: Column) -> Column:
 def upper_median(xs: Column) -> Column:
     """The element at n div 2 of the sorted array."""
     return F.sort_array(xs)[F.floor(F.size(xs) / 2).cast("int")]
+
+
+#: Ranges of strong right-to-left letters, and of scripts that part no words with blanks.
+RTL = "\\u0590-\\u08FF\\uFB1D-\\uFDFF\\uFE70-\\uFEFC"
+CJK = "\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF"
+
+
+def sanitize(s: Column) -> Column:
+    """Characters that XML does not allow become U+FFFD."""
+    return F.regexp_replace(s, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "�")
+
+
+def is_rtl(s: Column) -> Column:
+    """More letters of right-to-left scripts than others."""
+    rtl = count_matches(s, f"[{RTL}&&[\\p{{L}}]]")
+    return rtl * 2 > count_matches(s, "\\p{L}")
+
+
+def is_ltr_words(s: Column) -> Column:
+    """Neither right to left nor written without blanks; an empty text is."""
+    return ~is_rtl(s) & ~s.rlike(f"[{CJK}]")
+
+
+def ends_open(s: Column) -> Column:
+    """A line's text with a blank after it, unless it ends in one or in a hyphen."""
+    return F.when(s.rlike("[ \\t\\n\\x0B\\f\\r-]$") | (s == ""), s).otherwise(F.concat(s, F.lit(" ")))

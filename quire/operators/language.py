@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.words import LEAD, MIN_LETTERS, MIN_SHARE, MIN_TOKENS, SAMPLE_CHARS, STOPWORDS
@@ -10,36 +10,38 @@ from quire.functions.words import LEAD, MIN_LETTERS, MIN_SHARE, MIN_TOKENS, SAMP
 SCRIPTS = {"latin": "\\p{IsLatin}", "cyrillic": "\\p{IsCyrillic}", "greek": "\\p{IsGreek}", "arabic": "\\p{IsArabic}", "hebrew": "\\p{IsHebrew}", "han": "\\p{IsHan}", "kana": "\\p{IsHiragana}\\p{IsKatakana}", "hangul": "\\p{IsHangul}", "devanagari": "\\p{IsDevanagari}", "thai": "\\p{IsThai}"}
 
 
-def script_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, letters, and the letters of each script in the whole text."""
+def script_counts(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, others, letters, and the letters of each script in the whole text.
+
+    Letters that no text of Latin alone has are looked for first, so that most texts need one pass more, not ten.
+    """
     s = F.col("text")
-    return docs.select("doc_id", F.regexp_count(s, F.lit("\\p{L}")).cast("long").alias("letters"), *[F.regexp_count(s, F.lit(f"[{p}&&\\p{{L}}]")).cast("long").alias(n) for n, p in SCRIPTS.items()])
+    beyond = s.rlike("[\\p{L}&&[^\\p{IsLatin}]]")
 
+    def count(name, pattern):
+        n = F.regexp_count(s, F.lit(f"[{pattern}&&\\p{{L}}]"))
+        return n if name == "latin" else F.when(beyond, n).when(s.isNotNull(), 0)
 
-def stopword_table(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{lang}', '{w}')" for lang, ws in STOPWORDS.items() for w in ws.split())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS v(guess, token)")
+    return docs.select("doc_id", *others, F.regexp_count(s, F.lit("\\p{L}")).cast("long").alias("letters"), *[count(n, p).cast("long").alias(n) for n, p in SCRIPTS.items()])
 
 
 def guess(docs: DataFrame) -> DataFrame:
     """doc_id, guessed: a language or an empty string where it is too close to call.  Only a sample is looked at, the
     first SAMPLE_CHARS characters.
 
-    One exchange: tokens meet the function words in a broadcast join of fixed size, and votes are counted by document.
+    A projection of the document's row: tokens are looked up in the languages' sets of function words, no exchange.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    scripts = script_counts(docs)
-    tokens = docs.select("doc_id", F.explode(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda t: t != "")).alias("token"))
-    words = stopword_table(spark)
-    total = tokens.groupBy("doc_id").agg(F.count("*").alias("total"))
-    votes = tokens.join(F.broadcast(words), "token").groupBy("doc_id", "guess").agg(F.count("*").alias("n"))
-    ranked = votes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "guess")), False).alias("v"))
-    rows = scripts.join(total, "doc_id", "left").join(ranked, "doc_id", "left")
-    best, second = F.col("v")[0]["n"], F.coalesce(F.get("v", F.lit(1))["n"], F.lit(0))
+    sample = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    tokens = F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda t: t != "")
+    rows = script_counts(sample, "text").withColumn("tokens", tokens)
+    listed = sorted({w for ws in STOPWORDS.values() for w in ws.split()})
+    rows = rows.withColumn("total", F.size("tokens")).withColumn("hits", F.filter("tokens", lambda t: t.isin(listed)))
+    held = lambda lang: F.size(F.filter("hits", lambda t: t.isin(STOPWORDS[lang].split())))
+    rows = rows.withColumn("v", F.sort_array(F.array(*(F.struct(held(lang).alias("n"), F.lit(lang).alias("guess")) for lang in STOPWORDS)), False))
+    best, second = F.col("v")[0]["n"], F.col("v")[1]["n"]
     latin = (
         F.when(F.coalesce("total", F.lit(0)) < MIN_TOKENS, "")
-        .when(F.col("v").isNull() | (best < MIN_SHARE * F.col("total")), "")
+        .when((best == 0) | (best < MIN_SHARE * F.col("total")), "")
         .when((second > 0) & (best < LEAD * second), "")
         .otherwise(F.col("v")[0]["guess"])
     )

@@ -20,11 +20,11 @@ def page_boxes(lines: DataFrame) -> DataFrame:
     return boxes.groupBy("doc_id", "page_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def grid_boxes(lines: DataFrame, grid: int = 1000, width: float = 612.0, height: float = 842.0) -> DataFrame:
-    """Line boxes on a grid of 0..grid with the origin at the top left."""
+def grid_boxes(lines: DataFrame, grid: int = 1000, width: float = 612.0, height: float = 842.0, others: tuple[str, ...] = ()) -> DataFrame:
+    """Line boxes, with other columns, on a grid of 0..grid with the origin at the top left."""
     cell = lambda v, whole: F.least(F.lit(grid), F.greatest(F.lit(0), F.floor(v / whole * grid + 0.5))).cast("long")
     b = line_bounds(lines)
-    return b.select("doc_id", "line_no", cell(F.col("x0"), width).alias("gx0"), cell(height - F.col("y1"), height).alias("gy0"), cell(F.col("x1"), width).alias("gx1"), cell(height - F.col("y0"), height).alias("gy1"))
+    return b.select("doc_id", "line_no", *others, cell(F.col("x0"), width).alias("gx0"), cell(height - F.col("y1"), height).alias("gy0"), cell(F.col("x1"), width).alias("gx1"), cell(height - F.col("y0"), height).alias("gy1"))
 
 
 def font_profile(lines: DataFrame) -> DataFrame:
@@ -128,10 +128,12 @@ def repeated_elements(lines: DataFrame) -> DataFrame:
 
 
 def gap_above(lines: DataFrame) -> DataFrame:
-    """Grid distance from a paragraph's box to the nearest one above it on its page that overlaps it sideways, else -1."""
-    b = grid_boxes(lines).join(lines.select("doc_id", "line_no", "page_no", "para_no"), ["doc_id", "line_no"])
-    boxes = b.groupBy("doc_id", "page_no", "para_no").agg(F.min("gx0").alias("x0"), F.max("gx1").alias("x1"), F.min("gy0").alias("y0"), F.max("gy1").alias("y1"))
-    up = boxes.select("doc_id", "page_no", F.col("x0").alias("ux0"), F.col("x1").alias("ux1"), F.col("y1").alias("uy1"), F.col("y0").alias("uy0"))
-    meets = (F.col("uy0") < F.col("y0")) & (F.col("ux0") < F.col("x1")) & (F.col("x0") < F.col("ux1"))
-    pairs = boxes.join(up, ["doc_id", "page_no"]).groupBy("doc_id", "page_no", "para_no").agg(F.max("y0").alias("y0"), F.max(F.when(meets, F.col("uy1"))).alias("above"))
-    return pairs.select("doc_id", "page_no", "para_no", F.coalesce(F.col("y0") - F.col("above"), F.lit(-1)).cast("long").alias("gap"))
+    """Grid distance from a paragraph's box to the nearest one above it on its page that overlaps it sideways, else -1.
+
+    A page's boxes meet in one array; a page holds some dozens.
+    """
+    boxes = grid_boxes(lines, others=("page_no", "para_no")).groupBy("doc_id", "page_no", "para_no").agg(F.min("gx0").alias("x0"), F.max("gx1").alias("x1"), F.min("gy0").alias("y0"), F.max("gy1").alias("y1"))
+    pages = boxes.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("para_no", "x0", "x1", "y0", "y1")).alias("b"))
+    over = lambda o: F.array_max(F.transform(F.filter("b", lambda u: (u["y0"] < o["y0"]) & (u["x0"] < o["x1"]) & (o["x0"] < u["x1"])), lambda u: u["y1"]))
+    gaps = pages.select("doc_id", "page_no", F.explode(F.transform("b", lambda o: F.struct(o["para_no"].alias("para_no"), (o["y0"] - over(o)).alias("gap")))).alias("g"))
+    return gaps.select("doc_id", "page_no", "g.para_no", F.coalesce("g.gap", F.lit(-1)).cast("long").alias("gap"))

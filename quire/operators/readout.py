@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -23,31 +24,50 @@ def search(lines: DataFrame, needle: str) -> DataFrame:
 def vocabulary(lines: DataFrame) -> DataFrame:
     """Distinct whole words and hyphen compounds, lower case."""
     words = F.regexp_extract_all(F.lower("line"), F.lit("[\\p{L}]+(?:-[\\p{L}]+)*"), 0)
-    return lines.select("doc_id", F.explode(words).alias("word")).distinct().select("doc_id", "word", F.contains("word", F.lit("-")).alias("is_compound"))
+    return lines.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).distinct().select("doc_id", "word", F.contains("word", F.lit("-")).alias("is_compound"))
 
 
-def runs(lines: DataFrame) -> DataFrame:
-    """One run a word: doc_id, page_no, line_no, word_no, word, x, y, size, z."""
-    words = lines.select("doc_id", "page_no", "line_no", "y", "size", F.split("line", " ", -1).alias("w")).select("*", F.posexplode("w").alias("word_no", "word"))
-    before = F.aggregate(F.slice("w", 1, F.col("word_no")), F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1)
-    return words.select("doc_id", "page_no", "line_no", F.col("word_no").cast("long").alias("word_no"), "word", (72.0 + 5.0 * before).alias("x"), "y", "size", (F.col("line_no") * 100 + F.col("word_no")).alias("z")).where("word <> ''")
+def word_runs(line, line_no, y, size):
+    """The words of a line as runs: word_no, word, x, y, size, z; a word stands where its letters do."""
+    words = F.split(line, " ", -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word_no:bigint,word:string,x:double,y:double,size:double,z:bigint>>").alias("out"))
 
+    def step(acc, w):
+        no = F.size(acc["out"]).cast("long")
+        run = F.struct(no.alias("word_no"), w.alias("word"), (72.0 + 5.0 * acc["at"]).alias("x"), y.alias("y"), size.alias("size"), (line_no * 100 + no).alias("z"))
+        return F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(run)).alias("out"))
 
-def covers(runs_: DataFrame, every: int = 97) -> DataFrame:
-    """Opaque boxes laid over some words, painted after them."""
-    return runs_.where(F.pmod(F.col("doc_id") * 31 + F.col("word_no") + F.col("line_no"), F.lit(every)) == 0).select("doc_id", "page_no", F.col("line_no").alias("box_line"), F.col("x").alias("bx0"), (F.col("x") + 5.0 * F.length("word")).alias("bx1"), (F.col("y") - 0.2 * F.col("size")).alias("by0"), (F.col("y") + 0.8 * F.col("size")).alias("by1"), (F.col("z") + 0.5).alias("bz"))
+    return F.filter(F.aggregate(words, start, step, lambda acc: acc["out"]), lambda r: r["word"] != "")
 
 
-def hidden_words(runs_: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Words under an opaque box: the anchor (a quarter of the size in, 0.35 up) lies in the box, painted below it."""
-    ax, ay = F.col("x") + 0.25 * F.col("size"), F.col("y") + 0.35 * F.col("size")
-    inside = (ax >= F.col("bx0")) & (ax <= F.col("bx1")) & (ay >= F.col("by0")) & (ay <= F.col("by1")) & (F.col("z") < F.col("bz"))
-    return runs_.join(boxes, ["doc_id", "page_no"]).where(inside).select("doc_id", "page_no", "line_no", "word_no", "word").distinct()
+def page_runs(lines: DataFrame, every: int = 97) -> DataFrame:
+    """doc_id, page_no, line_no, runs, boxes: the runs of each line, and the opaque boxes of its page.
 
+    Boxes lie over some words, by number, and are painted after them.  One exchange: lines by page.
+    """
+    rows = lines.withColumn("runs", word_runs(F.col("line"), F.col("line_no"), F.col("y"), F.col("size")))
+    covered = F.filter("runs", lambda r: F.pmod(F.col("doc_id") * 31 + r["word_no"] + F.col("line_no"), F.lit(every)) == 0)
+    box = F.transform(covered, lambda r: F.struct(r["x"].alias("x0"), (r["x"] + 5.0 * F.length(r["word"])).alias("x1"), (r["y"] - 0.2 * r["size"]).alias("y0"), (r["y"] + 0.8 * r["size"]).alias("y1"), (r["z"] + 0.5).alias("z")))
+    rows = rows.select("doc_id", "page_no", "line_no", "runs", box.alias("own"))
+    boxes = F.flatten(F.collect_list("own").over(W.partitionBy("doc_id", "page_no")))
+    return rows.withColumn("boxes", boxes).drop("own")
 
-def redacted(runs_: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The runs that remain once hidden words are cut out."""
-    return runs_.join(hidden_words(runs_, boxes), ["doc_id", "page_no", "line_no", "word_no"], "left_anti")
+
+def hidden(run, boxes):
+    """Is a run under an opaque box?  Its anchor (a quarter of the size in, 0.35 up) lies in the box, painted below it."""
+    ax, ay = run["x"] + 0.25 * run["size"], run["y"] + 0.35 * run["size"]
+    return F.exists(boxes, lambda b: (ax >= b["x0"]) & (ax <= b["x1"]) & (ay >= b["y0"]) & (ay <= b["y1"]) & (run["z"] < b["z"]))
+
+
+def hidden_words(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, line_no, word_no, word of the runs under a box (pages as page_runs gives them)."""
+    rows = pages.where(F.size("boxes") > 0).select("doc_id", "page_no", "line_no", F.explode(F.filter("runs", lambda r: hidden(r, F.col("boxes")))).alias("r"))
+    return rows.select("doc_id", "page_no", "line_no", "r.word_no", "r.word")
+
+
+def redacted(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, line_no, runs: what remains once hidden words are cut out."""
+    return pages.withColumn("runs", F.filter("runs", lambda r: ~hidden(r, F.col("boxes")))).drop("boxes")
 
 
 def page_set(lines: DataFrame, slots: list[int]) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-DOC = W.partitionBy("doc_id")
 #: How much larger than the body a display size is, and sizes that are one level.
 LARGER, SAME_SIZE = 1.08, 0.6
 #: Pages, or lines, on which a heading style recurs; paragraphs of copy that make a text style.
@@ -24,7 +23,7 @@ def style_levels(lines: DataFrame) -> DataFrame:
     top = F.max("size").over(W.partitionBy("doc_id", "page_no"))
     rows = lines.withColumn("tops", F.col("size") >= top - SAME_SIZE)
     styles = rows.groupBy("doc_id", "size", "bold").agg(F.sum("n_chars").alias("ink"), F.count("*").alias("n_lines"), F.collect_set("page_no").alias("pages"), F.min("tops").alias("tops"), F.sum(F.col("copy").cast("long")).alias("copies"))
-    body = F.first(F.struct("size", "bold")).over(DOC.orderBy(F.col("ink").desc(), F.col("size").desc(), F.col("bold").desc()))
+    body = F.first(F.struct("size", "bold")).over(W.partitionBy("doc_id").orderBy(F.col("ink").desc(), F.col("size").desc(), F.col("bold").desc()))
     s = styles.withColumn("body", body).withColumn("is_body", (F.col("size") == F.col("body.size")) & (F.col("bold") == F.col("body.bold")))
     larger = F.col("size") >= F.col("body.size") * LARGER
     heavier = ~larger & F.col("bold") & ~F.col("body.bold") & (F.abs(F.col("size") - F.col("body.size")) <= SAME_SIZE)
@@ -32,9 +31,9 @@ def style_levels(lines: DataFrame) -> DataFrame:
     recurs = (F.size("pages") >= MIN_PAGES) | (F.col("n_lines") >= MIN_LINES)
     s = s.withColumn("raised", free & (larger | heavier)).withColumn("head", F.col("raised") & recurs)
     s = s.withColumn("display", free & ~F.col("head") & larger & F.col("tops"))
-    shown = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("display"), F.col("pages"))).over(DOC))))
-    s = s.withColumn("magazine", (F.count(F.when(F.col("display"), 1)).over(DOC) > 1) & (shown >= MIN_LINES))
-    heads = F.sort_array(F.collect_list(F.when(F.col("head"), F.struct("size", "bold", "tops"))).over(DOC), asc=False)
+    shown = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("display"), F.col("pages"))).over(W.partitionBy("doc_id")))))
+    s = s.withColumn("magazine", (F.count(F.when(F.col("display"), 1)).over(W.partitionBy("doc_id")) > 1) & (shown >= MIN_LINES))
+    heads = F.sort_array(F.collect_list(F.when(F.col("head"), F.struct("size", "bold", "tops"))).over(W.partitionBy("doc_id")), asc=False)
     s = s.withColumn("heads", heads)
     beside = F.coalesce(F.col("magazine") & F.get(F.col("heads"), F.lit(0))["tops"], F.lit(False))
     before = F.when(F.col("magazine") & ~beside, 1).otherwise(0)
@@ -48,7 +47,7 @@ def style_levels(lines: DataFrame) -> DataFrame:
         return F.struct(F.when(fresh, x["size"].cast("double")).otherwise(acc["size"]).alias("size"), F.when(fresh, x["bold"]).otherwise(acc["bold"]).alias("bold"), level.alias("level"), own.alias("own"))
 
     level = F.when(F.col("head"), F.aggregate("heads", none, fold)["own"] + before).when(F.col("magazine") & F.col("display"), 1).otherwise(0)
-    largest = F.max(F.when(F.col("raised"), F.struct("size", "bold"))).over(DOC)
+    largest = F.max(F.when(F.col("raised"), F.struct("size", "bold"))).over(W.partitionBy("doc_id"))
     first = F.get(F.col("heads"), F.lit(0))["size"]
     title = ~F.col("magazine") & ~F.col("head") & (F.struct("size", "bold") == largest) & (first.isNull() | (F.col("size") > first + SAME_SIZE))
     return s.select("doc_id", "size", "bold", "ink", "n_lines", F.size("pages").cast("long").alias("n_pages"), "is_body", F.coalesce(title, F.lit(False)).alias("is_title"), level.cast("long").alias("level"))
@@ -116,7 +115,7 @@ def anchors(outline: DataFrame, blocks: DataFrame) -> DataFrame:
     part = F.startswith("key", "want") | F.startswith("want", "key") | F.contains("key", "want")
     tier = F.when(named & (F.col("key") == F.col("want")), 1).when(named & part, 2).otherwise(3)
     best = pairs.groupBy("doc_id", "entry").agg(F.min(F.struct(tier.alias("tier"), F.abs(F.col("y0") - F.col("y")).alias("far"), "ord")).alias("b"))
-    sure = F.min("b.tier").over(DOC)
+    sure = F.min("b.tier").over(W.partitionBy("doc_id"))
     return best.withColumn("sure", sure).where("sure < 3").select("doc_id", "entry", F.col("b.ord").alias("ord"), F.col("b.tier").cast("long").alias("tier"))
 
 
@@ -142,7 +141,7 @@ def heading_roles(structures: DataFrame, blocks: DataFrame, priority: tuple[str,
     structures: doc_id, structure, seq, ord, level.
     """
     rank = F.array_position(F.array(*(F.lit(x) for x in priority)), F.col("structure"))
-    best = structures.withColumn("rank", rank).where("rank > 0").withColumn("best", F.min("rank").over(DOC)).where("rank = best")
+    best = structures.withColumn("rank", rank).where("rank > 0").withColumn("best", F.min("rank").over(W.partitionBy("doc_id"))).where("rank = best")
     first = best.groupBy("doc_id", "ord").agg(F.min(F.struct("seq", "level")).alias("f"))
     return blocks.join(first, ["doc_id", "ord"], "left").select("doc_id", "ord", F.when(F.col("f").isNull(), "P").otherwise(F.concat(F.lit("H"), F.col("f.level").cast("string"))).alias("role"))
 
@@ -191,13 +190,13 @@ def grounded(replies: DataFrame, blocks: DataFrame, least_percent: int = 50) ->
     """
     known = replies.join(blocks.select("doc_id", "ord"), ["doc_id", "ord"], "left_semi").groupBy("doc_id", "ord").agg(F.min("label").alias("label"))
     total = blocks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return known.withColumn("hit", F.count("*").over(DOC)).join(total, "doc_id").where(F.col("hit") * 100 >= F.col("n") * least_percent).select("doc_id", "ord", "label")
+    return known.withColumn("hit", F.count("*").over(W.partitionBy("doc_id"))).join(total, "doc_id").where(F.col("hit") * 100 >= F.col("n") * least_percent).select("doc_id", "ord", "label")
 
 
 def refine_windows(blocks: DataFrame, most_pages: int = 4, most_blocks: int = 80) -> DataFrame:
     """doc_id, window, first_page, last_page, n_blocks: a document is asked about as a whole, or page by page from so many pages or blocks on."""
     pages = blocks.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
-    split = (F.count("*").over(DOC) >= most_pages) | (F.sum("n").over(DOC) >= most_blocks)
+    split = (F.count("*").over(W.partitionBy("doc_id")) >= most_pages) | (F.sum("n").over(W.partitionBy("doc_id")) >= most_blocks)
     return pages.withColumn("window", F.when(split, F.col("page_no")).otherwise(0)).groupBy("doc_id", "window").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.sum("n").alias("n_blocks"))
 
 

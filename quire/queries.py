@@ -43,7 +43,7 @@ def lang_guess(spark, sf_dir):
 @query(f"""
 SELECT doc_id, len(regexp_extract_all(t, '\\p{{L}}'))::BIGINT AS letters, len(regexp_extract_all(t, '\\p{{Latin}}'))::BIGINT AS latin,
   len(regexp_extract_all(t, '\\p{{Cyrillic}}'))::BIGINT AS cyrillic, len(regexp_extract_all(t, '\\p{{Han}}'))::BIGINT AS han
-FROM (SELECT doc_id, substring(text, 1, {SAMPLE_CHARS}) AS t FROM documents)""")
+FROM (SELECT doc_id, text AS t FROM documents)""")
 def lang_script_counts(spark, sf_dir):
     return language.script_counts(documents(spark, sf_dir)).select("doc_id", "letters", "latin", "cyrillic", "han")
 
@@ -163,12 +163,14 @@ def level_reconcile(spark, sf_dir):
 
 def with_heads(spark, sf_dir):
     """Pages with a head line and a folio over their own lines."""
-    own = lines(spark, sf_dir).select("doc_id", "page_no", "slot", "line", "source", "size", "y")
-    pages = own.select("doc_id", "page_no", "source").distinct()
-    made = lambda slot, line: pages.select("doc_id", "page_no", F.lit(slot).cast("long").alias("slot"), line.alias("line"), F.lit(10.0).alias("size"), F.lit(798.0 - 14 * slot).alias("y"))
+    own = lines(spark, sf_dir)
+    row = lambda slot, line, size, y: F.struct(slot.cast("long").alias("slot"), line.alias("line"), size.alias("size"), y.alias("y"))
+    made = lambda slot, line: row(F.lit(slot), line, F.lit(10.0), F.lit(798.0 - 14 * slot))
     head = made(0, F.concat(F.lit("From "), F.coalesce("source", F.lit("?"))))
     folio = made(1, F.concat(F.lit("Page "), (F.col("page_no") + 1).cast("string")))
-    return head.union(folio).union(own.select("doc_id", "page_no", (F.col("slot") + 2).alias("slot"), "line", "size", "y"))
+    body = row(F.col("slot") + 2, F.col("line"), F.col("size"), F.col("y"))
+    rows = own.select("doc_id", "page_no", F.explode(F.when(F.col("slot") == 0, F.array(head, folio, body)).otherwise(F.array(body))).alias("l"))
+    return rows.select("doc_id", "page_no", "l.*")
 
 
 @query(WITH_LINES + f""", pg AS (SELECT DISTINCT doc_id, page_no, source FROM lines),
@@ -249,14 +251,13 @@ hidden AS (SELECT DISTINCT r.doc_id, r.page_no, r.line_no, r.word_no::BIGINT AS
 
 @query(WITH_LINES + _RUNS + "SELECT * FROM hidden")
 def redact_text_under_box(spark, sf_dir):
-    r = readout.runs(lines(spark, sf_dir))
-    return readout.hidden_words(r, readout.covers(r))
+    return readout.hidden_words(readout.page_runs(lines(spark, sf_dir)))
 
 
 @query(WITH_LINES + _RUNS + "SELECT doc_id, count(*)::BIGINT AS n_left FROM words2 w WHERE NOT EXISTS (SELECT 1 FROM hidden h WHERE h.doc_id = w.doc_id AND h.page_no = w.page_no AND h.line_no = w.line_no AND h.word_no = w.word_no) GROUP BY 1")
 def redact_apply(spark, sf_dir):
-    r = readout.runs(lines(spark, sf_dir))
-    return readout.redacted(r, readout.covers(r)).groupBy("doc_id").agg(F.count("*").alias("n_left"))
+    left = readout.redacted(readout.page_runs(lines(spark, sf_dir)))
+    return left.groupBy("doc_id").agg(F.sum(F.size("runs")).alias("n_left")).where("n_left > 0")
 
 
 @query(WITH_LINES + "SELECT doc_id, p.i::BIGINT AS new_page, page_no, count(*)::BIGINT AS n_lines FROM lines JOIN (VALUES (0, 1), (1, 0), (2, 1)) AS p(i, src) ON page_no = src GROUP BY 1, 2, 3")
@@ -309,4 +310,5 @@ def outline_anchor_exact(spark, sf_dir):
 
 # ---------------------------------------------------------------- over the model tables
 
-from quire.catalogue import signals, structure, surgery  # noqa: E402, F401
+from quire.catalogue import readout as readout_queries  # noqa: E402, F401
+from quire.catalogue import scalars, signals, structure, surgery  # noqa: E402, F401

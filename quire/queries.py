@@ -311,4 +311,4 @@ def outline_anchor_exact(spark, sf_dir):
 # ---------------------------------------------------------------- over the model tables
 
 from quire.catalogue import readout as readout_queries  # noqa: E402, F401
-from quire.catalogue import scalars, signals, structure, surgery  # noqa: E402, F401
+from quire.catalogue import scalars, signals, sources, structure, surgery  # noqa: E402, F401

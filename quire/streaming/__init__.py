@@ -1,0 +1 @@
+"""Streams: the hot folder, its sink of finished files, and progress."""

@@ -4,7 +4,11 @@ Each source has a target of words.  A document is taken floor(r) times, r its so
 more with probability r - floor(r).  The extra copies are drawn by the cube method: inclusion probabilities move along
 the null space of two constraints, the number of documents and the number of words, until they are 0 or 1.  That flight
 runs in bounded buckets of a source; what is left of them (two documents a bucket at most) flies on together, and the
-last few of a source are landed with one constraint given up at a time, words last.
+last two of a source are landed with one constraint given up at a time, words last.  A few changes of the landed choice
+(settle) then bring the words nearest to the target.
+
+Both ways to move in a flight keep both constraints: small groups move along the projection of one row's axis (lead),
+larger ones do so for their largest rows and take the others three at a time (fly), as the projection costs a pass a row.
 """
 
 from __future__ import annotations
@@ -124,6 +128,42 @@ def land(sizes: np.ndarray, probability: np.ndarray, draws: np.ndarray) -> np.nd
     return p
 
 
+#: Changes that the landing tries at most, each of one unit or of two for one another.
+CHANGES = 8
+
+
+def settle(sizes: np.ndarray, whole: float, chosen: np.ndarray) -> np.ndarray:
+    """The rest of the landing: a few changes of the choice that bring its sum of sizes nearest to `whole`.
+
+    Each change swaps a chosen unit for one that is not, adds one or drops one, whichever leaves the least; the first in
+    order of size, then of place, on ties.
+    """
+    chosen = chosen.copy()
+    for _ in range(CHANGES):
+        over = float(sizes[chosen].sum() - whole)
+        best, change = abs(over), None
+        inside, outside = np.flatnonzero(chosen), np.flatnonzero(~chosen)
+        outside = outside[np.argsort(sizes[outside], kind="stable")]
+        for own, drop in ((inside, True), (outside, False)):
+            if len(own):
+                left = np.abs(over - sizes[own] if drop else over + sizes[own])
+                i = int(left.argmin())
+                if left[i] < best - 0.5:
+                    best, change = float(left[i]), [own[i]]
+        if len(inside) and len(outside):
+            want = sizes[inside] - over
+            at = np.searchsorted(sizes[outside], want)
+            for near in (np.minimum(at, len(outside) - 1), np.maximum(at - 1, 0)):
+                left = np.abs(over - sizes[inside] + sizes[outside[near]])
+                i = int(left.argmin())
+                if left[i] < best - 0.5:
+                    best, change = float(left[i]), [inside[i], outside[near[i]]]
+        if change is None:
+            break
+        chosen[change] = ~chosen[change]
+    return chosen
+
+
 UNIT = "source string, unit long, size long, p double, draw double"
 
 
@@ -137,6 +177,7 @@ def flights(units: DataFrame, buckets: int, final: bool) -> DataFrame:
         out = fly(size[order], p[order], draw[order])
         if final:
             out = land(size[order], out, draw[order])
+            out = settle(size[order], float((p * size).sum()), out > 0.5).astype(np.float64)
         return pa.table({"source": table.column("source"), "unit": pa.array(unit[order]), "size": pa.array(size[order]), "p": pa.array(out), "draw": pa.array(draw[order])})
 
     return units.withColumn("bucket", F.pmod(F.xxhash64("unit", F.lit(buckets)), F.lit(buckets)) if buckets > 1 else F.lit(0)).groupBy("source", "bucket").applyInArrow(lambda t: run(t.drop_columns(["bucket"])), UNIT)

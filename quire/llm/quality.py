@@ -75,7 +75,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
     """Trees from labelled documents; None where there are fewer than 20 or one class only.
 
-    Labels without a doc_id or a quality are left out; of several labels for one doc_id the lowest holds.
+    Labels without a doc_id or a quality are left out; of several labels for one doc_id the lowest holds, and of several
+    rows with it the one whose features come first.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = {r.doc_id: int(r.quality > 0) for r in chosen.collect()}
@@ -88,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest |
         for batch, data, offsets in B.pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(B.ids_of(batch)), pa.array(list(statistics(data, offsets)[1]), pa.list_(pa.float64()))], ["doc_id", "features"])
 
-    found = picked.mapInArrow(B.tidy(run), "doc_id long, features array<double>").dropDuplicates(["doc_id"]).collect()
+    found = picked.mapInArrow(B.tidy(run), "doc_id long, features array<double>").groupBy("doc_id").agg(F.min("features").alias("features")).collect()
     found.sort(key=lambda r: r.doc_id)
     y = np.array([rows[r.doc_id] for r in found], np.float64)
     if len(y) < 20 or y.min() == y.max():

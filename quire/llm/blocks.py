@@ -112,8 +112,22 @@ def release() -> None:
         trim(0)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker (one row may be larger).
+BATCH_BYTES = 8 << 20
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that releases its memory when its task ends."""
+    """A function for mapInArrow that releases its memory when its task ends.
+
+    The session's batches are bounded by BATCH_BYTES from then on, if they were larger: a batch is held several times
+    over, by the JVM, the pipe and the worker.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        given = spark.conf.get(key)
+        if not given.rstrip("b").isdigit() or int(given.rstrip("b")) > BATCH_BYTES:
+            spark.conf.set(key, str(BATCH_BYTES))
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

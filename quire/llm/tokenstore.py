@@ -36,11 +36,11 @@ END_ID = 2
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 20_000, 48 << 10
 SEGMENT_BYTES = 2 << 20
 #: Bytes of text that are encoded at once (more where a document is longer).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Bytes of frames that one task puts in order.
 SHARD_BYTES = 64 << 20
 #: Distinct words that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 13, 32]] = True
 #: Fixed value: the pre-tokenizer pattern that Encoder knows how to cut by.

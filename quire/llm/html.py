@@ -29,13 +29,17 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: An element closes an open one of these, up to the nearest of the fences.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "tbody", "thead"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
-AWAY = ("nav", "menu", "navbar", "breadcrumb", "breadcrumbs", "header", "masthead", "banner", "footer", "foot", "colophon", "copyright", "sidebar", "aside", "side", "widget", "rail", "ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "comment", "comments", "respond", "reply", "replies", "disqus", "discussion", "share", "social", "follow", "related", "recommended", "subscribe", "newsletter", "signup", "login", "search", "form", "tags", "pagination", "toolbar", "skip")
+AWAY = ("nav", "menu", "navbar", "breadcrumb", "breadcrumbs", "header", "masthead", "banner", "footer", "foot", "colophon", "copyright", "sidebar", "aside", "side", "widget", "rail", "ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "comment", "comments", "respond", "reply", "replies", "disqus", "discussion", "share", "social", "follow", "related", "recommended", "subscribe", "newsletter", "signup", "login", "search", "form", "tags", "pagination", "toolbar", "skip", "legal", "rights", "disclaimer", "terms", "privacy", "imprint", "thread", "responses", "reviews", "feedback")
 HOME = ("article", "content", "main", "post", "entry", "story", "body", "text", "page", "prose", "hentry")
 TAGS = (("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button", "input", "select", "dialog"), ("article", "main"), ("p", "pre", "blockquote"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "tbody", "thead", "tr", "td", "th"), ("div", "section"), ("body", "html"), ("figure", "figcaption"))
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|![^>]*+>|\?[^>]*+>|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([A-Za-z][^\s/>]*+)([^>]*+)>)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPACE = re.compile(r"\s+")
+#: What stands at the head of reader comments, and in legal notices, in some languages.
+_COMMENTS = re.compile(r"\b(?:comments?|responses?|repl(?:y|ies)|reader (?:opinions|letters)|kommentare?|leserbriefe|commentaires?|réactions?|comentarios?|respuestas?)\b", re.I)
+_LEGAL = re.compile(r"©|\(c\) ?(?:19|20)\d\d|\bcopyright\b|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits réservés\b|\btodos los derechos reservados\b", re.I)
+HEAD_CHARS, LEGAL_CHARS = 60, 300
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 _AWAY, _HOME = frozenset(AWAY), frozenset(HOME)
 _ROLE = {t: i for i, g in enumerate(TAGS) for t in g}
@@ -148,7 +152,7 @@ def attribute_hits(attrs: str) -> tuple[int, int]:
     return sum(t in _AWAY for t in tokens), sum(t in _HOME for t in tokens)
 
 
-FEATURES = (*(f"tag_{g[0]}" for g in TAGS), "away", "home", "parent_away", "parent_home", "depth", "siblings", "place", "chars", "chars_share", "link_share", "density", "size", "child_away", "under_home", "under_away")
+FEATURES = (*(f"tag_{g[0]}" for g in TAGS), "away", "home", "parent_away", "parent_home", "depth", "siblings", "place", "chars", "chars_share", "link_share", "density", "size", "child_away", "under_home", "under_away", "comment_head", "under_comment_head", "legal", "twins")
 
 
 def features(page: Page) -> np.ndarray:
@@ -165,6 +169,24 @@ def features(page: Page) -> np.ndarray:
         under[i] = (under[p][0] + (role in ("article", "main") or hits[p][1] > 0), under[p][1] + (role in ("nav", "menu", "header", "footer", "aside", "form") or hits[p][0] > 0))
         place[i] = kids[page.parent[i]]
         kids[page.parent[i]] += 1
+    # an element begins a thread of comments if its first text is a short one that says so
+    first: list[str | None] = [None] * n
+    legal = [0] * n
+    for i, t in page.blocks:
+        legal[i] |= len(t) <= LEGAL_CHARS and _LEGAL.search(t) is not None
+        while first[i] is None:
+            first[i] = t
+            if not i:
+                break
+            i = page.parent[i]
+    said = [t is not None and len(t) <= HEAD_CHARS and _COMMENTS.search(t) is not None and page.tag[i] not in ("#page", "html", "body") for i, t in enumerate(first)]
+    below = [False] * n
+    alike: dict[tuple[int, str, str], int] = {}
+    for i in range(1, n):
+        p = page.parent[i]
+        below[i] = below[p] or said[p]
+        key = (p, page.tag[i], page.attrs[i])
+        alike[key] = alike.get(key, 0) + 1
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
         chars[p] += chars[i]
@@ -180,7 +202,7 @@ def features(page: Page) -> np.ndarray:
         if role is not None:
             out[i, role] = 1
         p = max(0, page.parent[i])
-        out[i, k:] = (*hits[i], *hits[p], page.depth[i], kids[p], place[i] / max(1, kids[p]), math.log1p(chars[i]), chars[i] / whole, linked[i] / max(1, chars[i]), chars[i] / tags[i], math.log1p(size[i]), away[i], *under[i])
+        out[i, k:] = (*hits[i], *hits[p], page.depth[i], kids[p], place[i] / max(1, kids[p]), math.log1p(chars[i]), chars[i] / whole, linked[i] / max(1, chars[i]), chars[i] / tags[i], math.log1p(size[i]), away[i], *under[i], said[i], below[i], legal[i], alike.get((page.parent[i], page.tag[i], page.attrs[i]), 1) / max(1, kids[p]))
     return out
 
 
@@ -219,7 +241,7 @@ def made_up(rng: random.Random) -> tuple[str, list[int]]:
             b = el(rng.choice(["h1", "h2", "p", "div"]), 0, words(1, 5))
             return a[0] + b[0] + b[1] + (links(rng.randint(1, 5)) if rng.random() < 0.5 else "") + a[1]
         if kind == 2:
-            a = el("footer", 0, f"&copy; {words(2, 20)}") if rng.random() < 0.7 else el("div", 0, words(3, 20), rng.choice(["footer", "copyright", "site footer"]))
+            a = el("footer", 0, f"&copy; {words(2, 20)}") if rng.random() < 0.6 else el(rng.choice(["div", "p"]), 0, rng.choice(["&copy; 2021 ", "All rights reserved. ", "Copyright 2019 ", "Alle Rechte vorbehalten. "]) + words(1, 20), rng.choice(["", "legal", "bottom"])) if rng.random() < 0.4 else el("div", 0, words(3, 20), rng.choice(["footer", "copyright", "site footer", "legal", "disclaimer", "terms"]))
             return a[0] + (links(rng.randint(1, 4)) if rng.random() < 0.4 else "") + a[1]
         if kind == 3:
             a = el("aside", 0, cls=rng.choice(["", "sidebar"])) if rng.random() < 0.5 else el("div", 0, cls=rng.choice(["sidebar", "widget", "right rail", "side", "related", "recommended posts"]))
@@ -238,10 +260,15 @@ def made_up(rng: random.Random) -> tuple[str, list[int]]:
             b = el("p", 0, words(2, 20))
             return a[0] + b[0] + b[1] + a[1]
         if kind == 8:
-            a = el(rng.choice(["section", "div", "ol"]), 0, cls=rng.choice(["comments", "comment list", "discussion", "replies", "reader comments", "disqus"]))
+            plain = rng.random() < 0.3
+            a = el(rng.choice(["section", "div"]) if plain else rng.choice(["section", "div", "ol"]), 0, cls=rng.choice(["", "", "bottom"]) if plain else rng.choice(["comments", "comment list", "discussion", "replies", "reader comments", "disqus", "thread", "responses"]))
             out = a[0]
+            if plain or rng.random() < 0.3:
+                b = el(rng.choice(["h2", "h3", "h4", "p"]), 0, rng.choice(["Comments", f"{rng.randint(1, 40)} comments", f"Comments ({rng.randint(1, 9)})", "Responses", "Leave a reply", "Kommentare", f"{rng.randint(2, 30)} commentaires", "Comentarios", "Replies"]))
+                out += b[0] + b[1]
+            shell, name = rng.choice(["div", "article"]), rng.choice(["", "", "item", "user"])
             for _ in range(rng.randint(1, 5)):
-                b = el(rng.choice(["div", "li", "article"]), 0, cls=rng.choice(["comment", "reply", "comment body"]))
+                b = el(shell, 0, cls=name) if plain else el(rng.choice(["div", "li", "article"]), 0, cls=rng.choice(["comment", "reply", "comment body"]))
                 c = el("p", 0, words(3, 60))
                 out += b[0] + c[0] + c[1] + b[1]
             return out + a[1]
@@ -257,8 +284,14 @@ def made_up(rng: random.Random) -> tuple[str, list[int]]:
             open_, close = open_ + a[0], a[1] + close
         out = ""
         if rng.random() < 0.8:
+            inside = bool(shells) and shells[-1][0] in ("article", "main") and rng.random() < 0.45
+            b = el("header", 1, cls=rng.choice(["", "", "entry header", "post header"])) if inside else ("", "")
             a = el("h1", 1, words(2, 10))
-            out += a[0] + a[1]
+            out += b[0] + a[0] + a[1]
+            if inside and rng.random() < 0.6:
+                c = el("p", 1, words(2, 25))
+                out += c[0] + c[1]
+            out += b[1]
         for _ in range(rng.choice([1, 1, 2, 3, 5, 9])):
             kind = rng.random()
             if kind < 0.7:
@@ -282,6 +315,10 @@ def made_up(rng: random.Random) -> tuple[str, list[int]]:
                 out += a[0] + a[1]
             else:
                 out += away()
+        if rng.random() < 0.25:
+            # an article may end on such words of its own, and speak of comments
+            a = el("p", 1, rng.choice(["All rights reserved.", "<b>All rights reserved.</b>", f"&copy; 2020 {words(1, 4)}", f"{words(1, 4)} comments {words(1, 9)}", "Responses", "Alle Rechte vorbehalten."]))
+            out += a[0] + a[1]
         return open_ + out + close
 
     truth.append(1)

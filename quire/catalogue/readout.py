@@ -23,7 +23,8 @@ def broken_runs(docs):
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("ord", "run"))
     rows = r.select("doc_id", "text", "size", "y0", "x0", (n * 2).cast("long").alias("n"), F.regexp_extract("text", f"^(.*{_WORD}{{3}})({_WORD}{{3}}.*)$", 1).alias("head"), F.regexp_extract("text", f"^(.*{_WORD}{{3}})({_WORD}{{3}}.*)$", 2).alias("rest"))
     split = (F.col("n") % 6 == 0) & (F.col("head") != "")
-    loose = (F.col("n") % 24 == 6)
+    # capitals of ß differ between engines
+    loose = (F.col("n") % 24 == 6) & ~F.contains("rest", F.lit("ß"))
     tail = F.when(loose, F.initcap("rest")).otherwise(F.col("rest"))
     parts = F.when(split, F.array(F.struct(F.col("n").alias("run"), F.concat("head", F.lit("-")).alias("text"), F.lit(0).alias("step")), F.struct((F.col("n") + 1).alias("run"), tail.alias("text"), F.lit(1).alias("step")))).otherwise(F.array(F.struct(F.col("n").alias("run"), F.col("text"), F.lit(0).alias("step"))))
     return rows.select("doc_id", "size", "n", F.explode(parts).alias("p"), "x0").select("doc_id", "p.run", "p.text", (F.col("n") * 2 + F.when(F.col("n") % 12 == 0, 0).otherwise(20) * F.col("p.step")).alias("y"), "size", "x0")
@@ -33,7 +34,7 @@ _BROKEN = f"""
 n0 AS (SELECT doc_id, text, size, x0, row_number() OVER (PARTITION BY doc_id ORDER BY ord, run) * 2 AS n FROM runs),
 n1 AS (SELECT *, regexp_extract(text, '^(.*{_WORD}{{3}})({_WORD}{{3}}.*)$', 1) AS head, regexp_extract(text, '^(.*{_WORD}{{3}})({_WORD}{{3}}.*)$', 2) AS rest FROM n0),
 broken AS (SELECT doc_id, n AS run, CASE WHEN n % 6 = 0 AND head <> '' THEN head || '-' ELSE text END AS text, n * 2 AS y, size, x0 FROM n1
-  UNION ALL SELECT doc_id, n + 1, CASE WHEN n % 24 = 6 THEN array_to_string(list_transform(string_split(rest, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE rest END, n * 2 + CASE WHEN n % 12 = 0 THEN 0 ELSE 20 END, size, x0 FROM n1 WHERE n % 6 = 0 AND head <> ''),
+  UNION ALL SELECT doc_id, n + 1, CASE WHEN n % 24 = 6 AND NOT contains(rest, 'ß') THEN array_to_string(list_transform(string_split(rest, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE rest END, n * 2 + CASE WHEN n % 12 = 0 THEN 0 ELSE 20 END, size, x0 FROM n1 WHERE n % 6 = 0 AND head <> ''),
 vocab AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORD}[\\p{{L}}\\p{{Nd}}-]*')) AS word FROM broken) WHERE NOT ends_with(word, '-'))"""
 
 

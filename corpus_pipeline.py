@@ -41,12 +41,17 @@ STAGES = [
     ("token output", token_output),
 ]
 
-#: The trees, the cube method and the tokenizer have no SQL form; tests hold the stages against brute force.
+#: The trees, the cube method and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds the stages against
+#: a plain version of them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token files' rows; what the stages wrote before the files is removed once these are there."""
+    begun = len(blocks.made())
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = blocks.written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    blocks.drop(spark, begun, keep=("segments",))
+    return out

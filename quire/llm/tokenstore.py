@@ -40,7 +40,7 @@ PIECE_BYTES = 2 << 20
 #: Bytes of frames that one task puts in order.
 SHARD_BYTES = 64 << 20
 #: Distinct words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 13, 32]] = True
 #: Fixed value: the pre-tokenizer pattern that Encoder knows how to cut by.
@@ -153,10 +153,12 @@ class Encoder:
         at = np.flatnonzero(out < 0)
         if len(at):
             fresh = [pieces[i] for i in at.tolist()]
-            plain = [] if self.ends is None else [x for x in fresh if not _odd(x)]
-            if plain:
-                self.together(plain)
-            self.each(fresh if self.ends is None else [x for x in fresh if _odd(x)])
+            odd = fresh
+            if self.ends is not None:
+                marks = list(map(_odd, fresh))
+                self.together([x for x, m in zip(fresh, marks) if m is None])
+                odd = [x for x, m in zip(fresh, marks) if m is not None]
+            self.each(odd)
             out[at] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
         return out
 
@@ -187,7 +189,8 @@ class Encoder:
         """ids of all texts, each with the end id after it, and where each text's ids end."""
         data, edge, first = self.pieces(data, offsets)
         found = pa.LargeStringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        number = self.numbers(found.dictionary.to_pylist())[found.indices.to_numpy()]
+        # to_numpy makes the strings in one go, to_pylist one scalar after the other
+        number = self.numbers(found.dictionary.to_numpy(zero_copy_only=False).tolist())[found.indices.to_numpy()]
         number = np.insert(number, first[1:], 0)
         count = np.diff(self.edge)[number]
         ids = self.ids[spread(self.edge[number], count)]

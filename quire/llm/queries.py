@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cms, decontam, html, jaccard, license, lpf, mixing, quality, tokencount, tokenstore, twins
+from . import cms, decontam, html, jaccard, license, lpf, merkle, mixing, quality, tokencount, tokenstore, twins
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_cube_mixing, op3_suffix_array_dedup, op4_spaced_seed_decontamination, op5_count_min_dedup, op6_html_extraction, op7_license_scan, op8_token_output, op9_token_counts, op10_jaccard_join)
+    for f in (op1_quality_rules, op2_cube_mixing, op3_suffix_array_dedup, op4_spaced_seed_decontamination, op5_count_min_dedup, op6_html_extraction, op7_license_scan, op8_token_output, op9_token_counts, op10_jaccard_join, op11_merkle_manifest)
 }
 ORACLE_SQL: dict[str, str] = dict(twins.ORACLE_SQL)

@@ -38,4 +38,42 @@ links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)"""
 
-ORACLE_SQL = {"op3_suffix_array_dedup": SUBSTRINGS, "op5_count_min_dedup": WINDOWS, "op10_jaccard_join": NEAR_DUPLICATES}
+#: The table of crc32 by its rule, and the checksum of a list of bytes.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n))"
+_CRC = "xor(list_reduce(list_concat([4294967295], {}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree(name: str, levels: int) -> str:
+    """Levels of the trees over {name}0 (g, i, n, node), and the siblings of every node, as common tables."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT g, i // 8 AS i, (max(n) + 7) // 8 AS n, CASE WHEN max(n) = 1 THEN max(node) ELSE sha256(string_agg(node, '' ORDER BY i)) END AS node FROM {name}{k} GROUP BY g, i // 8)")
+        out.append(f"{name}s{k} AS MATERIALIZED (SELECT a.g, a.i, max(a.n) AS n, coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.i // 8 = b.i // 8 GROUP BY 1, 2)")
+    return ",\n".join(out)
+
+
+def _fold(name: str, tree: str, levels: int) -> str:
+    return ",\n".join(f"{name}{k + 1} AS (SELECT p.* EXCLUDE (i, proof, h), p.i // 8 AS i, proof || l || r AS proof, CASE WHEN s.n = 1 THEN h ELSE sha256(l || h || r) END AS h FROM {name}{k} p JOIN {tree}s{k} s ON s.g = p.g AND s.i = p.i)" for k in range(levels))
+
+
+#: Trees of up to 8 ** 10 leaves, and of up to 8 ** 4 languages.
+_DEEP, _WIDE = 10, 4
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+MANIFEST = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format(_FIELD.format("text"))} AS leaf, {_LEAF.format(_FIELD.format(_LOWERED.format("text")))} AS low,
+  coalesce({_CRC.format("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))")} % 3 = 0, false) AS touched FROM documents, crc),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+a0 AS (SELECT g, i, n, leaf AS node FROM o),
+{_tree("a", _DEEP)},
+t0 AS MATERIALIZED (SELECT '' AS g, g AS lang, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, node FROM a{_DEEP}),
+{_tree("t", _WIDE)},
+p0 AS (SELECT doc_id, leaf, g, i, '' AS proof, CASE WHEN touched THEN low ELSE leaf END AS h FROM o),
+{_fold("p", "a", _DEEP)},
+q0 AS (SELECT doc_id, leaf, node AS subroot, t0.g, t0.i, proof, h FROM p{_DEEP} p JOIN t0 ON t0.lang = p.g),
+{_fold("q", "t", _WIDE)}
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = node AS verified FROM q{_WIDE} JOIN t{_WIDE} USING (g)"""
+
+ORACLE_SQL = {"op11_merkle_manifest": MANIFEST, "op3_suffix_array_dedup": SUBSTRINGS, "op5_count_min_dedup": WINDOWS, "op10_jaccard_join": NEAR_DUPLICATES}

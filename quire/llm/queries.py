@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cms, decontam, html, jaccard, license, lpf, merkle, mixing, quality, tokencount, tokenstore, twins
+from . import cms, decontam, html, importance, jaccard, license, lpf, merkle, mixing, quality, tokencount, tokenstore, twins, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +61,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_cube_mixing, op3_suffix_array_dedup, op4_spaced_seed_decontamination, op5_count_min_dedup, op6_html_extraction, op7_license_scan, op8_token_output, op9_token_counts, op10_jaccard_join, op11_merkle_manifest)
+    for f in (op1_quality_rules, op2_cube_mixing, op3_suffix_array_dedup, op4_spaced_seed_decontamination, op5_count_min_dedup, op6_html_extraction, op7_license_scan, op8_token_output, op9_token_counts, op10_jaccard_join, op11_merkle_manifest, op12_importance_resampling, op13_warc_conversion)
 }
 ORACLE_SQL: dict[str, str] = dict(twins.ORACLE_SQL)

@@ -76,4 +76,28 @@ q0 AS (SELECT doc_id, leaf, node AS subroot, t0.g, t0.i, proof, h FROM p{_DEEP}
 {_fold("q", "t", _WIDE)}
 SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = node AS verified FROM q{_WIDE} JOIN t{_WIDE} USING (g)"""
 
-ORACLE_SQL = {"op11_merkle_manifest": MANIFEST, "op3_suffix_array_dedup": SUBSTRINGS, "op5_count_min_dedup": WINDOWS, "op10_jaccard_join": NEAR_DUPLICATES}
+_TOKENS = f"regexp_extract_all({_LOWERED.format('coalesce(text, {})')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format("''")
+_HEX = "(instr('0123456789abcdef', lower(substr({}, {}, 1))) - 1)"
+_BYTES = "list_transform(range(1, 2 * strlen(word), 2), lambda i: 16 * " + _HEX.format("hex(encode(word))", "i") + " + " + _HEX.format("hex(encode(word))", "i + 1") + ")"
+_DRAW = "list_reduce(list_transform(range(1, 9), lambda i: " + _HEX.format("digest", "i") + "), lambda a, b: 16 * a + b)"
+IMPORTANCE = f"""
+WITH {_CRC_TABLE},
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w, sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM documents),
+own AS MATERIALIZED (SELECT r, unnest(w) AS word FROM d),
+target AS MATERIALIZED (SELECT unnest({_TOKENS}) AS word FROM benchmark),
+buckets AS MATERIALIZED (SELECT word, ({_CRC.format(_BYTES)} % 10000)::BIGINT AS b FROM (SELECT word FROM own UNION SELECT word FROM target), crc),
+s AS (SELECT b, count(*) AS s FROM own JOIN buckets USING (word) GROUP BY 1),
+t AS (SELECT b, count(*) AS t FROM target JOIN buckets USING (word) GROUP BY 1),
+gains AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM own) + 10000)) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM target) + 10000))))::BIGINT AS gain FROM range(10000) x(b) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+sums AS (SELECT r, sum(gain)::BIGINT AS weight FROM own JOIN buckets USING (word) JOIN gains USING (b) GROUP BY 1),
+scored AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(({_DRAW} + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN sums USING (r)),
+able AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END::BIGINT AS rank FROM scored LEFT JOIN able USING (r)"""
+
+ARCHIVES = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1),
+r AS (SELECT p.*, first, row_number() OVER (PARTITION BY p.d ORDER BY page_id) AS k FROM p LEFT JOIN f ON f.d = p.d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND k > 1 THEN first END AS refers_to FROM r"""
+
+ORACLE_SQL = {"op13_warc_conversion": ARCHIVES, "op12_importance_resampling": IMPORTANCE, "op11_merkle_manifest": MANIFEST, "op3_suffix_array_dedup": SUBSTRINGS, "op5_count_min_dedup": WINDOWS, "op10_jaccard_join": NEAR_DUPLICATES}

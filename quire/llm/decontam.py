@@ -5,8 +5,8 @@ mask looks at some and ignores the others, so a replaced word breaks only the se
 so that every overlap which the verifier admits leaves a seed intact, whichever words are replaced or cut off.  Seeds that a
 document and a benchmark item share are put on diagonals (place in the document less place in the item), and each
 diagonal is verified word by word: a leak is a stretch of min(13, item) words of which at least 80 % are equal.
-Items of 5 to 8 words have shorter masks of their own, items of 4 words are seeds as a whole; items of fewer than
-MIN_WORDS words are not looked for.
+Items of 5 to 8 words have shorter masks of their own; items of 1 to 4 words are seeds as a whole, since the 80 % rule allows
+them no other word, and their first place in a document is their leak.
 
 A benchmark of up to PART_BYTES is sent to every executor and joined with the seeds of a document where it lies.  A larger
 one is a table of seeds: the corpus, in blocks, is read once, seeds that a bit table of fixed size does not rule out are
@@ -28,6 +28,9 @@ from .blocks import Block, U
 #: Places that each mask looks at, by the words of the item; the last entry serves all items from 9 words on.  Of 5 to 9
 #: words one may differ, of 10 to 13 two.
 MASKS = {
+    1: ((0,),),
+    2: ((0, 1),),
+    3: ((0, 1, 2),),
     4: ((0, 1, 2, 3),),
     5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)),
     6: ((0, 1, 2, 3), (0, 1, 3, 4)),
@@ -36,7 +39,12 @@ MASKS = {
     9: ((0, 1, 2, 3, 5, 6), (0, 1, 4, 5, 6, 7), (0, 1, 3, 4, 7, 8), (0, 1, 2, 3, 5, 7), (0, 2, 4, 5, 6, 7)),
 }
 LONG = 9
+#: Items of up to so many words must be equal word by word.
+EXACT = 4
+#: A filter leaves documents alone that hold an item of fewer words: one or two common words are no passage.
 MIN_WORDS = 4
+#: Seeds of a document are dealt to so many tasks a seed.
+SALTS = 8
 STRETCH = 13
 EQUAL_PERCENT = 80
 #: Bytes of benchmark text up to which it is sent to every executor.
@@ -49,6 +57,10 @@ GAP[:128] = True
 GAP[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
+#: The same words as a pattern.
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[B.Words, np.ndarray]:
     data = B.LOWER[data]
     w = B.Words(data, offsets, GAP)
@@ -65,6 +77,19 @@ def seed_hashes(wh: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+#: Salts of masks for items of more than EXACT words start here.
+EXACT_SALT = U(100 * (EXACT + 1))
+
+
+def first_places(w: B.Words, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each seed once a text, at its first word."""
+    order = np.lexsort((at, key, w.doc[at]))
+    k, d = key[order], w.doc[at[order]]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    return k[new], at[order[new]]
+
+
 def overlap(words: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int] | None:
     """(equal words, -first word) of an item laid over a text from `diagonal` on, null where no stretch has enough."""
     n = len(item)
@@ -87,7 +112,7 @@ class Benchmark:
         keys, items, places = [], [], []
         #: (mask, salt) of the masks that items of this part need; a salt follows from the size and the mask's number.
         self.masks = []
-        for size in sorted({min(int(n), LONG) for n in w.counts if n >= MIN_WORDS}):
+        for size in sorted({min(int(n), LONG) for n in w.counts if n}):
             own = (w.counts == size) if size < LONG else (w.counts >= LONG)
             for number, mask in enumerate(MASKS[size]):
                 self.masks.append((mask, U(100 * size + number + 1)))
@@ -106,8 +131,6 @@ class Benchmark:
 
     def hits(self, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, items and places in the items of all seeds of a text that are seeds of the benchmark."""
-        some = self.seen[key >> U(64 - TABLE_BITS)]
-        key, at = key[some], at[some]
         lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
         n = hi - lo
         to = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
@@ -120,7 +143,12 @@ class Benchmark:
         for mask, salt in self.masks:
             at = B.window_starts(w.first, w.counts, mask[-1] + 1)
             if len(at):
-                found.append(self.hits(seed_hashes(wh, mask)[at] ^ salt, at))
+                key = seed_hashes(wh, mask)[at] ^ salt
+                some = self.seen[key >> U(64 - TABLE_BITS)]
+                key, at = key[some], at[some]
+                if salt < EXACT_SALT:
+                    key, at = first_places(w, key, at)
+                found.append(self.hits(key, at))
         if not found:
             return []
         word, item, place = (np.concatenate(x) for x in zip(*found))
@@ -137,7 +165,8 @@ class Benchmark:
 
 
 def item_rows(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    """The items; equal rows are one."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
 
 
 def sent(benchmark: DataFrame) -> Benchmark | None:
@@ -164,7 +193,7 @@ def seed_table(benchmark: DataFrame) -> DataFrame:
                     salts = pa.array([own.key.view(np.int64)], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(i, 1), batch.column("item").slice(i, 1), pa.array([own.words.tobytes()], pa.binary()), salts, pa.array([own.place], pa.list_(pa.int64()))], ["item_id", "item", "words", "seeds", "places"])
 
-    rows = item_rows(benchmark).distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    rows = item_rows(benchmark).withColumn("item", F.xxhash64("item_id", "text"))
     return B.written(rows.mapInArrow(B.tidy(run), "item_id long, item long, words binary, seeds array<long>, places array<long>"), "items")
 
 
@@ -199,19 +228,25 @@ def joined_leaks(table: DataFrame, benchmark: DataFrame) -> DataFrame:
                         cell = (key >> U(64 - FILTER_BITS)).astype(np.int64)
                         some = (bits.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
                         key, at = key[some], at[some]
+                        if salt < EXACT_SALT:
+                            key, at = first_places(w, key, at)
                         if len(key):
                             doc = w.doc[at]
                             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), block.id)), pa.array((doc + a).astype(np.int32)), pa.array(at - w.first[doc])], ["seed", "block_id", "idx", "at"])
 
-    hits = table.drop("rest").mapInArrow(B.tidy(find), "seed long, block_id long, idx int, at long")
-    pairs = hits.join(seeds, "seed").select("block_id", "idx", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
-    wanted = pairs.join(items.select("item", "item_id", "words"), "item").groupBy("block_id").agg(F.collect_list(F.struct("idx", "diagonal", "item_id", "item", "words")).alias("pairs"))
+    hits = table.drop("rest").mapInArrow(B.tidy(find), "seed long, block_id long, idx int, at long").withColumn("salt", F.pmod("block_id", F.lit(SALTS)))
+    seeds = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    pairs = B.written(hits.join(seeds, ["seed", "salt"]).select("block_id", "idx", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct(), "pairs")
+    # an item's words go to a block once, however many of its pairs are there
+    own = pairs.select("block_id", "item").distinct().join(items.select("item", "item_id", "words"), "item").groupBy("block_id").agg(F.collect_list(F.struct("item", "item_id", "words")).alias("items"))
+    wanted = pairs.groupBy("block_id").agg(F.collect_list(F.struct("idx", "diagonal", "item")).alias("pairs")).join(own, "block_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 block = Block(row)
+                texts = {x["item"]: (x["item_id"], np.frombuffer(x["words"], np.uint64)) for x in row["items"]}
                 by_doc: dict[int, list[dict]] = {}
                 for p in row["pairs"]:
                     by_doc.setdefault(p["idx"], []).append(p)
@@ -221,10 +256,10 @@ def joined_leaks(table: DataFrame, benchmark: DataFrame) -> DataFrame:
                     _, wh = word_hashes(data, np.array([0, len(data)]))
                     best: dict[int, tuple] = {}
                     for p in own:
-                        item = np.frombuffer(p["words"], np.uint64)
+                        item_id, item = texts[p["item"]]
                         got = overlap(wh, item, p["diagonal"])
                         if got is not None:
-                            best[p["item"]] = max(best.get(p["item"], (*got, p["item_id"], len(item))), (*got, p["item_id"], len(item)))
+                            best[p["item"]] = max(best.get(p["item"], (*got, item_id, len(item))), (*got, item_id, len(item)))
                     out += [(block.id, doc, int(block.ids[doc]), item_id, n, words, -first) for n, first, item_id, words in best.values()]
                 if out:
                     cols = [np.array(c, np.int64) for c in zip(*out)]
@@ -239,8 +274,9 @@ LEAK = "doc_id long, item_id long, n_equal long, item_words long, first_word lon
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_equal, item_words, first_word) of every leak of a benchmark item in a document.
 
-    Null and empty texts, items without an id and items of fewer than MIN_WORDS words give none.  Repeated rows each
-    give their leaks.  Empty tables give no rows; other columns are not looked at.
+    Null and empty texts, items without an id and items without a word give none.  Repeated documents each give their
+    leaks; equal rows of the benchmark count as one item, rows of one item_id with other texts as several.  Empty tables
+    give no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
     part = sent(benchmark)
@@ -262,8 +298,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any leak, with all their columns."""
+    """The rows of docs without any leak of an item of MIN_WORDS words or more, with all their columns.
+
+    Null and empty texts stay, repeated rows share their fate, an empty benchmark takes nothing away.
+    """
     spark = docs.sparkSession
+    rows = item_rows(benchmark)
+    benchmark = rows.where(F.size(F.regexp_extract_all("text", F.lit(WORD), 0)) >= MIN_WORDS)
     part = sent(benchmark)
     if part is None:
         table = B.block_table(docs, whole=True)

@@ -14,7 +14,6 @@ larger ones do so for their largest rows and take the others three at a time (fl
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -266,9 +265,7 @@ def row_table(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     mark = "_" * (1 + max(map(len, docs.columns)))
     source = F.col("source").cast("string")
     own = docs.select("*", source.alias(f"{mark}source"), F.xxhash64(F.col("doc_id").cast("long"), source, "text").alias(f"{mark}unit"))
-    name = f"quire_rows_{uuid.uuid4().hex}"
-    own.mapInArrow(B.tidy(run), "block_id long, n_docs int, body binary").write.bucketBy(B.partitions(spark), "block_id").option("path", f"{B.shared_dir(spark)}/rows").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return B.bucketed(own.mapInArrow(B.tidy(run), "block_id long, n_docs int, body binary"), "rows")
 
 
 def unpacked(body: bytes) -> Iterator[tuple[int, pa.RecordBatch]]:

@@ -17,7 +17,7 @@ def leaked(item, texts):
     return {x[0] for x in decontam.Benchmark(np.array([7]), *arrays([item])).leaks(*arrays(texts))}
 
 
-@pytest.mark.parametrize("n", range(decontam.MIN_WORDS, decontam.STRETCH + 1))
+@pytest.mark.parametrize("n", range(1, decontam.STRETCH + 1))
 def test_every_admitted_pattern_is_found(n):
     words = [f"w{i}" for i in range(n)]
     most = n - -(-decontam.EQUAL_PERCENT * n // 100)
@@ -41,4 +41,4 @@ def test_stretches_of_longer_items_are_found():
 def test_items_of_several_lengths_share_a_part():
     items = ["a b c d", "a b c d e", "f g h i j k", " ".join(f"w{i}" for i in range(15)), "a b", ""]
     got = decontam.Benchmark(np.arange(6), *arrays(items)).leaks(*arrays(["x a b c d y", "f g no i j k", "", "w1 w2 w3", " ".join(f"w{i}" for i in range(2, 15))]))
-    assert {x[:2] for x in got} == {(0, 0), (0, 1), (1, 2), (4, 3)}
+    assert {x[:2] for x in got} == {(0, 0), (0, 1), (0, 4), (1, 2), (4, 3)}

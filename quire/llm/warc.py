@@ -39,6 +39,8 @@ BATCH_ROWS = 512
 LEAST_BYTES = 100
 #: Rows of one digest are dealt to so many tasks where they meet their first copy.
 SALTS = 16
+#: Files beyond so many share a task of the conversion.
+MOST_TASKS = 10000
 LEVEL = 1
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fields of a header line by version, as their version blocks name them (fixed values of the format).
@@ -448,6 +450,8 @@ def convert(spark: SparkSession, path: str, folder: str, order: list[Column] | N
     again = repeats(index, order or [F.col("date")], least).groupBy("file").agg(F.collect_list(F.struct("seq", "first")).alias("again"))
     # as many entries as the file has records at most
     plan = index.select("file").distinct().join(again, "file", "left")
+    # rows are names, files are many megabytes: partitions follow the files, not the bytes of the rows
+    plan = plan.repartition(max(1, min(len(listed(path, "arc")), MOST_TASKS)), "file")
     columns = [*_WARC, ("content", pa.binary())]
     schema = pa.schema(columns)
 

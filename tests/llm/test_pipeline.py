@@ -86,7 +86,9 @@ def test_stages(spark, pipeline, tmp_path):
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
     got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == truth(spark, rows, labels, item)
     starts = sorted((r.start, r.n_tokens) for r in got)
     assert [s for s, _ in starts] == np.cumsum([0, *(n for _, n in starts)])[:-1].tolist()

@@ -58,13 +58,6 @@ def xmp_metadata(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", packet.alias("p")).select("page_id", *(c.alias(n) for n, c in O.xmp(F.col("p")).items()))
 
 
-@query(M.sql("outline") + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY entry) - 1 AS entry, title, CASE WHEN entry % 4 > 0 THEN page_no END AS page_no FROM outline")
-def json_members(spark, sf_dir):
-    entry = F.struct(F.col("entry"), F.col("title"), F.when(F.col("entry") % 4 > 0, F.col("page_no")).alias("page"))
-    own = M.outline(documents(spark, sf_dir)).groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    return O.outline_entries(own.select("doc_id", F.to_json(F.transform("e", lambda x: F.struct(x["title"].alias("title"), x["page"].alias("page")))).alias("json")))
-
-
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 > 0 THEN role END AS role, CASE WHEN turn % 3 > 0 THEN length(text)::BIGINT END AS n FROM conversations")
 def json_path_values(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -80,11 +73,6 @@ def page_order(spark, sf_dir):
     return S.ordered_pages(own.select("doc_id", "name"), own.where("page_no % 3 <> 1").select("doc_id", "name", (F.col("page_no") * 7 % 5).alias("place")))
 
 
-@query(M.sql() + " SELECT doc_id, page_no, count(*) AS n_blocks, sum(n_chars)::BIGINT AS n_chars FROM blocks WHERE page_no IN (0, 2) GROUP BY 1, 2")
-def tiered_read(spark, sf_dir):
-    return M.blocks(documents(spark, sf_dir)).where("page_no in (0, 2)").groupBy("doc_id", "page_no").agg(F.count("*").alias("n_blocks"), F.sum("n_chars").alias("n_chars"))
-
-
 @query(M.sql("nodes") + " SELECT doc_id, node, ref FROM nodes ANTI JOIN (SELECT doc_id, ord AS ref FROM blocks) USING (doc_id, ref)")
 def dangling_refs(spark, sf_dir):
     docs = documents(spark, sf_dir)

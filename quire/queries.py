@@ -331,4 +331,4 @@ def outline_anchor_exact(spark, sf_dir):
 # ---------------------------------------------------------------- over the model tables
 
 from quire.catalogue import readout as readout_queries  # noqa: E402, F401
-from quire.catalogue import grouped, paging, scalars, signals, sources, structure, surgery  # noqa: E402, F401
+from quire.catalogue import containers, grouped, paging, scalars, signals, sources, structure, surgery  # noqa: E402, F401

@@ -45,13 +45,6 @@ def xmp(packet: Column) -> dict[str, Column]:
     return {"title": title, "creators": F.array_join(F.transform(creators, lambda x: F.trim(x)), "; "), "language": first_said(one(any_("language") + "//*[local-name()='li']"), one(any_("language")))}
 
 
-def outline_entries(members: DataFrame) -> DataFrame:
-    """doc_id, entry, title, page_no from the outline member's JSON: a list of {title, page}, pages 0-based, null where a page is missing."""
-    parsed = F.from_json("json", "array<struct<title:string,page:bigint>>")
-    rows = members.select("doc_id", F.posexplode(parsed).alias("i", "e"))
-    return rows.select("doc_id", F.col("i").cast("long").alias("entry"), F.col("e.title").alias("title"), F.col("e.page").alias("page_no"))
-
-
 def json_path(json: Column, path: str, kind: str = "string") -> Column:
     """The value at a path such as a/b, null where there is none or the text is no JSON."""
     return F.try_variant_get(F.try_parse_json(json), "$." + path.replace("/", "."), kind)

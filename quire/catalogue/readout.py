@@ -9,6 +9,8 @@ from quire.functions import text as T
 from quire.operators import assembly as A
 from quire.operators import redaction as R
 from quire.operators import sinks as K
+from quire.operators import spans as P
+from quire.operators import trees as R
 from quire.plans import model as M
 from quire.registry import documents, query
 
@@ -58,12 +60,23 @@ def line_back_space(spark, sf_dir):
     return A.spaced(M.runs(documents(spark, sf_dir)).select("doc_id", "text", "x0", n.cast("long").alias("run")))
 
 
-@query(M.sql("nodes") + """, o AS (SELECT doc_id, node, CASE WHEN h % 3 = 1 AND parent IS NOT NULL THEN parent ELSE node END AS owner, ref_page, ref FROM nodes)
-SELECT o.doc_id, owner AS node, trim(regexp_replace(string_agg(b.text, ' ' ORDER BY ref_page, ref), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM o JOIN blocks b ON b.doc_id = o.doc_id AND b.page_no = o.ref_page AND b.ord = o.ref GROUP BY 1, 2""")
+_INLINE = "h % 3 = 1 AND parent IS NOT NULL"
+
+
+@query(M.sql("nodes").replace("WITH ", "WITH RECURSIVE ", 1) + f""", i AS (SELECT *, {_INLINE} AS inline FROM nodes),
+o AS (SELECT doc_id, node, ref_page, ref, node AS owner, inline, parent FROM i UNION ALL SELECT o.doc_id, o.node, o.ref_page, o.ref, i.node, i.inline, i.parent FROM o JOIN i ON i.doc_id = o.doc_id AND i.node = o.parent WHERE o.inline)
+SELECT o.doc_id, owner AS node, trim(regexp_replace(string_agg(b.text, ' ' ORDER BY ref_page, ref), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM o JOIN blocks b ON b.doc_id = o.doc_id AND b.page_no = o.ref_page AND b.ord = o.ref WHERE NOT o.inline GROUP BY 1, 2""")
 def node_text(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    own = M.nodes(docs).drop("text").withColumn("owner", F.when((F.col("h") % 3 == 1) & F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("node")))
-    return A.node_texts(own, M.blocks(docs))
+    own = M.nodes(docs).withColumn("inline", F.expr(_INLINE))
+    return R.node_texts(R.numbered(own), own, M.blocks(docs))
+
+
+@query(M.sql("nodes").replace("WITH ", "WITH RECURSIVE ", 1) + """, u AS (SELECT doc_id, node, node AS top, length(text) AS n FROM nodes UNION ALL SELECT u.doc_id, u.node, n.parent, u.n FROM u JOIN nodes n ON n.doc_id = u.doc_id AND n.node = u.top WHERE n.parent IS NOT NULL)
+SELECT doc_id, top AS node, sum(n)::BIGINT AS total FROM u GROUP BY 1, 2""")
+def subtree_letters(spark, sf_dir):
+    own = M.nodes(documents(spark, sf_dir)).withColumn("n", F.length("text"))
+    return R.subtree_sums(R.numbered(own), own, "n")
 
 
 @query(M.sql() + """, u AS (SELECT doc_id, ord, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM blocks WHERE h % 23 <> 0 AND text <> '')
@@ -80,10 +93,20 @@ def regex_match_counts(spark, sf_dir):
     return A.pattern_counts(M.blocks(documents(spark, sf_dir)), _PATTERNS)
 
 
-@query(M.sql("runs") + """, f AS (SELECT *, regexp_extract(text, '[A-Z][a-z]+', 0) AS said FROM runs WHERE regexp_matches(text, '[A-Z][a-z]+')), a AS (SELECT *, x0 + 6 * (strpos(text, said) - 1) AS l FROM f)
-SELECT doc_id, ord, run, l::BIGINT AS x0, y0, (l + 6 * length(said))::BIGINT AS x1, y0 + size AS y1 FROM a""")
+#: Names: capitalised words one after another, over runs and lines.
+_NAMES = "[A-Z][a-z]+([ \\n][A-Z][a-z]+)*"
+
+
+@query(M.sql("lettered") + f""", p0 AS (SELECT *, CASE WHEN line <> lag(line) OVER o THEN chr(10) ELSE '' END || text AS piece FROM lettered WINDOW o AS (PARTITION BY doc_id, ord ORDER BY run)),
+p AS (SELECT *, (sum(length(piece)) OVER (PARTITION BY doc_id, ord ORDER BY run) - length(text))::BIGINT AS start FROM p0),
+u AS (SELECT doc_id, ord, string_agg(piece, '' ORDER BY run) AS t FROM p GROUP BY 1, 2),
+s AS (SELECT doc_id, ord, unnest(range(len(said))) AS match, unnest(said) AS said, unnest(gaps[: len(said)]) AS gap FROM (SELECT doc_id, ord, regexp_extract_all(t, '{_NAMES}') AS said, regexp_split_to_array(t, '{_NAMES}') AS gaps FROM u)),
+m AS (SELECT doc_id, ord, match, said, e - length(said) AS ms, e AS me FROM (SELECT *, sum(length(gap) + length(said)) OVER (PARTITION BY doc_id, ord ORDER BY match)::BIGINT AS e FROM s)),
+j AS (SELECT p.*, match, said, greatest(ms, start) - start AS a, least(me, start + length(text)) - start AS b FROM p JOIN m ON m.doc_id = p.doc_id AND m.ord = p.ord AND ms < start + length(text) AND start < me),
+k AS (SELECT *, b + length(regexp_extract(substr(text, b + 1), '^[ \\t\\n\\x0B\\f\\r]*', 0)) AS ink FROM j)
+SELECT doc_id, page_no, ord, run, match::BIGINT AS match, said, (x0 + 6 * a)::DOUBLE AS x0, y0::DOUBLE AS y0, (CASE WHEN ink < length(text) THEN x0 + 6 * ink ELSE x0 + 6 * (b - 1) + 0.6 * size END)::DOUBLE AS x1, (y0 + 1.1 * size)::DOUBLE AS y1 FROM k""")
 def regex_zones(spark, sf_dir):
-    return A.pattern_zones(M.runs(documents(spark, sf_dir)), "[A-Z][a-z]+")
+    return P.pattern_zones(M.lettered(documents(spark, sf_dir)), _NAMES)
 
 
 def typed(docs):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import glyphs as Y
+from quire.operators import trees as R
 from quire.plans import model as M
 from quire.registry import documents, pages, query
 from quire.sources import files as S
@@ -140,11 +141,11 @@ def clean_glyphs(spark, sf_dir):
     return Y.cleaned(own).select("doc_id", "page_no", "seq", "ch")
 
 
-@query(M.sql("nodes") + " SELECT doc_id, node FROM nodes WHERE NOT (h % 4 = 2 AND doc_id % 2 = 0)")
+@query(M.sql("nodes").replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT doc_id, node FROM nodes WHERE h % 4 = 2 AND doc_id % 2 = 0 UNION SELECT n.doc_id, n.node FROM g JOIN nodes n ON n.doc_id = g.doc_id AND n.parent = g.node)
+SELECT doc_id, node FROM nodes ANTI JOIN g USING (doc_id, node)""")
 def layer_filter(spark, sf_dir):
-    own = M.nodes(documents(spark, sf_dir)).withColumn("layer", F.col("h") % 4)
-    layers = own.select("doc_id", "layer").distinct().withColumn("hidden", (F.col("layer") == 2) & (F.col("doc_id") % 2 == 0))
-    return Y.visible(own, layers).select("doc_id", "node")
+    own = M.nodes(documents(spark, sf_dir)).withColumn("hidden", (F.col("h") % 4 == 2) & (F.col("doc_id") % 2 == 0))
+    return R.shown(R.numbered(own), own)
 
 
 @query(M.sql("runs", "nodes") + """, t AS (SELECT DISTINCT doc_id, ref AS ord, TRUE AS named FROM nodes WHERE h % 5 < doc_id % 5 + 1), c AS (SELECT r.doc_id, sum(CASE WHEN named THEN n_chars ELSE 0 END)::BIGINT AS tagged, sum(n_chars)::BIGINT AS total FROM runs r LEFT JOIN t USING (doc_id, ord) GROUP BY 1)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import pageset as P
+from quire.operators import pageset as S
 from quire.operators import redaction as R
+from quire.operators import spans as P
 from quire.operators import structure
 from quire.plans import model as M
 from quire.registry import documents, query
@@ -46,10 +47,18 @@ def redact_pending(spark, sf_dir):
     return M.notes(documents(spark, sf_dir)).where("kind = 'REDACT'").drop("kind")
 
 
-_ZONES = """
+#: Letters of the runs with a flag, the zones of their page applied, and the pieces that are left.
+_ZONES = f"""
 zones AS (SELECT DISTINCT doc_id, page_no, x0, y0, x1, y1 FROM notes WHERE kind = 'REDACT'),
-boxed AS (SELECT *, x0 + 6 * n_chars AS x1, y0 + size AS y1 FROM runs),
-hits AS (SELECT DISTINCT r.doc_id, r.ord, r.run FROM boxed r JOIN zones z USING (doc_id, page_no) WHERE r.x0 < z.x1 AND z.x0 < r.x1 AND r.y0 < z.y1 AND z.y0 < r.y1)"""
+near AS (SELECT DISTINCT r.doc_id, r.ord, r.run, z.x0 AS zx0, z.x1 AS zx1 FROM lettered r JOIN zones z USING (doc_id, page_no) WHERE r.y0 + {P.BODY_Y} * r.size >= z.y0 AND r.y0 + {P.BODY_Y} * r.size < z.y1),
+letters AS (SELECT doc_id, page_no, ord, run, x0, size, unnest(range(length(text))) AS k, unnest(string_split(text, '')) AS ch FROM lettered),
+hits AS (SELECT DISTINCT l.doc_id, l.ord, l.run, l.k FROM letters l JOIN near n USING (doc_id, ord, run) WHERE l.x0 + 6 * k + {P.BODY_X} * size >= zx0 AND l.x0 + 6 * k + {P.BODY_X} * size < zx1),
+drops AS (SELECT doc_id, ord, run, count(*) AS n_dropped FROM hits GROUP BY 1, 2, 3),
+left_ AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, ord, run ORDER BY k) AS island FROM letters ANTI JOIN hits USING (doc_id, ord, run, k)),
+parts AS (SELECT doc_id, ord, run, min(k) AS a, min(x0 + 6 * k) AS x0, string_agg(ch, '' ORDER BY k) AS text FROM left_ GROUP BY doc_id, ord, run, island),
+alive AS (SELECT doc_id, ord, run FROM parts GROUP BY ALL HAVING bool_or(trim(text) <> '')),
+pieces AS (SELECT p.doc_id, p.ord, p.run, row_number() OVER (PARTITION BY p.doc_id, p.ord, p.run ORDER BY a) - 1 AS piece, p.text, p.x0, coalesce(n_dropped, 0) AS n_dropped
+  FROM parts p JOIN alive USING (doc_id, ord, run) LEFT JOIN drops USING (doc_id, ord, run))"""
 
 
 def boxed(docs):
@@ -61,17 +70,33 @@ def _zones(docs):
     return M.notes(docs).where("kind = 'REDACT'")
 
 
-@query(M.sql("runs", "notes") + "," + _ZONES + " SELECT doc_id, ord, run, text FROM boxed ANTI JOIN hits USING (doc_id, ord, run)")
+@query(M.sql("lettered", "notes") + "," + _ZONES + " SELECT doc_id, ord, run, piece, text, x0::DOUBLE AS x0, n_dropped FROM pieces")
 def redact_cut_runs(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return R.cut(boxed(docs), _zones(docs), "doc_id", "ord", "run").select("doc_id", "ord", "run", "text")
+    return P.pieces(P.cut_runs(M.lettered(docs), _zones(docs))).select("doc_id", "ord", "run", "piece", "text", F.col("xs")[0].alias("x0"), "n_dropped")
 
 
-@query(M.sql("runs", "notes") + "," + _ZONES + " SELECT doc_id, count(*) AS n_before, 0::BIGINT AS n_after, TRUE AS clean FROM hits GROUP BY 1")
+@query(M.sql("lettered", "notes") + "," + _ZONES + f""",
+again AS (SELECT p.doc_id, count(DISTINCT (ord, run, piece, k)) AS n FROM (SELECT *, unnest(range(length(text))) AS k FROM pieces) p JOIN near n USING (doc_id, ord, run) JOIN lettered r USING (doc_id, ord, run)
+  WHERE p.x0 + 6 * k + {P.BODY_X} * r.size >= zx0 AND p.x0 + 6 * k + {P.BODY_X} * r.size < zx1 GROUP BY 1)
+SELECT h.doc_id, count(*) AS n_before, coalesce(max(n), 0)::BIGINT AS n_after, coalesce(max(n), 0) = 0 AS clean FROM hits h LEFT JOIN again USING (doc_id) GROUP BY 1""")
 def redact_apply_proof(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    own, zones = boxed(docs), _zones(docs)
-    return R.proved(own, R.cut(own, zones, "doc_id", "ord", "run"), zones, "doc_id", "ord", "run")
+    own, zones = M.lettered(docs), _zones(docs)
+    return P.proof(own, P.pieces(P.cut_runs(own, zones)), zones)
+
+
+@query(M.sql("fills", "notes") + """, zones AS (SELECT DISTINCT doc_id, page_no, x0, y0, x1, y1 FROM notes WHERE kind = 'REDACT'),
+f AS (SELECT row_number() OVER () AS id, * FROM fills), xs AS (SELECT DISTINCT id, x FROM (SELECT id, unnest([f.x0, f.x1]) AS x FROM f UNION ALL SELECT id, unnest([z.x0, z.x1]) FROM f JOIN zones z USING (doc_id, page_no)) JOIN f USING (id) WHERE x BETWEEN f.x0 AND f.x1),
+ys AS (SELECT DISTINCT id, y FROM (SELECT id, unnest([f.y0, f.y1]) AS y FROM f UNION ALL SELECT id, unnest([z.y0, z.y1]) FROM f JOIN zones z USING (doc_id, page_no)) JOIN f USING (id) WHERE y BETWEEN f.y0 AND f.y1),
+gx AS (SELECT id, x AS a, lead(x) OVER (PARTITION BY id ORDER BY x) AS b FROM xs), gy AS (SELECT id, y AS c, lead(y) OVER (PARTITION BY id ORDER BY y) AS d FROM ys),
+cells AS (SELECT f.*, (b - a) * (d - c) AS area, EXISTS (SELECT 1 FROM zones z WHERE z.doc_id = f.doc_id AND z.page_no = f.page_no AND z.x0 < b AND a < z.x1 AND z.y0 < d AND c < z.y1) AS gone FROM f JOIN gx USING (id) JOIN gy USING (id) WHERE b IS NOT NULL AND d IS NOT NULL)
+SELECT doc_id, page_no, ord, fill, sum(area)::DOUBLE AS area FROM cells WHERE NOT gone GROUP BY ALL""")
+def redact_clip_fills(spark, sf_dir):
+    """What is left of the painted boxes; the SQL counts the cells of the grid that all sides make."""
+    docs = documents(spark, sf_dir)
+    left = P.clipped(M.fills(docs), _zones(docs), "doc_id", "page_no", "ord", "fill")
+    return left.groupBy("doc_id", "page_no", "ord", "fill").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
 
 
 @query(M.sql("notes") + """, zones AS (SELECT DISTINCT doc_id, page_no, x0, y0, x1, y1 FROM notes WHERE kind = 'REDACT')
@@ -81,17 +106,14 @@ def redact_drop_notes(spark, sf_dir):
     return R.cut(M.notes(docs).where("kind <> 'REDACT'"), _zones(docs), "doc_id", "page_no", "note").select("doc_id", "page_no", "note", "kind")
 
 
-@query(M.sql("runs", "notes", "nodes") + "," + _ZONES + """,
-left_ AS (SELECT DISTINCT doc_id, ord FROM boxed ANTI JOIN hits USING (doc_id, ord, run)), touched AS (SELECT DISTINCT doc_id, ord FROM hits)
+@query(M.sql("lettered", "notes", "nodes") + "," + _ZONES + """,
+there AS (SELECT DISTINCT doc_id, ord FROM pieces), touched AS (SELECT DISTINCT doc_id, ord FROM hits)
 SELECT n.doc_id, n.node, CASE WHEN t.ord IS NOT NULL AND l.ord IS NULL THEN NULL ELSE n.ref END AS ref, CASE WHEN t.ord IS NOT NULL THEN '' ELSE n.text END AS text
-FROM nodes n LEFT JOIN touched t ON t.doc_id = n.doc_id AND t.ord = n.ref LEFT JOIN left_ l ON l.doc_id = n.doc_id AND l.ord = n.ref""")
+FROM nodes n LEFT JOIN touched t ON t.doc_id = n.doc_id AND t.ord = n.ref LEFT JOIN there l ON l.doc_id = n.doc_id AND l.ord = n.ref""")
 def redact_purge_refs(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    own = boxed(docs)
-    kept = R.cut(own, _zones(docs), "doc_id", "ord", "run")
-    touched = own.join(kept.select("doc_id", "ord", "run"), ["doc_id", "ord", "run"], "left_anti").select("doc_id", "ord").distinct()
-    gone = touched.join(kept.select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_anti")
-    return R.purged(M.nodes(docs), gone, touched).select("doc_id", "node", "ref", "text")
+    blocks = P.cut_runs(M.lettered(docs), _zones(docs)).groupBy("doc_id", "ord").agg((F.sum("n_dropped") > 0).alias("altered"), (F.max(F.size("spans")) == 0).alias("removed"))
+    return R.purged(M.nodes(docs), blocks).select("doc_id", "node", "ref", "text")
 
 
 def _specs(docs):
@@ -117,19 +139,19 @@ places AS (SELECT doc_id, page_no, min(slot) AS new_page FROM slots WHERE page_n
 
 @query(M.sql() + "," + _SPECS + " SELECT doc_id, slot, page_no, NULL::VARCHAR AS error FROM slots UNION ALL SELECT doc_id, -1, NULL, error FROM verdict WHERE error IS NOT NULL")
 def page_set_grammar(spark, sf_dir):
-    return P.slots(_specs(documents(spark, sf_dir)))
+    return S.slots(_specs(documents(spark, sf_dir)))
 
 
 @query(M.sql("nodes") + "," + _SPECS + " SELECT n.doc_id, node, new_page, ref FROM nodes n JOIN places p ON p.doc_id = n.doc_id AND p.page_no = n.ref_page")
 def page_set_drop_refs(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return P.moved_refs(M.nodes(docs), P.first_places(P.slots(_specs(docs))))
+    return S.moved_refs(M.nodes(docs), S.first_places(S.slots(_specs(docs))))
 
 
 @query(M.sql("outline") + "," + _SPECS + " SELECT o.doc_id, entry, title, new_page, CASE WHEN new_page IS NOT NULL THEN y END AS y FROM outline o LEFT JOIN places p ON p.doc_id = o.doc_id AND p.page_no = o.page_no")
 def page_set_outline(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return P.moved_outline(M.outline(docs), P.first_places(P.slots(_specs(docs))))
+    return S.moved_outline(M.outline(docs), S.first_places(S.slots(_specs(docs))))
 
 
 @query(M.sql("nodes").replace("WITH ", "WITH RECURSIVE ", 1) + "," + _SPECS + """,
@@ -141,7 +163,7 @@ def page_set_siblings(spark, sf_dir):
     docs = documents(spark, sf_dir)
     nodes = M.nodes(docs)
     paths = structure.tree_paths(spark, nodes).join(nodes.select("doc_id", "node", "parent"), ["doc_id", "node"])
-    return P.sibling_order(paths, P.moved_refs(nodes, P.first_places(P.slots(_specs(docs)))))
+    return S.sibling_order(paths, S.moved_refs(nodes, S.first_places(S.slots(_specs(docs)))))
 
 
 @query(M.sql("notes") + """, z AS (SELECT doc_id, page_no, x0, y0, x1 - x0 AS w, y1 - y0 AS h FROM notes WHERE kind = 'REDACT' AND doc_id % 5 <> 4)
@@ -151,7 +173,7 @@ def zone_grammar(spark, sf_dir):
     one = F.concat_ws("", F.col("page_no").cast("string"), F.lit(":"), F.concat_ws(",", *(F.col(c).cast("string") for c in ("x0", "y0", "w", "h"))))
     listed = F.to_json(F.collect_list(F.struct(F.col("page_no").alias("page"), F.col("x0").alias("x"), F.col("y0").alias("y"), "w", "h")))
     specs = own.groupBy("doc_id").agg(F.when(F.col("doc_id") % 5 == 4, "audit").when(F.col("doc_id") % 2 == 0, listed).otherwise(F.array_join(F.collect_list(one), " ; ")).alias("spec"))
-    return P.zones(specs)
+    return S.zones(specs)
 
 
 @query("""

@@ -45,16 +45,6 @@ def spaced(runs: DataFrame, slack: float = 0.01) -> DataFrame:
     return rows.select("doc_id", "run", F.concat(F.when(F.coalesce(back, F.lit(False)), " ").otherwise(""), "text").alias("text"))
 
 
-def node_texts(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, node, text: what a node and its inline descendants refer to, by page and place.
-
-    nodes: doc_id, node, owner (the block node that a node belongs to), ref_page, ref.
-    """
-    found = nodes.join(blocks.select("doc_id", F.col("ord").alias("ref"), F.col("page_no").alias("ref_page"), "text"), ["doc_id", "ref_page", "ref"])
-    rows = found.groupBy("doc_id", F.col("owner").alias("node")).agg(F.sort_array(F.collect_list(F.struct("ref_page", "ref", "text"))).alias("t"))
-    return rows.select("doc_id", "node", T.collapse(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("text"))
-
-
 def utterances(blocks: DataFrame, room: int = 400) -> DataFrame:
     """doc_id, utterance, start, n_blocks, n_chars: blocks read aloud in groups that begin every `room` letters, furniture left out."""
     order = W.partitionBy("doc_id").orderBy("ord")
@@ -66,12 +56,3 @@ def utterances(blocks: DataFrame, room: int = 400) -> DataFrame:
 def pattern_counts(blocks: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """doc_id, page_no, one column a pattern: its matches in the page's blocks."""
     return blocks.groupBy("doc_id", "page_no").agg(*(F.sum(T.count_matches(F.col("text"), p)).alias(name) for name, p in patterns.items()))
-
-
-def pattern_zones(runs: DataFrame, pattern: str) -> DataFrame:
-    """doc_id, ord, run, x0, y0, x1, y1: runs with a match as zones, one a run, from its first to its last letter."""
-    at = F.regexp_instr("text", F.lit(pattern)).cast("long")
-    said = F.regexp_extract("text", pattern, 0)
-    rows = runs.where(F.col("text").rlike(pattern)).withColumns({"at": at, "said": said})
-    left = F.col("x0") + 6 * (F.col("at") - 1)
-    return rows.select("doc_id", "ord", "run", left.alias("x0"), "y0", (left + 6 * F.length("said")).cast("long").alias("x1"), (F.col("y0") + F.col("size")).alias("y1"))

@@ -59,11 +59,6 @@ def cleaned(glyphs: DataFrame) -> DataFrame:
     return glyphs.where((F.col("kind") != "break") & ~((F.trim(F.col("ch")) == "") & ~F.col("outlined")))
 
 
-def visible(nodes: DataFrame, layers: DataFrame) -> DataFrame:
-    """Nodes that no hidden layer holds.  nodes: doc_id, node, layer; layers: doc_id, layer, hidden."""
-    return nodes.join(layers.where("hidden").select("doc_id", "layer"), ["doc_id", "layer"], "left_anti")
-
-
 def tag_coverage(refs: DataFrame, runs: DataFrame, least_percent: int = 50) -> DataFrame:
     """doc_id, tagged, total, accepted: a tree of tags counts if it names half the letters of its document or more."""
     named = refs.select("doc_id", F.col("ref").alias("ord")).distinct().withColumn("named", F.lit(True))

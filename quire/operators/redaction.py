@@ -71,26 +71,11 @@ def cut(items: DataFrame, zones: DataFrame, *key: str) -> DataFrame:
     return items.join(hit, list(key), "left_anti")
 
 
-def proved(before: DataFrame, after: DataFrame, zones: DataFrame, *key: str) -> DataFrame:
-    """doc_id, n_before, n_after, clean: items in the zones before and after; not clean if any is left."""
-    own = zoned(zones)
-    count = lambda df, name: df.join(own, PAGE).where(touching(df, zones)).select(*key).distinct().groupBy("doc_id").agg(F.count("*").alias(name))
-    rows = count(before, "n_before").join(count(after, "n_after"), "doc_id", "left").withColumn("n_after", F.coalesce("n_after", F.lit(0)))
-    return rows.withColumn("clean", F.col("n_after") == 0)
-
-
-def apply(items: DataFrame, zones: DataFrame, *key: str) -> DataFrame:
-    """cut(), proved: raises if anything is left in a zone."""
-    left = cut(items, zones, *key)
-    found = proved(items, left, zones, *key).where("not clean").limit(1).collect()
-    if found:
-        raise ValueError(f"redaction is not clean in document {found[0].doc_id}")
-    return left
-
-
-def purged(nodes: DataFrame, removed: DataFrame, altered: DataFrame) -> DataFrame:
-    """Nodes without refs to removed items, and with empty text where an item was altered."""
-    gone = removed.select("doc_id", F.col("ord").alias("ref")).distinct().withColumn("gone", F.lit(True))
-    changed = altered.select("doc_id", F.col("ord").alias("ref")).distinct().withColumn("changed", F.lit(True))
-    rows = nodes.join(gone, ["doc_id", "ref"], "left").join(changed, ["doc_id", "ref"], "left")
-    return rows.withColumn("ref", F.when(F.col("gone"), None).otherwise(F.col("ref"))).withColumn("text", F.when(F.coalesce("gone", "changed", F.lit(False)), "").otherwise(F.col("text"))).drop("gone", "changed")
+def purged(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Nodes without refs to blocks that were removed, and with empty text where a block was altered.
+
+    blocks: doc_id, ord, altered, removed.
+    """
+    rows = nodes.join(blocks.select("doc_id", F.col("ord").alias("ref"), "altered", "removed"), ["doc_id", "ref"], "left")
+    altered = F.coalesce("altered", F.lit(False))
+    return rows.withColumns({"ref": F.when(altered & F.col("removed"), None).otherwise(F.col("ref")), "text": F.when(altered, "").otherwise(F.col("text"))}).drop("altered", "removed")

@@ -8,7 +8,7 @@ row: no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCKS_A_PAGE = 6
@@ -56,6 +56,19 @@ def runs(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "ord", "run", "page_no", (F.col("x0") + 40 * (F.col("run") % 4)).alias("x0"), (F.col("y0") + 12 * F.expr("run div 4")).alias("y0"), size.alias("size"), ((k % 3 == 0) | F.col("bold")).alias("bold"), F.when(k % 17 == 0, "symbol").otherwise(F.col("family")).alias("family"), F.col("piece").alias("text"), F.length("piece").cast("long").alias("n_chars"))
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The runs as read: line, a blank after each run that does not end its line, and the x of every letter, six units apart."""
+    r = runs(docs).withColumn("line", F.expr("run div 4"))
+    after = F.lead("line").over(Window.partitionBy("doc_id", "ord").orderBy("run"))
+    r = r.withColumn("text", F.concat("text", F.when(after == F.col("line"), " ").otherwise("")))
+    xs = F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda k: (F.col("x0") + 6 * k).cast("double"))
+    return r.select("doc_id", "page_no", "ord", "run", "line", "text", F.when(F.col("text") == "", F.array().cast("array<double>")).otherwise(xs).alias("xs"), "x0", "y0", "size")
+
+
+LETTERED_SQL = """
+l0 AS (SELECT *, run // 4 AS line, lead(run // 4) OVER (PARTITION BY doc_id, ord ORDER BY run) AS after FROM runs),
+lettered AS (SELECT doc_id, page_no, ord, run, line, text || CASE WHEN after = line THEN ' ' ELSE '' END AS text, x0, y0, size FROM l0)"""
+
 RUNS_SQL = f"""
 r0 AS (SELECT *, string_split(text, ' ') AS w FROM blocks WHERE text <> ''),
 r1 AS (SELECT doc_id, ord, page_no, h, x0, y0, size, bold, family, w, unnest(range((len(w) - 1) // {WORDS_A_RUN} + 1))::BIGINT AS run FROM r0),
@@ -138,5 +151,5 @@ nodes AS (SELECT doc_id, ord AS node, CASE WHEN ord = 0 THEN NULL ELSE (ord - 1)
 
 def sql(*tables: str) -> str:
     """WITH clause of the named tables."""
-    own = {"runs": RUNS_SQL, "fills": FILLS_SQL, "pictures": PICTURES_SQL, "outline": OUTLINE_SQL, "notes": NOTES_SQL, "nodes": NODES_SQL}
+    own = {"runs": RUNS_SQL, "lettered": RUNS_SQL + "," + LETTERED_SQL, "fills": FILLS_SQL, "pictures": PICTURES_SQL, "outline": OUTLINE_SQL, "notes": NOTES_SQL, "nodes": NODES_SQL}
     return "WITH " + ",".join(x.strip("\n") for x in [BLOCKS_SQL, *(own[t] for t in tables if t != "blocks")])

@@ -39,8 +39,8 @@ SEGMENT_BYTES = 2 << 20
 PIECE_BYTES = 2 << 20
 #: Bytes of frames that one task puts in order.
 SHARD_BYTES = 64 << 20
-#: Distinct words that a worker remembers.
-REMEMBERED = 600_000
+#: Distinct words that a worker remembers within a task.
+REMEMBERED = 300_000
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 13, 32]] = True
 #: Fixed value: the pre-tokenizer pattern that Encoder knows how to cut by.
@@ -209,10 +209,11 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Rows and the ids of each."""
+    """Rows and the ids of each.  What a worker has learned goes with its task: the next stage needs the room."""
     for batch, data, offsets in B.pieces(batches, PIECE_BYTES):
         ids, ends = encoder(path).encode(data, offsets)
         yield batch, np.split(ids, ends[:-1])
+    encoder(path).forget()
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:

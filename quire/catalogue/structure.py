@@ -74,17 +74,35 @@ last AS (SELECT *, max(line) OVER (PARTITION BY doc_id, ord) AS last FROM blines
 measured AS (SELECT doc_id, ord, count(*) AS n_lines, max(x1 - x0) AS own, min(x1 - x0) FILTER (line < last) AS wrapped, max(x1 - x0) FILTER (line = last) AS "end", max(x0) FILTER (line = 0) - max(x0) FILTER (line = 1) AS lead FROM last GROUP BY 1, 2)"""
 
 
-@query(M.sql("runs") + "," + _BLOCK_LINES + f""",
-j AS (SELECT doc_id, ord, page_no, size, x0, x1, y0, y1, m.n_lines, m.own, m.wrapped, m."end", m.lead FROM blocks JOIN measured m USING (doc_id, ord)),
-p AS (SELECT *, lag(page_no) OVER o AS pp, lag(size) OVER o AS ps, lag(x0) OVER o AS px0, lag(x1) OVER o AS px1, lag(y1) OVER o AS py1, lag(n_lines) OVER o AS pn, lag(own) OVER o AS po, lag(wrapped) OVER o AS pw, lag("end") OVER o AS pe FROM j WINDOW o AS (PARTITION BY doc_id ORDER BY ord)),
-q AS (SELECT *, greatest(po, own) AS col FROM p),
-r AS (SELECT *, CASE WHEN po * 100 < col * {S.RAGGED} THEN col ELSE po END AS measure FROM q),
-f AS (SELECT *, coalesce(abs(size - ps) * 2 <= 1 AND col > 0 AND pn >= 2 AND pe >= greatest(least(measure * {S.FULL} / 100, pw), measure * {S.RAGGED} / 100) AND (n_lines < 2 OR lead * 100 <= {S.INDENT} * greatest(1, size))
-  AND ((page_no = pp + 1 AND (abs(x0 - px0) * 100 <= {S.SLACK} * col OR abs((x1 - x0) - (px1 - px0)) * 100 <= {S.SLACK} * col)) OR (page_no = pp AND x0 * 100 >= px1 * 100 - {S.SLACK} * col AND x0 - px1 < col AND y0 < py1)), FALSE) AS goes FROM r)
-SELECT doc_id, ord, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord)::BIGINT AS para FROM f""")
+def _carries(a: str, b: str, place: str) -> str:
+    """Test for DuckDB that block b goes on where block a ended."""
+    col = f"greatest({a}.own, {b}.own)"
+    measure = f"(CASE WHEN {a}.own * 100 < {col} * {S.RAGGED} THEN {col} ELSE {a}.own END)"
+    return f"""coalesce(abs({b}.size - {a}.size) * 2 <= 1 AND {col} > 0 AND {a}.n_lines >= 2 AND {a}."end" >= greatest(least({measure} * {S.FULL} / 100, {a}.wrapped), {measure} * {S.RAGGED} / 100)
+      AND ({b}.n_lines < 2 OR {b}.lead * 100 <= {S.INDENT} * greatest(1, {b}.size)) AND ({place.format(a=a, b=b, col=col, slack=S.SLACK)}), FALSE)"""
+
+
+_OVER = "abs({b}.x0 - {a}.x0) * 100 <= {slack} * {col} OR abs(({b}.x1 - {b}.x0) - ({a}.x1 - {a}.x0)) * 100 <= {slack} * {col}"
+_BESIDE = "{b}.x0 * 100 >= {a}.x1 * 100 - {slack} * {col} AND {b}.x0 - {a}.x1 < {col} AND {b}.y0 < {a}.y1"
+
+
+# The SQL walks block by block with what is open, carried and held; the query has no walk.
+@query(M.sql("runs").replace("WITH ", "WITH RECURSIVE ", 1) + "," + _BLOCK_LINES + f""",
+j AS MATERIALIZED (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS seq, page_no, size, x0, x1, y0, y1, n_chars, size >= 14 AS heading, m.n_lines, m.own, m.wrapped, m."end", m.lead FROM blocks JOIN measured m USING (doc_id, ord)),
+w AS (SELECT doc_id, seq, page_no, 1::BIGINT AS para, 1::BIGINT AS n, NOT heading AS open, NULL::BIGINT AS carry, NULL::BIGINT AS carried FROM j WHERE seq = 1
+  UNION ALL
+  SELECT doc_id, seq, page_no, CASE WHEN late THEN carried WHEN goes THEN para ELSE n + 1 END, CASE WHEN late OR goes THEN n ELSE n + 1 END, NOT heading AND NOT late,
+    CASE WHEN NOT late AND NOT goes AND label THEN carry END, CASE WHEN NOT late AND NOT goes AND label THEN carried END
+  FROM (SELECT s.doc_id, b.seq, b.page_no, s.para, s.n, b.heading, s.carry, s.carried, NOT b.heading AND b.n_lines < {S.COLUMN_LINES} AND b.n_chars < {S.LABEL_LETTERS} AND c.page_no = b.page_no - 1 AS label,
+      NOT first AND NOT b.heading AND c.page_no = b.page_no - 1 AND {_carries("c", "b", _OVER)} IS TRUE AND s.carry IS NOT NULL AS late,
+      s.open AND NOT b.heading AND CASE WHEN first THEN b.page_no = a.page_no + 1 AND {_carries("a", "b", _OVER)} ELSE {_carries("a", "b", _BESIDE)} END AS goes
+    FROM (SELECT w.doc_id, w.seq, w.para, w.n, w.open, x.page_no <> w.page_no AS first, CASE WHEN x.page_no = w.page_no THEN w.carry WHEN w.open THEN w.seq END AS carry, CASE WHEN x.page_no = w.page_no THEN w.carried WHEN w.open THEN w.para END AS carried
+        FROM w JOIN j x ON x.doc_id = w.doc_id AND x.seq = w.seq + 1) s
+      JOIN j b ON b.doc_id = s.doc_id AND b.seq = s.seq + 1 JOIN j a ON a.doc_id = s.doc_id AND a.seq = s.seq LEFT JOIN j c ON c.doc_id = s.doc_id AND c.seq = s.carry))
+SELECT w.doc_id, ord, para FROM w JOIN j USING (doc_id, seq)""")
 def paragraph_continuation(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return S.continued(M.blocks(docs), S.measures(block_lines(docs)))
+    return S.continued(M.blocks(docs).withColumn("interrupts", F.col("size") >= 14), S.measures(block_lines(docs)))
 
 
 @query(M.sql("runs") + """, m AS (SELECT *, first_value(size) OVER (PARTITION BY doc_id, ord ORDER BY n_chars DESC, run) AS main FROM runs)

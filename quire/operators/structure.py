@@ -70,28 +70,60 @@ def measures(lines: DataFrame) -> DataFrame:
 
 #: Percent of the column from which on a line is full, and ragged; of the column in which places agree; of the size that is an indent.
 FULL, RAGGED, SLACK, INDENT = 90, 75, 10, 50
+#: Lines and letters from which on a block is no label.
+COLUMN_LINES, LABEL_LETTERS = 4, 100
 
 
-def continued(blocks: DataFrame, measured: DataFrame) -> DataFrame:
-    """doc_id, ord, para: blocks in reading order; a block that carries on the one before it is in its paragraph.
-
-    It does over a page break, in the same column or one as wide, or into the next column of a page: in the same size,
-    if the last line before is full and its own first line is not indented.
-    """
-    rows = blocks.join(measured, ["doc_id", "ord"])
-    order = W.partitionBy("doc_id").orderBy("ord")
-    names = ("page_no", "size", "x0", "x1", "y1", "n_lines", "own", "wrapped", "end")
-    rows = rows.withColumns({f"p_{c}": F.lag(c).over(order) for c in names})
-    p, c = (lambda n: F.col(f"p_{n}")), F.col
+def _runs_on(p, c) -> tuple[Column, Column, Column]:
+    """Tests of two blocks, given by their columns: is the first cut short and the second its kind; over a page; beside."""
     column = F.greatest(p("own"), c("own"))
     measure = F.when(p("own") * 100 < column * RAGGED, column).otherwise(p("own"))
     full = F.least(measure * FULL / 100, p("wrapped"))
     runs_on = (p("n_lines") >= 2) & (p("end") >= F.greatest(full, measure * RAGGED / 100)) & ((c("n_lines") < 2) | (c("lead") * 100 <= INDENT * F.greatest(F.lit(1), c("size"))))
     alike = (F.abs(c("size") - p("size")) * 2 <= 1) & (column > 0) & runs_on
-    over = (c("page_no") == p("page_no") + 1) & ((F.abs(c("x0") - p("x0")) * 100 <= SLACK * column) | (F.abs((c("x1") - c("x0")) - (p("x1") - p("x0"))) * 100 <= SLACK * column))
-    beside = (c("page_no") == p("page_no")) & (c("x0") * 100 >= p("x1") * 100 - SLACK * column) & (c("x0") - p("x1") < column) & (c("y0") < p("y1"))
-    fresh = ~F.coalesce(alike & (over | beside), F.lit(False))
-    return rows.withColumn("fresh", fresh.cast("long")).select("doc_id", "ord", F.sum("fresh").over(order).alias("para"))
+    over = (F.abs(c("x0") - p("x0")) * 100 <= SLACK * column) | (F.abs((c("x1") - c("x0")) - (p("x1") - p("x0"))) * 100 <= SLACK * column)
+    beside = (c("x0") * 100 >= p("x1") * 100 - SLACK * column) & (c("x0") - p("x1") < column) & (c("y0") < p("y1"))
+    return F.coalesce(alike & over, F.lit(False)), F.coalesce(alike & beside, F.lit(False)), column
+
+
+def continued(blocks: DataFrame, measured: DataFrame) -> DataFrame:
+    """doc_id, ord, para: blocks in reading order; a block that carries on an earlier one is in its paragraph.
+
+    It does over a page break, in the same column or one as wide, or into the next column of a page: in the same size, if
+    the last line before is full and its own first line is not indented.  Labels (a few short lines) that the new page
+    has read first are held: the paragraph that the break cut stays open past them for the first block that carries it
+    on.  What follows such a block begins anew, on the next page as well.  A block that `interrupts` (a heading) joins
+    nothing and closes what is open.
+
+    A paragraph that a page may carry on is open unless the page before ended on such a late block; that one counts only
+    if its own page could carry on, so along pages that all end so every second one can.
+    """
+    rows = blocks.join(measured, ["doc_id", "ord"])
+    order = W.partitionBy("doc_id").orderBy("ord")
+    page = W.partitionBy("doc_id", "page_no").orderBy("ord")
+    before = page.rowsBetween(W.unboundedPreceding, -1)
+    names = ("page_no", "size", "x0", "x1", "y1", "n_lines", "own", "wrapped", "end", "interrupts")
+    rows = rows.withColumn("p", F.lag(F.struct(*names)).over(order))
+    rows = rows.withColumns({"carry": F.first("p").over(page), "k": F.row_number().over(page)})
+    c = F.col
+    over, _, _ = _runs_on(lambda n: F.col(f"carry.{n}"), c)
+    _, beside, _ = _runs_on(lambda n: F.col(f"p.{n}"), c)
+    plain = ~c("interrupts")
+    rows = rows.withColumns({"sequel": plain & over, "beside": plain & (c("k") > 1) & ~F.coalesce("p.interrupts", F.lit(True)) & beside, "could": F.coalesce(~c("carry.interrupts") & (c("carry.page_no") == c("page_no") - 1), F.lit(False))})
+    label = plain & (c("n_lines") < COLUMN_LINES) & (c("n_chars") < LABEL_LETTERS) & ~c("sequel") & ~c("beside")
+    rows = rows.withColumn("label", label).withColumn("first_sequel", c("sequel") & F.coalesce(F.min("label").over(before), F.lit(True)))
+    # of each page's first block: does the page before end on a late sequel?
+    rows = rows.withColumn("late", F.coalesce(F.lag(c("first_sequel") & c("could") & (c("k") > 1)).over(order), F.lit(False)) & (c("k") == 1))
+    rows = rows.withColumn("chain", F.sum(((c("k") == 1) & ~(c("late") & c("could"))).cast("long")).over(order))
+    link = W.partitionBy("doc_id", "chain").orderBy("ord")
+    rows = rows.withColumns({"at": F.sum((c("k") == 1).cast("long")).over(link) - 1, "anchor": F.first("could").over(link)})
+    rows = rows.withColumn("open", c("could") & (c("anchor") == (c("at") % 2 == 0)))
+    rows = rows.withColumn("open", F.first("open").over(page))
+    rows = rows.withColumn("joins", c("open") & c("first_sequel"))
+    rows = rows.withColumn("goes", c("joins") | c("beside") & ~F.coalesce(F.lag(c("joins") & (c("k") > 1)).over(order), F.lit(False)))
+    rows = rows.withColumn("n", F.sum((~c("goes")).cast("long")).over(order))
+    rows = rows.withColumn("before", F.lag("n").over(order)).withColumn("held", F.first("before").over(page))
+    return rows.select("doc_id", "ord", F.when(c("joins"), c("held")).otherwise(c("n")).alias("para"))
 
 
 def heading_text(runs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.catalogue.surgery import boxed
+from quire.operators import figures as V
 from quire.operators import grouped as G
 from quire.plans import model as M
 from quire.registry import documents, query
@@ -37,15 +38,23 @@ def interline_blocks(spark, sf_dir):
 
 @query()
 def graphic_clusters(spark, sf_dir):
-    return G.graphic_clusters(M.fills(documents(spark, sf_dir)).select("doc_id", "page_no", "z", "x0", "y0", "x1", "y1").dropDuplicates(["doc_id", "page_no", "z"]))
+    # boxes of one z are told apart by what they are, so each has a place of its own in paint order
+    kind = F.array_position(F.array(*(F.lit(x) for x in ("page", "wide", "tight", "cover"))), F.col("fill"))
+    own = M.fills(documents(spark, sf_dir)).withColumn("z", F.col("z") * 4 + kind - 1)
+    return G.graphic_clusters(own.select("doc_id", "page_no", "z", "x0", "y0", "x1", "y1"))
 
 
 @query()
 def figure_regions(spark, sf_dir):
     docs = documents(spark, sf_dir)
     side = ("x0", "y0", "x1", "y1")
-    own = M.pictures(docs).select("doc_id", "page_no", *side, F.lit(False).alias("body")).union(M.blocks(docs).where("h % 4 = 3").select("doc_id", "page_no", *side, F.lit(True).alias("body")))
-    return G.figure_regions(own)
+    key = ("doc_id", "page_no")
+    runs = boxed(docs)
+    pieces = M.pictures(docs).where("not running").select(*key, F.col("ord").alias("id"), F.lit(True).alias("picture"), *side)
+    pieces = pieces.unionByName(M.fills(docs).where("fill = 'cover'").select(*key, (F.col("ord") + 1_000_000).alias("id"), F.lit(False).alias("picture"), *side))
+    n_lines = runs.groupBy("doc_id", "ord").agg((F.max(F.expr("run div 4")) + 1).alias("n_lines"))
+    texts = M.blocks(docs).where("text <> ''").join(n_lines, ["doc_id", "ord"]).select(*key, "ord", "n_lines", "n_chars", (F.col("size") >= 14).alias("heading"), *side)
+    return V.summed(*V.regions(pieces, texts, runs.select(*key, "ord", *side)))
 
 
 @query()

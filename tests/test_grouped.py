@@ -63,8 +63,6 @@ def test_graphics_and_regions():
     assert [[p["z"] for p in g] for g in G.graphics([path(1, 0), path(2, 12), path(3, 300), path(4, 311)])] == [[1, 2], [3, 4]]
     assert G.graphics([path(i, 0) for i in range(5)], most=4) == []
     near, far = (0.0, 0.0, 10.0, 10.0), (18.0, 0.0, 30.0, 10.0)
-    assert G.regions([near, far], []) == [(0.0, 0.0, 30.0, 10.0)]
-    assert G.regions([near, far], [(12.0, 2.0, 16.0, 8.0)]) == [near, far]
 
 
 def cell(text, head="", col_span=1, row_span=1):

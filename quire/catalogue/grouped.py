@@ -57,14 +57,6 @@ def figure_regions(spark, sf_dir):
     return V.summed(*V.regions(pieces, texts, runs.select(*key, "ord", *side)))
 
 
-@query()
-def table_tokens(spark, sf_dir):
-    r = M.runs(documents(spark, sf_dir)).where("run < 12")
-    head = F.when(F.col("run") < 4, "column").when(F.col("run") % 4 == 0, "row").otherwise("")
-    own = r.select("doc_id", F.col("ord").alias("tbl"), F.expr("run div 4").alias("row"), (F.col("run") % 4).alias("col"), F.when((F.col("ord") + F.col("run")) % 6 == 0, "").otherwise(F.col("text")).alias("text"), head.alias("head"), F.when(F.col("run") == 5, 2).otherwise(1).alias("col_span"), F.when(F.col("run") == 2, 2).otherwise(1).alias("row_span"))
-    return G.tables(own)
-
-
 @query()
 def compare_texts(spark, sf_dir):
     b = M.blocks(documents(spark, sf_dir)).where("text <> ''")

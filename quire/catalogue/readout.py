@@ -10,7 +10,8 @@ from quire.operators import assembly as A
 from quire.operators import redaction as R
 from quire.operators import sinks as K
 from quire.operators import spans as P
-from quire.operators import trees as R
+from quire.operators import tables as B
+from quire.operators import trees as E
 from quire.plans import model as M
 from quire.registry import documents, query
 
@@ -69,14 +70,14 @@ SELECT o.doc_id, owner AS node, trim(regexp_replace(string_agg(b.text, ' ' ORDER
 def node_text(spark, sf_dir):
     docs = documents(spark, sf_dir)
     own = M.nodes(docs).withColumn("inline", F.expr(_INLINE))
-    return R.node_texts(R.numbered(own), own, M.blocks(docs))
+    return E.node_texts(E.numbered(own), own, M.blocks(docs))
 
 
 @query(M.sql("nodes").replace("WITH ", "WITH RECURSIVE ", 1) + """, u AS (SELECT doc_id, node, node AS top, length(text) AS n FROM nodes UNION ALL SELECT u.doc_id, u.node, n.parent, u.n FROM u JOIN nodes n ON n.doc_id = u.doc_id AND n.node = u.top WHERE n.parent IS NOT NULL)
 SELECT doc_id, top AS node, sum(n)::BIGINT AS total FROM u GROUP BY 1, 2""")
 def subtree_letters(spark, sf_dir):
     own = M.nodes(documents(spark, sf_dir)).withColumn("n", F.length("text"))
-    return R.subtree_sums(R.numbered(own), own, "n")
+    return E.subtree_sums(E.numbered(own), own, "n")
 
 
 @query(M.sql() + """, u AS (SELECT doc_id, ord, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM blocks WHERE h % 23 <> 0 AND text <> '')
@@ -112,39 +113,79 @@ def regex_zones(spark, sf_dir):
 def typed(docs):
     """Blocks with a type and a level for the sinks."""
     b = M.blocks(docs)
-    kind = F.when(F.col("size") >= 14, "HEADING").when(F.col("h") % 8 == 1, "FIGURE").when(T.is_list_item(F.col("text")) | (F.col("h") % 10 == 2), "ITEM").when(F.col("h") % 9 == 4, "QUOTE").when(F.col("h") % 14 == 5, "CODE").when(F.col("h") % 11 == 3, "CAPTION").otherwise("PARAGRAPH")
+    kind = F.when(F.col("size") >= 14, "HEADING").when(F.col("h") % 8 == 1, "FIGURE").when(F.col("h") % 12 == 7, "TABLE").when(T.is_list_item(F.col("text")) | (F.col("h") % 10 == 2), "ITEM").when(F.col("h") % 9 == 4, "QUOTE").when(F.col("h") % 14 == 5, "CODE").when(F.col("h") % 11 == 3, "CAPTION").otherwise("PARAGRAPH")
     return b.withColumns({"type": kind, "level": F.when(F.col("size") == 20, 1).when(F.col("size") == 18, 2).otherwise(3).cast("long")})
 
 
 _MARK = f"^[ \\t\\x0B\\f\\r]*([{T.BULLETS}]|[0-9]{{1,3}}|\\(?[A-Za-z0-9]{{1,3}}[.)])[ \\t\\x0B\\f\\r]+"
 _TYPED = f"""
-typed AS (SELECT *, CASE WHEN size >= 14 THEN 'HEADING' WHEN h % 8 = 1 THEN 'FIGURE' WHEN regexp_matches(text, '{_MARK}.') OR h % 10 = 2 THEN 'ITEM' WHEN h % 9 = 4 THEN 'QUOTE' WHEN h % 14 = 5 THEN 'CODE' WHEN h % 11 = 3 THEN 'CAPTION' ELSE 'PARAGRAPH' END AS type,
+typed AS (SELECT *, CASE WHEN size >= 14 THEN 'HEADING' WHEN h % 8 = 1 THEN 'FIGURE' WHEN h % 12 = 7 THEN 'TABLE' WHEN regexp_matches(text, '{_MARK}.') OR h % 10 = 2 THEN 'ITEM' WHEN h % 9 = 4 THEN 'QUOTE' WHEN h % 14 = 5 THEN 'CODE' WHEN h % 11 = 3 THEN 'CAPTION' ELSE 'PARAGRAPH' END AS type,
   CASE WHEN size = 20 THEN 1 WHEN size = 18 THEN 2 ELSE 3 END AS level FROM blocks)"""
 _LOC = " || ".join(f"'<loc_' || least(500, greatest(0, floor({c} * 500.0 / 1000 + 0.5)))::BIGINT || '>'" for c in ("x0", "y0", "x1", "y1"))
 _ESC = "replace(replace(replace(regexp_replace({}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query(M.sql() + "," + _TYPED + f""", p AS (SELECT doc_id, ord, CASE WHEN lag(page_no) OVER (PARTITION BY doc_id ORDER BY ord) <> page_no THEN '<page_break>' || chr(10) ELSE '' END AS turn, {_LOC} AS loc, type,
+def cells(docs):
+    """Cells of the tables: a table's runs, four to a row, some of them with spans, the first row and column as heads."""
+    own = M.runs(docs).join(typed(docs).where("type = 'TABLE'").select("doc_id", "ord"), ["doc_id", "ord"], "left_semi")
+    k = F.col("ord") * 3 + F.col("run")
+    head = F.when(F.col("run") == 0, "both").when(F.col("run") < 4, "column").when(F.col("run") % 4 == 0, "row").otherwise("")
+    return own.select("doc_id", F.col("ord").alias("tbl"), F.expr("run div 4").alias("row"), F.col("run").alias("col"), F.when(k % 6 == 0, "").otherwise(F.col("text")).alias("text"), head.alias("head"), F.when(k % 7 == 5, 2).otherwise(1).alias("col_span"), F.when(k % 5 == 2, 2 + k % 2).otherwise(1).alias("row_span"))
+
+
+#: The cells for DuckDB, placed one after the other by a walk that holds what spans have taken.
+_CELLS = f"""
+cells AS MATERIALIZED (SELECT r.doc_id, r.ord AS tbl, run // 4 AS r, run AS col, CASE WHEN (r.ord * 3 + run) % 6 = 0 THEN '' ELSE r.text END AS text, CASE WHEN run = 0 THEN 'both' WHEN run < 4 THEN 'column' WHEN run % 4 = 0 THEN 'row' ELSE '' END AS head,
+  CASE WHEN (r.ord * 3 + run) % 7 = 5 THEN 2 ELSE 1 END AS cs, CASE WHEN (r.ord * 3 + run) % 5 = 2 THEN 2 + (r.ord * 3 + run) % 2 ELSE 1 END AS rs FROM runs r JOIN typed t USING (doc_id, ord) WHERE type = 'TABLE'),
+size AS MATERIALIZED (SELECT doc_id, tbl, max(r) + 1 AS h, max(n)::BIGINT AS w FROM (SELECT doc_id, tbl, r, sum(cs) AS n FROM cells GROUP BY 1, 2, 3) GROUP BY 1, 2),
+walk AS (SELECT c.doc_id, c.tbl, 0::BIGINT AS col, r, 0::BIGINT AS place, cs AS next, CASE WHEN rs > 1 THEN [[r + rs - 1, 0, cs - 1]] ELSE [] END AS busy FROM cells c WHERE col = 0
+  UNION ALL SELECT doc_id, tbl, col, r, place, coalesce(place + cs, w), CASE WHEN rs > 1 AND place IS NOT NULL THEN list_append(busy, [r + rs - 1, place, place + cs - 1]) ELSE busy END
+  FROM (SELECT *, list_filter(range(low, w), lambda x: len(list_filter(busy, lambda b: b[1] >= r AND b[2] <= x AND x <= b[3])) = 0)[1] AS place
+    FROM (SELECT c.doc_id, c.tbl, c.col, c.r, c.cs, c.rs, s.w, CASE WHEN c.r = p.r THEN p.next ELSE 0 END AS low, list_filter(p.busy, lambda b: b[1] >= c.r) AS busy
+      FROM walk p JOIN cells c ON c.doc_id = p.doc_id AND c.tbl = p.tbl AND c.col = p.col + 1 JOIN size s ON s.doc_id = p.doc_id AND s.tbl = p.tbl))),
+spots AS (SELECT w.doc_id, w.tbl, w.col, w.r + j AS r, place + k AS c, CASE WHEN j > 0 AND k > 0 THEN '<xcel>' WHEN j > 0 THEN '<ucel>' WHEN k > 0 THEN '<lcel>' WHEN trim(text) = '' THEN '<ecel>' ELSE CASE head WHEN 'column' THEN '<ched>' WHEN 'both' THEN '<ched>' WHEN 'row' THEN '<rhed>' ELSE '<fcel>' END || trim(replace(replace(text, '<', '‹'), '>', '›')) END AS token
+  FROM walk w JOIN cells x USING (doc_id, tbl, col) JOIN size s USING (doc_id, tbl), range(3) a(j), range(2) b(k) WHERE place IS NOT NULL AND j < rs AND k < cs AND w.r + j < h AND place + k < s.w),
+grid AS (SELECT s.doc_id, s.tbl, y AS r, x AS c, coalesce(max_by(token, col), '<ecel>') AS token FROM (SELECT doc_id, tbl, y, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM size)) s LEFT JOIN spots p ON p.doc_id = s.doc_id AND p.tbl = s.tbl AND p.r = y AND p.c = x GROUP BY 1, 2, 3, 4),
+tokens AS (SELECT doc_id, tbl, string_agg(line || '<nl>' || chr(10), '' ORDER BY r) AS otsl FROM (SELECT doc_id, tbl, r, string_agg(token, '' ORDER BY c) AS line FROM grid GROUP BY 1, 2, 3) GROUP BY 1, 2),
+piped AS (SELECT c.doc_id, c.tbl, r, '| ' || string_agg(trim(replace(replace(text, chr(10), ' '), '|', '\\|')) || repeat(' | ', cs - 1), ' | ' ORDER BY col) || repeat(' | ', w - sum(cs)::BIGINT) || ' |' || CASE WHEN r = 0 THEN chr(10) || '|' || repeat(' --- |', w) ELSE '' END AS line FROM cells c JOIN size s USING (doc_id, tbl) GROUP BY 1, 2, 3, w),
+marked AS (SELECT doc_id, tbl, r, string_agg('<' || CASE WHEN head = '' THEN 'td' ELSE 'th' END || CASE WHEN cs > 1 THEN ' colspan="' || cs || '"' ELSE '' END || CASE WHEN rs > 1 THEN ' rowspan="' || rs || '"' ELSE '' END || CASE head WHEN 'column' THEN ' scope="col"' WHEN 'row' THEN ' scope="row"' ELSE '' END
+  || '>' || {_ESC.format('text')} || '</' || CASE WHEN head = '' THEN 'td' ELSE 'th' END || '>' || chr(10), '' ORDER BY col) AS line FROM cells GROUP BY 1, 2, 3),
+tables AS MATERIALIZED (SELECT * FROM tokens JOIN (SELECT doc_id, tbl, string_agg(line, chr(10) ORDER BY r) AS markdown FROM piped GROUP BY 1, 2) USING (doc_id, tbl)
+  JOIN (SELECT doc_id, tbl, '<table>' || chr(10) || string_agg('<tr>' || chr(10) || line || '</tr>' || chr(10), '' ORDER BY r) || '</table>' || chr(10) AS html FROM marked GROUP BY 1, 2) USING (doc_id, tbl))"""
+_TABLES = M.sql("runs").replace("WITH ", "WITH RECURSIVE ", 1) + "," + _TYPED + "," + _CELLS
+
+
+@query(_TABLES + " SELECT * FROM tables")
+def table_tokens(spark, sf_dir):
+    return B.written_out(cells(documents(spark, sf_dir)))
+
+
+def with_tables(docs):
+    return K.with_tables(typed(docs), B.written_out(cells(docs)))
+
+
+@query(_TABLES + f""", p AS (SELECT doc_id, ord, coalesce(lag(type) OVER (PARTITION BY doc_id ORDER BY ord), '') AS pt, coalesce(lead(type) OVER (PARTITION BY doc_id ORDER BY ord), '') AS nt, CASE WHEN lag(page_no) OVER (PARTITION BY doc_id ORDER BY ord) <> page_no THEN '<page_break>' || chr(10) ELSE '' END AS turn, {_LOC} AS loc, type,
   CASE type WHEN 'HEADING' THEN 'section_header_level_' || level WHEN 'ITEM' THEN 'list_item' WHEN 'FIGURE' THEN 'picture' ELSE 'text' END AS tag, trim(replace(replace(text, '<', '‹'), '>', '›')) AS said FROM typed)
-SELECT doc_id, '<doctag>' || chr(10) || string_agg(turn || '<' || tag || '>' || loc || CASE type WHEN 'FIGURE' THEN '' WHEN 'ITEM' THEN trim(regexp_replace(said, '{_MARK}', '')) ELSE said END || '</' || tag || '>' || chr(10), '' ORDER BY ord) || '</doctag>' || chr(10) AS doctags FROM p GROUP BY 1""")
+SELECT p.doc_id, '<doctag>' || chr(10) || string_agg(CASE WHEN type = 'TABLE' THEN turn || '<otsl>' || loc || chr(10) || coalesce(otsl, '') || CASE WHEN nt = 'CAPTION' THEN '' ELSE '</otsl>' || chr(10) END
+  WHEN type = 'CAPTION' AND pt = 'TABLE' THEN '<caption>' || loc || said || '</caption>' || chr(10) || '</otsl>' || chr(10) ELSE turn || '<' || tag || '>' || loc || CASE type WHEN 'FIGURE' THEN '' WHEN 'ITEM' THEN trim(regexp_replace(said, '{_MARK}', '')) ELSE said END || '</' || tag || '>' || chr(10) END, '' ORDER BY ord) || '</doctag>' || chr(10) AS doctags FROM p LEFT JOIN tables t ON t.doc_id = p.doc_id AND t.tbl = p.ord GROUP BY 1""")
 def doctags_loc(spark, sf_dir):
-    return K.doctags(typed(documents(spark, sf_dir)))
+    return K.doctags(with_tables(documents(spark, sf_dir)))
 
 
-@query(M.sql() + "," + _TYPED + f""", p AS (SELECT doc_id, ord, text, type, level, coalesce(lag(type) OVER o, '') AS pt, coalesce(lead(type) OVER o, '') AS nt FROM typed WINDOW o AS (PARTITION BY doc_id ORDER BY ord))
-SELECT doc_id, string_agg(CASE type WHEN 'HEADING' THEN '<h' || level || '>' || {_ESC.format('text')} || '</h' || level || '>' || chr(10)
+@query(_TABLES + f""", p AS (SELECT doc_id, ord, text, type, level, coalesce(lag(type) OVER o, '') AS pt, coalesce(lead(type) OVER o, '') AS nt FROM typed WINDOW o AS (PARTITION BY doc_id ORDER BY ord))
+SELECT p.doc_id, string_agg(CASE type WHEN 'TABLE' THEN coalesce(t.html, '<table>' || chr(10) || '</table>' || chr(10)) WHEN 'HEADING' THEN '<h' || level || '>' || {_ESC.format('text')} || '</h' || level || '>' || chr(10)
   WHEN 'ITEM' THEN CASE WHEN pt <> 'ITEM' THEN '<ul>' || chr(10) ELSE '' END || '<li>' || {_ESC.format(f"trim(regexp_replace(text, '{_MARK}', ''))")} || '</li>' || chr(10) || CASE WHEN nt <> 'ITEM' THEN '</ul>' || chr(10) ELSE '' END
   WHEN 'FIGURE' THEN '<figure></figure>' || chr(10) WHEN 'QUOTE' THEN '<blockquote>' || {_ESC.format('text')} || '</blockquote>' || chr(10) WHEN 'CODE' THEN '<pre><code>' || {_ESC.format('text')} || '</code></pre>' || chr(10)
-  ELSE '<p>' || {_ESC.format('text')} || '</p>' || chr(10) END, '' ORDER BY ord) AS html FROM p GROUP BY 1""")
+  ELSE '<p>' || {_ESC.format('text')} || '</p>' || chr(10) END, '' ORDER BY ord) AS html FROM p LEFT JOIN tables t ON t.doc_id = p.doc_id AND t.tbl = p.ord GROUP BY 1""")
 def html_sink(spark, sf_dir):
-    return K.html(typed(documents(spark, sf_dir)))
+    return K.html(with_tables(documents(spark, sf_dir)))
 
 
-@query(M.sql() + "," + _TYPED + f""", p AS (SELECT doc_id, ord, CASE WHEN type = 'FIGURE' THEN '<!-- image -->' WHEN text = '' THEN NULL WHEN type = 'HEADING' THEN repeat('#', level) || ' ' || text WHEN type = 'QUOTE' THEN '> ' || replace(text, chr(10), chr(10) || '> ') WHEN type = 'CAPTION' THEN '*' || text || '*'
-  WHEN type = 'CODE' THEN '```' || chr(10) || text || chr(10) || '```' WHEN type = 'ITEM' THEN '- ' || trim(regexp_replace(text, '{_MARK}', '')) ELSE text END AS part FROM typed)
+@query(_TABLES + f""", p AS (SELECT y.doc_id, ord, CASE WHEN type = 'FIGURE' THEN '<!-- image -->' WHEN type = 'TABLE' THEN t.markdown WHEN text = '' THEN NULL WHEN type = 'HEADING' THEN repeat('#', level) || ' ' || text WHEN type = 'QUOTE' THEN '> ' || replace(text, chr(10), chr(10) || '> ') WHEN type = 'CAPTION' THEN '*' || text || '*'
+  WHEN type = 'CODE' THEN '```' || chr(10) || text || chr(10) || '```' WHEN type = 'ITEM' THEN '- ' || trim(regexp_replace(text, '{_MARK}', '')) ELSE text END AS part FROM typed y LEFT JOIN tables t ON t.doc_id = y.doc_id AND t.tbl = y.ord)
 SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY ord) AS markdown FROM p WHERE part IS NOT NULL GROUP BY 1""")
 def markdown_typed(spark, sf_dir):
-    return K.markdown(typed(documents(spark, sf_dir)))
+    return K.markdown(with_tables(documents(spark, sf_dir)))
 
 
 @query(M.sql() + "," + _TYPED + " SELECT doc_id, page_no, '{\"blocks\":[' || string_agg('{\"ord\":' || ord || ',\"type\":\"' || type || '\",\"x0\":' || x0 || '.0,\"y0\":' || y0 || '.0,\"x1\":' || x1 || '.0,\"y1\":' || y1 || '.0}', ',' ORDER BY ord) || ']}' AS json FROM typed GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.tables import tagless
 
 #: Letters from which on a chapter stands by itself, and what a figure weighs.
 MIN_CHAPTER = 400
@@ -24,20 +25,41 @@ def loc(box: tuple[str, ...], grid: int = 500, whole: int = 1000) -> Column:
     return F.concat(*(F.concat(F.lit("<loc_"), cell(c), F.lit(">")) for c in box))
 
 
+def with_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """The blocks with otsl, table_markdown and table_html of those that are tables; a table without cells has none.
+
+    tables: doc_id, tbl (the block's ord), otsl, markdown, html.
+    """
+    own = tables.select("doc_id", F.col("tbl").alias("ord"), "otsl", F.col("markdown").alias("table_markdown"), F.col("html").alias("table_html"))
+    return blocks.join(own, ["doc_id", "ord"], "left")
+
+
 def doctags(blocks: DataFrame) -> DataFrame:
-    """doc_id, doctags.  blocks: doc_id, ord, page_no, x0, y0, x1, y1, type, level, text."""
+    """doc_id, doctags.  blocks: doc_id, ord, page_no, x0, y0, x1, y1, type, level, text, otsl.
+
+    A table is a block of its grid's tokens; the caption after it stands within.
+    """
     order = W.partitionBy("doc_id").orderBy("ord")
     tag = F.when(F.col("type") == "HEADING", F.concat(F.lit("section_header_level_"), F.col("level").cast("string"))).when(F.col("type") == "ITEM", "list_item").when(F.col("type") == "FIGURE", "picture").otherwise("text")
-    said = F.trim(F.replace(F.replace("text", F.lit("<"), F.lit("‹")), F.lit(">"), F.lit("›")))
+    said = tagless(F.col("text"))
     said = F.when(F.col("type") == "ITEM", T.strip_marker(said)).otherwise(said)
     turn = F.when(F.lag("page_no").over(order) != F.col("page_no"), "<page_break>\n").otherwise("")
-    part = F.concat(turn, F.lit("<"), tag, F.lit(">"), loc(("x0", "y0", "x1", "y1")), F.when(F.col("type") == "FIGURE", "").otherwise(said), F.lit("</"), tag, F.lit(">\n"))
+    table, caption = F.col("type") == "TABLE", F.col("type") == "CAPTION"
+    ends = F.lit("</otsl>\n")
+    inner = caption & F.coalesce(F.lag("type").over(order) == "TABLE", F.lit(False))
+    held = F.coalesce(F.lead("type").over(order) == "CAPTION", F.lit(False))
+    place = loc(("x0", "y0", "x1", "y1"))
+    part = (
+        F.when(table, F.concat(turn, F.lit("<otsl>"), place, F.lit("\n"), F.coalesce("otsl", F.lit("")), F.when(held, "").otherwise(ends)))
+        .when(inner, F.concat(F.lit("<caption>"), place, said, F.lit("</caption>\n"), ends))
+        .otherwise(F.concat(turn, F.lit("<"), tag, F.lit(">"), place, F.when(F.col("type") == "FIGURE", "").otherwise(said), F.lit("</"), tag, F.lit(">\n")))
+    )
     out = assembled(blocks.select("doc_id", "ord", part.alias("part")), "ord", "part", "doctags")
     return out.withColumn("doctags", F.concat(F.lit("<doctag>\n"), "doctags", F.lit("</doctag>\n")))
 
 
 def html(blocks: DataFrame) -> DataFrame:
-    """doc_id, html: headings, paragraphs, quotes, code, lists (neighbouring items are one list) and figures."""
+    """doc_id, html: headings, paragraphs, quotes, code, lists (neighbouring items are one list), tables and figures."""
     order = W.partitionBy("doc_id").orderBy("ord")
     said = T.escape_xml(F.col("text"))
     item = F.col("type") == "ITEM"
@@ -49,6 +71,7 @@ def html(blocks: DataFrame) -> DataFrame:
         F.when(F.col("type") == "HEADING", F.concat(F.lit("<h"), level, F.lit(">"), said, F.lit("</h"), level, F.lit(">\n")))
         .when(item, F.concat(F.when(opens, "<ul>\n").otherwise(""), around("li", T.escape_xml(T.strip_marker(F.col("text")))), F.when(closes, "</ul>\n").otherwise("")))
         .when(F.col("type") == "FIGURE", F.lit("<figure></figure>\n"))
+        .when(F.col("type") == "TABLE", F.coalesce("table_html", F.lit("<table>\n</table>\n")))
         .when(F.col("type") == "QUOTE", around("blockquote", said))
         .when(F.col("type") == "CODE", F.concat(F.lit("<pre><code>"), said, F.lit("</code></pre>\n")))
         .otherwise(around("p", said))
@@ -57,11 +80,12 @@ def html(blocks: DataFrame) -> DataFrame:
 
 
 def markdown(blocks: DataFrame) -> DataFrame:
-    """doc_id, markdown by type: headings by level, quotes and notes, captions, code, items, figures, paragraphs."""
+    """doc_id, markdown by type: headings by level, quotes and notes, captions, code, items, tables, figures, paragraphs."""
     said = F.col("text")
     quoted = F.concat(F.lit("> "), F.replace(said, F.lit("\n"), F.lit("\n> ")))
     part = (
         F.when(F.col("type") == "FIGURE", F.lit("<!-- image -->"))
+        .when(F.col("type") == "TABLE", F.col("table_markdown"))
         .when(said == "", F.lit(None).cast("string"))
         .when(F.col("type") == "HEADING", F.concat(F.repeat(F.lit("#"), F.col("level").cast("int")), F.lit(" "), said))
         .when(F.col("type").isin("QUOTE", "NOTE"), quoted)

@@ -58,21 +58,10 @@ def test_lines_are_split_at_wide_distances():
     assert [[r["line"] for r in b] for b in G.split_lines(lines)] == [[0, 1, 2], [3, 4]]
 
 
-def test_graphics_and_regions():
+def test_graphics():
     path = lambda z, x: {"z": z, "x0": x, "y0": 0, "x1": x + 10, "y1": 10}
     assert [[p["z"] for p in g] for g in G.graphics([path(1, 0), path(2, 12), path(3, 300), path(4, 311)])] == [[1, 2], [3, 4]]
     assert G.graphics([path(i, 0) for i in range(5)], most=4) == []
-    near, far = (0.0, 0.0, 10.0, 10.0), (18.0, 0.0, 30.0, 10.0)
-
-
-def cell(text, head="", col_span=1, row_span=1):
-    return {"text": text, "head": head, "col_span": col_span, "row_span": row_span}
-
-
-def test_tables():
-    rows = [[cell("A", "column", 2), cell("B", "column", 1, 2)], [cell("1", "row"), cell("")]]
-    assert G.otsl(rows) == "<ched>A<lcel><ched>B<nl>\n<rhed>1<ecel><ucel><nl>\n"
-    assert G.pipe_table([[cell("a|b", col_span=2)], [cell("1"), cell("2\n3")]]) == "| a\\|b |  |\n| --- | --- |\n| 1 | 2 3 |".replace("| --- | --- |", "| --- | --- |")
 
 
 def test_compare_turns_one_text_into_the_other():

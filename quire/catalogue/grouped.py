@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.catalogue.surgery import boxed
+from quire.operators import compare as D
 from quire.operators import figures as V
 from quire.operators import grouped as G
 from quire.plans import model as M
@@ -59,9 +60,15 @@ def figure_regions(spark, sf_dir):
 
 @query()
 def compare_texts(spark, sf_dir):
+    """Each document as Markdown against an edited copy: replaced words, words put before a paragraph, paragraphs that swap places."""
     b = M.blocks(documents(spark, sf_dir)).where("text <> ''")
-    other = F.when(F.col("h") % 4 == 0, F.regexp_replace("text", " and ", " & ")).when(F.col("h") % 4 == 1, F.concat(F.lit("First "), F.col("text"))).otherwise(F.col("text"))
-    return G.compare(b.select(F.col("h").alias("doc_id"), F.col("text").alias("a"), other.alias("b")))
+    marked = F.when(F.col("size") >= 14, F.concat(F.lit("# "), F.col("text"))).otherwise(F.col("text"))
+    other = F.when(F.col("h") % 4 == 0, F.regexp_replace("text", " [a-z]{3} ", " & ")).when(F.col("h") % 4 == 1, F.concat(F.lit("First "), F.col("text"))).otherwise(marked)
+    place = F.when(F.col("h") % 11 == 0, F.col("ord") + 3).otherwise(F.col("ord"))
+    parts = b.select("doc_id", "ord", place.alias("place"), marked.alias("a"), other.alias("b"))
+    joined = lambda at, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "ord", c))), lambda x: x[c]), "\n")
+    pairs = parts.groupBy("doc_id").agg(joined("ord", "a").alias("a"), joined("place", "b").alias("b"))
+    return D.sections(D.compare(pairs), D.markdown_headings(pairs.select("doc_id", F.col("a").alias("text"))))
 
 
 @query()

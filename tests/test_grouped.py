@@ -64,19 +64,6 @@ def test_graphics():
     assert G.graphics([path(i, 0) for i in range(5)], most=4) == []
 
 
-def test_compare_turns_one_text_into_the_other():
-    rng = random.Random(3)
-    for _ in range(200):
-        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
-        for bridge in (0, 3):
-            out, at = [], 0
-            for _, a0, a1, b0, b1 in G.compared(a, b, bridge=bridge):
-                out += a[at:a0] + b[b0:b1]
-                at = a1
-            assert out + a[at:] == b
-    assert G.compared(["a"] * 3, ["b"] * 3, most=8) is None
-
-
 def test_first_object():
     assert G.first_object('x {"a": "}\\"{", "b": {"c": 1}} {"d": 2}') == '{"a": "}\\"{", "b": {"c": 1}}'
     assert G.first_object("{ open") is None and G.first_object(None) is None and G.first_object('{ {"a":1}') == '{"a":1}'
@@ -87,5 +74,3 @@ def test_wrappers(spark):
     assert sorted(map(tuple, G.read_order(df).collect())) == [(1, 0, 1, 1), (1, 0, 2, 2), (1, 0, 3, 0), (2, 0, 1, 0)]
     texts = spark.createDataFrame([("ﬁ ½",), (None,)], "t string")
     assert [r[0] for r in texts.select(G.nfkc(texts["t"])).collect()] == [unicodedata.normalize("NFKC", "ﬁ ½"), None]
-    found = spark.createDataFrame([(1, "a b c", "a x c"), (2, None, "q")], "doc_id long, a string, b string")
-    assert sorted(map(tuple, G.compare(found).collect())) == [(1, "replace", 1, 2, 1, 2), (2, "insert", 0, 0, 0, 1)]

@@ -2,14 +2,12 @@
 
 import io
 import os
-import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.sources import files, words
-from quire.streaming import hotfolder
 
 
 def test_kinds(spark):
@@ -48,41 +46,3 @@ def test_ocr_rows(spark):
     assert [(r.text, r.conf, r.line) for r in words.ocr_words(rows).orderBy("no").collect()] == [("one", 0.9, 0), ("two", -1.0, 1), ("three", 0.5, 0)]
     page = words.ocr_pages(words.ocr_words(rows)).collect()[0]
     assert (page.text, page.n_words, page.n_doubtful) == ("one three\ntwo", 3, 1)
-
-
-LIST = "path string, size long, time long"
-
-
-def test_sweeps(spark):
-    empty = spark.createDataFrame([], hotfolder.STATE)
-    ready = lambda rows: sorted(r.path for r in rows.where("ready").collect())
-    state = lambda rows: spark.createDataFrame([tuple(r) for r in rows.select("path", "signature", "done").collect()], hotfolder.STATE)
-    listed = lambda *rows: spark.createDataFrame(list(rows), LIST)
-    first = hotfolder.sweep(listed(("a", 5, 1), ("b", 0, 1), ("c", 7, 1), ("old", 3, 1)), empty, listed(("old", 0, 2)).select("path", "time"))
-    assert ready(first) == []
-    second = hotfolder.sweep(listed(("a", 5, 1), ("b", 0, 1), ("c", 9, 2), ("old", 3, 1)), state(first))
-    assert ready(second) == ["a"]
-    third = hotfolder.sweep(listed(("a", 5, 1), ("c", 9, 2)), state(second))
-    assert ready(third) == ["c"]
-    fourth = hotfolder.sweep(listed(("a", 6, 3), ("c", 9, 2), ("old", 3, 1)), state(third))
-    assert ready(fourth) == []
-    fifth = hotfolder.sweep(listed(("a", 6, 3), ("c", 9, 2), ("old", 3, 1)), state(fourth))
-    assert ready(fifth) == ["a", "old"]
-
-
-def test_stream_processes_and_moves(spark, tmp_path):
-    source, done, state = (tmp_path / n for n in ("in", "done", "state"))
-    (source / "sub").mkdir(parents=True)
-    (source / "sub" / "x.pdf").write_bytes(b"%PDF")
-    seen = []
-    listener = hotfolder.Progress()
-    spark.streams.addListener(listener)
-    query = hotfolder.watch(spark, str(source), str(state), lambda rows, n: seen.extend(r.path for r in rows.collect()), every=0.5, done=str(done))
-    try:
-        until = time.time() + 90
-        while not (done / "sub" / "x.pdf").exists() and time.time() < until:
-            time.sleep(0.5)
-    finally:
-        query.stop()
-        spark.streams.removeListener(listener)
-    assert (done / "sub" / "x.pdf").exists() and [os.path.basename(p) for p in seen] == ["x.pdf"] and listener.batches

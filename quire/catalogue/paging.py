@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from quire.operators import paging as P
 from quire.plans import model as M
 from quire.registry import documents, query
+from quire.sources.shared import work_dir
 
 
-@query(M.sql("runs") + """, n AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY run, ord) AS z, CASE WHEN (ord + run) % 5 > 0 THEN ord // 2 END AS block FROM runs WHERE run < 6),
+@query(M.sql("runs") + """, n AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY run, ord) AS z, CASE WHEN (ord + run) % 5 > 0 THEN ord // 2 END AS block FROM runs),
 b AS (SELECT *, last_value(block IGNORE NULLS) OVER (PARTITION BY doc_id, page_no ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, first_value(block IGNORE NULLS) OVER (PARTITION BY doc_id, page_no ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM n),
 o AS (SELECT *, p AS own FROM b WHERE p = f), s AS (SELECT *, CASE WHEN lag(own) OVER w = own AND z = lag(z) OVER w + 1 THEN 0 ELSE 1 END AS fresh FROM o WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY z)),
 t AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_no ORDER BY z) AS span FROM s), g AS (SELECT doc_id, page_no, own AS block, span, min(z) AS z0, max(z) AS z1, count(*) AS n FROM t GROUP BY 1, 2, 3, 4)
@@ -17,7 +18,7 @@ SELECT doc_id, page_no, block, z0, z1, n, CASE WHEN count(*) OVER (PARTITION BY
 def paragraph_flow(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    r = M.runs(documents(spark, sf_dir)).where("run < 6")
+    r = M.runs(documents(spark, sf_dir))
     z = F.row_number().over(W.partitionBy("doc_id", "page_no").orderBy("run", "ord")).cast("long")
     own = r.select("doc_id", "page_no", z.alias("z"), F.when((F.col("ord") + F.col("run")) % 5 > 0, F.expr("ord div 2")).alias("block"), F.lit(1).alias("step"))
     return P.paint_spans(own)
@@ -51,6 +52,17 @@ def patch_pages(spark, sf_dir):
     return P.patched(M.blocks(docs), M.notes(docs).where("kind = 'REDACT'")).select("doc_id", "page_no", "ord", "n_chars")
 
 
+@query(M.sql("notes") + """, t AS (SELECT DISTINCT doc_id, page_no, TRUE AS named FROM notes WHERE kind = 'REDACT')
+SELECT doc_id, page_no, ord, CASE WHEN named THEN upper(translate(text, 'ß', 's')) ELSE translate(text, 'ß', 's') END AS text FROM blocks LEFT JOIN t USING (doc_id, page_no)""")
+def patch_upsert(spark, sf_dir):
+    """The written model after a patch of the pages that have marks: their texts in capitals."""
+    own = M.blocks(documents(spark, sf_dir)).select("doc_id", "page_no", "ord", F.translate("text", "ß", "s").alias("text"))
+    path = f"{work_dir(spark)}/model"
+    P.write_model(own, path)
+    P.write_patch(P.patched(own, M.notes(documents(spark, sf_dir)).where("kind = 'REDACT'")).withColumn("text", F.upper("text")), path)
+    return P.read_model(spark, path)
+
+
 @query(M.sql("nodes").replace("WITH ", "WITH RECURSIVE ", 1) + """, up AS (SELECT doc_id, node, node AS top FROM nodes UNION ALL SELECT u.doc_id, u.node, n.parent FROM up u JOIN nodes n ON n.doc_id = u.doc_id AND n.node = u.top WHERE n.parent IS NOT NULL)
 SELECT n.doc_id, n.node AS root, count(*) AS n_runs, min(r.ref) AS first_ref FROM nodes n JOIN up ON up.doc_id = n.doc_id AND up.top = n.node JOIN nodes r ON r.doc_id = up.doc_id AND r.node = up.node WHERE n.type = 'HEADING' GROUP BY 1, 2""")
 def runs_under_root(spark, sf_dir):

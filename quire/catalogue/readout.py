@@ -110,11 +110,7 @@ def regex_zones(spark, sf_dir):
     return P.pattern_zones(M.lettered(documents(spark, sf_dir)), _NAMES)
 
 
-def typed(docs):
-    """Blocks with a type and a level for the sinks."""
-    b = M.blocks(docs)
-    kind = F.when(F.col("size") >= 14, "HEADING").when(F.col("h") % 8 == 1, "FIGURE").when(F.col("h") % 12 == 7, "TABLE").when(T.is_list_item(F.col("text")) | (F.col("h") % 10 == 2), "ITEM").when(F.col("h") % 9 == 4, "QUOTE").when(F.col("h") % 14 == 5, "CODE").when(F.col("h") % 11 == 3, "CAPTION").otherwise("PARAGRAPH")
-    return b.withColumns({"type": kind, "level": F.when(F.col("size") == 20, 1).when(F.col("size") == 18, 2).otherwise(3).cast("long")})
+typed = M.typed
 
 
 _MARK = f"^[ \\t\\x0B\\f\\r]*([{T.BULLETS}]|[0-9]{{1,3}}|\\(?[A-Za-z0-9]{{1,3}}[.)])[ \\t\\x0B\\f\\r]+"
@@ -125,12 +121,7 @@ _LOC = " || ".join(f"'<loc_' || least(500, greatest(0, floor({c} * 500.0 / 1000
 _ESC = "replace(replace(replace(regexp_replace({}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-def cells(docs):
-    """Cells of the tables: a table's runs, four to a row, some of them with spans, the first row and column as heads."""
-    own = M.runs(docs).join(typed(docs).where("type = 'TABLE'").select("doc_id", "ord"), ["doc_id", "ord"], "left_semi")
-    k = F.col("ord") * 3 + F.col("run")
-    head = F.when(F.col("run") == 0, "both").when(F.col("run") < 4, "column").when(F.col("run") % 4 == 0, "row").otherwise("")
-    return own.select("doc_id", F.col("ord").alias("tbl"), F.expr("run div 4").alias("row"), F.col("run").alias("col"), F.when(k % 6 == 0, "").otherwise(F.col("text")).alias("text"), head.alias("head"), F.when(k % 7 == 5, 2).otherwise(1).alias("col_span"), F.when(k % 5 == 2, 2 + k % 2).otherwise(1).alias("row_span"))
+cells = M.cells
 
 
 #: The cells for DuckDB, placed one after the other by a walk that holds what spans have taken.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import glyphs as Y
@@ -89,16 +90,18 @@ def model_set_diff(spark, sf_dir):
 
 
 def letters(docs):
-    """Glyph events: the letters of the first run of each block, in order; font, ink and baseline change now and then."""
-    r = M.runs(docs).where("run = 0")
-    rows = r.select("doc_id", "page_no", "ord", "x0", "family", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")
+    """Glyph events: the letters of all runs, numbered through a block; font, ink and baseline change now and then."""
+    before = F.sum("n_chars").over(Window.partitionBy("doc_id", "ord").orderBy("run")) - F.col("n_chars")
+    r = M.runs(docs).withColumn("start", before)
+    rows = r.select("doc_id", "page_no", "ord", "x0", "family", "start", F.posexplode(F.split("text", "")).alias("j", "ch")).where("ch <> ''").withColumn("i", F.col("start") + F.col("j"))
     k = F.col("ord") * 3 + F.col("i")
-    return rows.select("doc_id", "page_no", (F.col("ord") * 1000 + F.col("i")).alias("seq"), "ch", (F.col("x0") + 6 * F.col("i")).cast("double").alias("x"), F.lit(6.0).alias("width"), (F.col("ord") * 20 + F.when(k % 13 == 0, 0.5).otherwise(0.0)).alias("baseline"), F.when(k % 17 == 0, "symbol").otherwise(F.col("family")).alias("font"), (F.expr("i div 8") % 2).alias("fill"), (F.col("ord") % 9 > 0).alias("shown"))
+    return rows.select("doc_id", "page_no", (F.col("ord") * 10_000_000 + F.col("i")).alias("seq"), "ch", (F.col("x0") + 6 * F.col("j")).cast("double").alias("x"), F.lit(6.0).alias("width"), (F.col("ord") * 20 + F.when(k % 13 == 0, 0.5).otherwise(0.0)).alias("baseline"), F.when(k % 17 == 0, "symbol").otherwise(F.col("family")).alias("font"), (F.expr("i div 8") % 2).alias("fill"), (F.col("ord") % 9 > 0).alias("shown"))
 
 
 _LETTERS = """
-g0 AS (SELECT doc_id, page_no, ord, x0, family, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS ch FROM runs WHERE run = 0),
-glyphs AS (SELECT doc_id, page_no, ord * 1000 + i AS seq, ch, (x0 + 6 * i)::DOUBLE AS x, 6.0::DOUBLE AS width, ord * 20 + CASE WHEN (ord * 3 + i) % 13 = 0 THEN 0.5 ELSE 0 END AS baseline, CASE WHEN (ord * 3 + i) % 17 = 0 THEN 'symbol' ELSE family END AS font, i // 8 % 2 AS fill, ord % 9 > 0 AS shown FROM g0)"""
+g0 AS (SELECT doc_id, page_no, ord, x0, family, start, unnest(range(length(text))) AS j, unnest(string_split(text, '')) AS ch FROM (SELECT *, (sum(n_chars) OVER (PARTITION BY doc_id, ord ORDER BY run) - n_chars)::BIGINT AS start FROM runs)),
+g1 AS (SELECT *, start + j AS i FROM g0),
+glyphs AS (SELECT doc_id, page_no, ord * 10000000 + i AS seq, ch, (x0 + 6 * j)::DOUBLE AS x, 6.0::DOUBLE AS width, ord * 20 + CASE WHEN (ord * 3 + i) % 13 = 0 THEN 0.5 ELSE 0 END AS baseline, CASE WHEN (ord * 3 + i) % 17 = 0 THEN 'symbol' ELSE family END AS font, i // 8 % 2 AS fill, ord % 9 > 0 AS shown FROM g1)"""
 
 
 @query(M.sql("runs") + "," + _LETTERS + """, f AS (SELECT *, CASE WHEN abs(baseline - lag(baseline) OVER o) <= 0.01 AND font = lag(font) OVER o AND fill = lag(fill) OVER o THEN 0 ELSE 1 END AS fresh FROM glyphs WINDOW o AS (PARTITION BY doc_id, page_no ORDER BY seq)),

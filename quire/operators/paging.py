@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.sources.shared import written
+
 
 def paint_spans(nodes: DataFrame) -> DataFrame:
     """doc_id, page_no, block, span, z0, z1, n, flow: contiguous paint spans of blocks; spans of one block share a flow.
@@ -49,18 +51,41 @@ def patched(pages: DataFrame, zones: DataFrame) -> DataFrame:
     return pages.join(zones.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_semi")
 
 
+#: Buckets of a written model: files that a patch may have to write anew hold 1 / BUCKETS of the documents.
+BUCKETS = 64
+
+
+def write_model(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Writes rows (doc_id, page_no, ...) in buckets of documents, a file each, and how many buckets there are."""
+    spark = rows.sparkSession
+    own = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    own.repartition(buckets, "bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    # Spark's readers pass names with a leading underscore over
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_buckets")
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
 def write_patch(rows: DataFrame, path: str) -> None:
-    """Replaces the partitions (doc_id, page_no) of a written model that the rows have, and leaves all others."""
-    rows.repartition("doc_id", "page_no").write.partitionBy("doc_id", "page_no").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Puts rows in the place of the pages (doc_id, page_no) that they name; pages that are not there are added.
+
+    Only buckets of documents that the patch names are read and written anew, one file each, whatever the pages.  The new
+    buckets are written beside the model first, so a patch that fails on the way leaves all as it was.
+    """
+    spark = rows.sparkSession
+    buckets = spark.read.parquet(f"{path.rstrip('/')}/_buckets").first()["buckets"]
+    patch = written(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")), "patch")
+    # as many numbers as there are buckets at most
+    touched = [r.bucket for r in patch.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(patch.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
+    new = written(old.select(*rows.columns, "bucket").unionByName(patch.select(*rows.columns, "bucket")), "patched")
+    new.repartition(len(touched), "bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_report(rows: DataFrame, path: str) -> None:
     """A table as CSV with a head line."""
     rows.write.option("header", "true").mode("overwrite").csv(path)
-
-
-def rerun(stage: Column, wanted: str) -> Column:
-    """Does a stage of the analysis run again?  "text" reruns what reads texts, "hierarchy" what builds the tree."""
-    order = ("clean", "lines", "spaces", "blocks", "furniture", "profile", "headings", "tree", "roles")
-    first = {"all": 0, "text": 2, "hierarchy": 5}[wanted]
-    return F.array_position(F.array(*(F.lit(s) for s in order)), stage) > first

@@ -34,7 +34,7 @@ def with_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return blocks.join(own, ["doc_id", "ord"], "left")
 
 
-def doctags(blocks: DataFrame) -> DataFrame:
+def doctags(blocks: DataFrame, grid: int = 500) -> DataFrame:
     """doc_id, doctags.  blocks: doc_id, ord, page_no, x0, y0, x1, y1, type, level, text, otsl.
 
     A table is a block of its grid's tokens; the caption after it stands within.
@@ -48,7 +48,7 @@ def doctags(blocks: DataFrame) -> DataFrame:
     ends = F.lit("</otsl>\n")
     inner = caption & F.coalesce(F.lag("type").over(order) == "TABLE", F.lit(False))
     held = F.coalesce(F.lead("type").over(order) == "CAPTION", F.lit(False))
-    place = loc(("x0", "y0", "x1", "y1"))
+    place = loc(("x0", "y0", "x1", "y1"), grid)
     part = (
         F.when(table, F.concat(turn, F.lit("<otsl>"), place, F.lit("\n"), F.coalesce("otsl", F.lit("")), F.when(held, "").otherwise(ends)))
         .when(inner, F.concat(F.lit("<caption>"), place, said, F.lit("</caption>\n"), ends))
@@ -98,10 +98,10 @@ def markdown(blocks: DataFrame) -> DataFrame:
     return assembled(rows, "ord", "part", "markdown", "\n\n")
 
 
-def chapters(units: DataFrame) -> DataFrame:
+def chapters(units: DataFrame, least: int = MIN_CHAPTER) -> DataFrame:
     """doc_id, chapter, first, last, weight: units cut at the highest heading level that gives two chapters or more.
 
-    units: doc_id, ord, level (null: no heading), weight.  Chapters lighter than MIN_CHAPTER join the next one, the last
+    units: doc_id, ord, level (null: no heading), weight.  Chapters lighter than `least` join the next one, the last
     the one before.  The merge is a fold over a document's chapters.
     """
     levels = units.where("level is not null").groupBy("doc_id", "level").agg(F.count("*").alias("n"))
@@ -117,7 +117,7 @@ def chapters(units: DataFrame) -> DataFrame:
 
     def step(acc, x):
         joined = F.struct(F.coalesce(acc["open"]["first"], x["first"]).alias("first"), x["last"].alias("last"), (F.coalesce(acc["open"]["weight"], F.lit(0)) + x["weight"]).cast("long").alias("weight"))
-        heavy = joined["weight"] >= MIN_CHAPTER
+        heavy = joined["weight"] >= least
         return F.struct(F.when(heavy, F.concat(acc["done"], F.array(joined))).otherwise(acc["done"]).alias("done"), F.when(~heavy, joined).alias("open"))
 
     def finish(acc):

@@ -38,9 +38,9 @@ REGISTRY = {
         Option("min_chapter", "book", 400, int),
         Option("pages", "pages", "", str),
         Option("zones", "redaction", "", str),
-        Option("headings", "structure", "auto", str, ("auto", "heuristic")),
+        Option("headings", "structure", "auto", str, ("auto", "size", "none")),
+        Option("tables", "structure", True, bool),
         Option("refine", "structure", False, bool),
-        Option("language", "structure", "", str),
         Option("least_confidence", "sources", 0.8, float),
         Option("done_folder", "sources", "", str, local=True),
         Option("font_folder", "sources", "", str, local=True),

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 BLOCKS_A_PAGE = 6
 SIZES = (10, 10, 10, 11, 14, 18)
 FAMILIES = ("serif", "sans", "mono")
@@ -149,6 +151,24 @@ nodes AS (SELECT doc_id, ord AS node, CASE WHEN ord = 0 THEN NULL ELSE (ord - 1)
   page_no AS ref_page, CASE WHEN h % 19 = 0 THEN ord + 100000 ELSE ord END AS ref, text, h FROM blocks)"""
 
 
+def typed(docs: DataFrame) -> DataFrame:
+    """Blocks with a type and a level for the sinks."""
+    return with_types(blocks(docs))
+
+
+def with_types(b: DataFrame) -> DataFrame:
+    kind = F.when(F.col("size") >= 14, "HEADING").when(F.col("h") % 8 == 1, "FIGURE").when(F.col("h") % 12 == 7, "TABLE").when(T.is_list_item(F.col("text")) | (F.col("h") % 10 == 2), "ITEM").when(F.col("h") % 9 == 4, "QUOTE").when(F.col("h") % 14 == 5, "CODE").when(F.col("h") % 11 == 3, "CAPTION").otherwise("PARAGRAPH")
+    return b.withColumns({"type": kind, "level": F.when(F.col("size") == 20, 1).when(F.col("size") == 18, 2).otherwise(3).cast("long")})
+
+
+def cells(docs: DataFrame) -> DataFrame:
+    """Cells of the tables: a table's runs, four to a row, some of them with spans, the first row and column as heads."""
+    own = runs(docs).join(typed(docs).where("type = 'TABLE'").select("doc_id", "ord"), ["doc_id", "ord"], "left_semi")
+    k = F.col("ord") * 3 + F.col("run")
+    head = F.when(F.col("run") == 0, "both").when(F.col("run") < 4, "column").when(F.col("run") % 4 == 0, "row").otherwise("")
+    return own.select("doc_id", F.col("ord").alias("tbl"), F.expr("run div 4").alias("row"), F.col("run").alias("col"), F.when(k % 6 == 0, "").otherwise(F.col("text")).alias("text"), head.alias("head"), F.when(k % 7 == 5, 2).otherwise(1).alias("col_span"), F.when(k % 5 == 2, 2 + k % 2).otherwise(1).alias("row_span"))
+
+
 def sql(*tables: str) -> str:
     """WITH clause of the named tables."""
     own = {"runs": RUNS_SQL, "lettered": RUNS_SQL + "," + LETTERED_SQL, "fills": FILLS_SQL, "pictures": PICTURES_SQL, "outline": OUTLINE_SQL, "notes": NOTES_SQL, "nodes": NODES_SQL}

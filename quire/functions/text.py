@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What stands for a bullet.
 BULLETS = "•‣◦⁃·∙‧*–—-"
-#: A list marker: a bullet, a short number, or up to three letters or digits with a dot or bracket.
+#: Fixed value: a list marker: a bullet, a short number, or up to three letters or digits with a dot or bracket.
 MARKER = f"^[ \\t\\x0B\\f\\r]*([{BULLETS}]|[0-9]{{1,3}}|\\(?[A-Za-z0-9]{{1,3}}[.)])[ \\t\\x0B\\f\\r]+"
 
 
@@ -17,11 +20,17 @@ def collapse(s: Column) -> Column:
 
 def escape_xml(s: Column) -> Column:
     """& < > escaped, after characters that XML does not allow are dropped."""
+    s = F.regexp_replace(s, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        s = F.replace(s if a != "&" else F.regexp_replace(s, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""), F.lit(a), F.lit(b))
+        s = F.replace(s, F.lit(a), F.lit(b))
     return s
 
 
+def escape_attribute(s: Column) -> Column:
+    """A text as the value of an attribute between double quotes."""
+    return F.replace(escape_xml(s), F.lit('"'), F.lit("&quot;"))
+
+
 def line_key(s: Column) -> Column:
     """A line's key for comparison: collapsed, lower case, digits kept."""
     return F.lower(collapse(s))
@@ -33,8 +42,13 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longer)
 
 
+#: Fixed value: digits beyond which a number is an amount or an id and counts no pages.
+COUNTING_DIGITS = 6
+
+
 def number_shape(s: Column) -> Column:
-    return F.regexp_replace(s, "[0-9]+", "#")
+    """The text with # for each number; null, so equal to none, where a number is too long to count pages."""
+    return F.when(~s.rlike(f"[0-9]{{{COUNTING_DIGITS + 1}}}"), F.regexp_replace(s, "[0-9]+", "#"))
 
 
 def numbers(s: Column) -> Column:
@@ -72,8 +86,18 @@ def has_word(s: Column) -> Column:
     return s.rlike("\\p{L}{2,}")
 
 
-#: Latin letters with marks, and what search folds them to.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+def _folded() -> tuple[str, str]:
+    """Lower-case letters that decompose into a letter and accents (U+0300 to U+036F), and those letters."""
+    marked, plain = "", ""
+    for c in map(chr, range(0xC0, 0x2000)):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not 0x300 <= ord(x) <= 0x36F)
+        if bare != c == c.lower() and len(bare) == 1:
+            marked, plain = marked + c, plain + bare
+    return marked, plain
+
+
+#: Letters with accents, and what search folds them to.
+MARKED, PLAIN = _folded()
 
 
 def fold(s: Column) -> Column:

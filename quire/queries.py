@@ -56,9 +56,10 @@ def collapse_text(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.collapse(F.col("text")).alias("collapsed"))
 
 
-@query("SELECT page_id, replace(replace(replace(regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+@query("""WITH e AS (SELECT page_id, url, replace(replace(replace(regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages)
+SELECT page_id, escaped, replace(escaped, '"', '&quot;') AS attribute FROM e""")
 def escape_markup(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.escape_xml(F.col("html")).alias("escaped"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.escape_xml(F.col("html")).alias("escaped"), T.escape_attribute(F.col("html")).alias("attribute"))
 
 
 @query(WITH_LINES + f"""
@@ -247,7 +248,7 @@ def reading_text_by_page(spark, sf_dir):
     return readout.page_text(lines(spark, sf_dir))
 
 
-@query(WITH_LINES + f""", f AS (SELECT *, strpos(regexp_replace(translate(lower(line), '{T.MARKED}', '{T.PLAIN}'), '[\\x{{0300}}-\\x{{036F}}]', '', 'g'), 'tion') AS hit FROM lines)
+@query(WITH_LINES + f""", f AS (SELECT *, strpos(strip_accents(lower(line)), 'tion') AS hit FROM lines)
 SELECT doc_id, page_no, line_no, hit::BIGINT AS hit, substring(line, greatest(1, hit - 30), hit - greatest(1, hit - 30) + 40) AS snippet FROM f WHERE hit > 0""")
 def fold_search(spark, sf_dir):
     return readout.search(lines(spark, sf_dir), "tion")

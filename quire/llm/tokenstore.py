@@ -16,6 +16,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -156,8 +157,11 @@ class Encoder:
             odd = fresh
             if self.ends is not None:
                 marks = list(map(_odd, fresh))
-                self.together([x for x, m in zip(fresh, marks) if m is None])
                 odd = [x for x, m in zip(fresh, marks) if m is not None]
+                # letters alone are one pre-token, whatever the script, if composing and lower case leave letters alone
+                one = [x.isalpha() and x.lower().isalpha() and unicodedata.is_normalized("NFC", x) for x in odd]
+                self.together([x for x, m in zip(fresh, marks) if m is None] + [x for x, m in zip(odd, one) if m])
+                odd = [x for x, m in zip(odd, one) if not m]
             self.each(odd)
             out[at] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
         return out

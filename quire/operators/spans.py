@@ -70,14 +70,19 @@ def _page_zones(zones: DataFrame) -> DataFrame:
     return zones.groupBy(*PAGE).agg(F.collect_set(F.struct(*side)).alias("zones"))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once; a column that a lambda asks for would be computed anew for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def covered(runs: DataFrame, zones: DataFrame) -> DataFrame:
     """The runs with `hidden`: for each letter, does its body lie in a zone of its page?"""
     rows = runs.join(_page_zones(zones), PAGE, "left")
     y = F.col("y0") + BODY_Y * F.col("size")
     near = F.filter(F.coalesce("zones", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")), lambda z: (y >= z["y0"]) & (y < z["y1"]) & (z["x0"] <= F.array_max("xs") + F.col("size")) & (F.array_min("xs") <= z["x1"]))
-    rows = rows.withColumn("zones", near)
     shift = BODY_X * F.col("size")
-    return rows.withColumn("hidden", F.transform("xs", lambda x: F.exists("zones", lambda z: (x + shift >= z["x0"]) & (x + shift < z["x1"])))).drop("zones")
+    hidden = _let(near, lambda zs: F.transform("xs", lambda x: F.exists(zs, lambda z: (x + shift >= z["x0"]) & (x + shift < z["x1"]))))
+    return rows.withColumn("hidden", hidden).drop("zones")
 
 
 def cut_runs(runs: DataFrame, zones: DataFrame) -> DataFrame:
@@ -85,17 +90,23 @@ def cut_runs(runs: DataFrame, zones: DataFrame) -> DataFrame:
 
     A run of which only blanks are left has none; a run that no zone touches is one piece.
     """
-    rows = covered(runs, zones)
-    at = F.sequence(F.lit(0), F.size("hidden") - 1)
-    flag = lambda i: F.get("hidden", i)
-    starts = F.filter(at, lambda i: ~flag(i) & F.coalesce(flag(i - 1), F.lit(True)))
-    ends = F.filter(at, lambda i: ~flag(i) & F.coalesce(flag(i + 1), F.lit(True)))
-    spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
-    text = F.col("text")
-    left = F.exists(spans, lambda s: F.trim(F.substring(text, s["a"] + 1, s["b"] - s["a"])) != "")
-    n = F.size(F.filter("hidden", lambda h: h)).cast("long")
     none = F.array().cast("array<struct<a:int,b:int>>")
-    return rows.withColumns({"n_dropped": n, "spans": F.when((F.size("hidden") > 0) & ((n == 0) | left), spans).otherwise(none)}).drop("hidden")
+    text = F.col("text")
+
+    def parts(hidden: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(hidden) - 1)
+        flag = lambda i: F.get(hidden, i)
+        starts = F.filter(at, lambda i: ~flag(i) & F.coalesce(flag(i - 1), F.lit(True)))
+        ends = F.filter(at, lambda i: ~flag(i) & F.coalesce(flag(i + 1), F.lit(True)))
+        return F.when(F.size(hidden) > 0, F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))).otherwise(none)
+
+    def result(hidden: Column) -> Column:
+        n = F.size(F.filter(hidden, lambda h: h)).cast("long")
+        left = lambda spans: F.when((n == 0) | F.exists(spans, lambda s: F.trim(F.substring(text, s["a"] + 1, s["b"] - s["a"])) != ""), spans).otherwise(none)
+        return F.struct(n.alias("n_dropped"), _let(parts(hidden), left).alias("spans"))
+
+    rows = covered(runs, zones).withColumn("cut", _let(F.col("hidden"), result))
+    return rows.withColumns({"n_dropped": F.col("cut.n_dropped"), "spans": F.col("cut.spans")}).drop("hidden", "cut")
 
 
 def pieces(cut: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,19 +14,97 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 
+def _alike(p: pa.Array, q: pa.Array) -> np.ndarray:
+    """Which of two arrays' values are equal; nulls are."""
+    return pc.or_(pc.fill_null(pc.equal(p, q), False), pc.and_(pc.is_null(p), pc.is_null(q))).to_numpy(zero_copy_only=False)
+
+
+def _numbers(a: pa.Array) -> np.ndarray:
+    """An array's numbers, NaN where it has none."""
+    return pc.cast(a, pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _joined(text: pa.Array, x0: pa.Array, x1: pa.Array, shown: pa.Array, at: np.ndarray) -> dict[str, pa.Array]:
+    """Pieces joined from each place of `at` to the next: their texts, least x0, largest x1, and whether any is shown."""
+    told = lambda values, a: pa.array(values, mask=np.add.reduceat(a.is_valid().to_numpy(zero_copy_only=False).astype(int), at) == 0)
+    return {
+        "text": pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(text)), pa.int32()), pc.fill_null(text, "")), ""),
+        "x0": told(np.fmin.reduceat(_numbers(pc.fill_null(x0, float("inf"))), at), x0),
+        "x1": told(np.maximum.reduceat(_numbers(pc.fill_null(x1, float("-inf"))), at), x1),
+        "shown": pa.array(np.logical_or.reduceat(pc.fill_null(shown, False).to_numpy(zero_copy_only=False), at)),
+    }
+
+
+def strips(glyphs: DataFrame, keys: tuple[str, ...], drift: float) -> DataFrame:
+    """doc_id, page_no, strip: glyphs whose numbers follow one another and that come together, as a list of pieces of runs.
+
+    No glyph can stand between them, so their runs are known before anything is dealt, but for the first and the last.
+    Where glyphs do not come in order, strips are shorter.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in glyphs.schema}
+    ends = [(f"{k}{end}", kind[k]) for k in keys for end in ("", "_last")]
+    fields = [("seq", kind["seq"]), ("text", "array<string>"), ("x0", "array<double>"), ("x1", "array<double>"), ("shown", "array<boolean>"), ("first", "double"), ("last", "double"), *ends]
+    schema = ", ".join(f"`{n}` {t}" for n, t in [("doc_id", kind["doc_id"]), ("page_no", kind["page_no"]), *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            col = dict(zip(batch.schema.names, batch.columns))
+            after = lambda c: _alike(col[c].slice(0, n - 1), col[c].slice(1))
+            near = after("doc_id") & after("page_no") & (np.diff(pc.fill_null(col["seq"], 0).to_numpy(zero_copy_only=False)) == 1)
+            base = _numbers(col["baseline"])
+            same = near & (np.abs(np.diff(base)) <= drift)
+            for k in keys:
+                same &= after(k)
+            at, of = (np.flatnonzero(np.concatenate(([True], ~x))) for x in (same, near))
+            last = np.append(of[1:], n) - 1
+            pieces = _joined(col["ch"], col["x"], pc.add(pc.cast(col["x"], pa.float64()), pc.cast(col["width"], pa.float64())), col["shown"], at)
+            offsets = pa.array(np.append(np.searchsorted(at, of), len(at)), pa.int32())
+            out = {c: col[c].take(pa.array(of)) for c in ("doc_id", "page_no", "seq")} | {c: pa.ListArray.from_arrays(offsets, v) for c, v in pieces.items()}
+            out |= {"first": pc.cast(col["baseline"], pa.float64()).take(pa.array(of)), "last": pc.cast(col["baseline"], pa.float64()).take(pa.array(last))}
+            for k in keys:
+                out |= {k: col[k].take(pa.array(of)), f"{k}_last": col[k].take(pa.array(last))}
+            yield pa.RecordBatch.from_pydict(out)
+
+    own = glyphs.select("doc_id", "page_no", "seq", "ch", "x", "width", "baseline", "shown", *keys).mapInArrow(run, schema)
+    return own.select("doc_id", "page_no", F.struct(*(f"`{n}`" for n, _ in fields)).alias("strip"))
+
+
 def form_runs(glyphs: DataFrame, keys: tuple[str, ...] = ("font", "fill"), drift: float = 0.01) -> DataFrame:
     """doc_id, page_no, run, text, x0, x1: glyphs in order share a run while their keys are equal and the baseline stays.
 
-    glyphs: doc_id, page_no, seq, ch, x, baseline, width, shown (not clipped away) and the keys.  A run with nothing
-    shown is dropped.
+    glyphs: doc_id, page_no, seq (whole numbers), ch, x, baseline, width, shown (not clipped away) and the keys.  A run with
+    nothing shown is dropped.  What is dealt is strips, not glyphs; a page's strips then meet in order.
     """
-    order = W.partitionBy("doc_id", "page_no").orderBy("seq")
-    same = F.abs(F.col("baseline") - F.lag("baseline").over(order)) <= drift
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.lag(k).over(order))
-    rows = glyphs.withColumn("fresh", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
-    runs = rows.groupBy("doc_id", "page_no", "run").agg(F.sort_array(F.collect_list(F.struct("seq", "ch"))).alias("g"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max("shown").alias("shown"))
-    return runs.where("shown").select("doc_id", "page_no", "run", F.array_join(F.transform("g", lambda x: x["ch"]), "").alias("text"), "x0", "x1")
+    kind = {f.name: f.dataType.simpleString() for f in glyphs.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            every = lists.flatten()
+            if not len(every):
+                continue
+            strip = dict(zip((f.name for f in every.type), every.flatten()))
+            n = len(every)
+            page = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            goes_on = (np.diff(page) == 0) & (np.abs(_numbers(strip["first"])[1:] - _numbers(strip["last"])[:-1]) <= drift)
+            for k in keys:
+                goes_on &= _alike(strip[f"{k}_last"].slice(0, n - 1), strip[k].slice(1))
+            size = pc.list_value_length(strip["text"]).to_numpy(zero_copy_only=False)
+            start = np.cumsum(size) - size
+            fresh = np.ones(int(size.sum()), bool)
+            fresh[start[1:]] = ~goes_on
+            at = np.flatnonzero(fresh)
+            out = _joined(*(strip[c].flatten() for c in ("text", "x0", "x1", "shown")), at)
+            own = np.repeat(page, size)[at]
+            number = np.arange(len(at)) - np.searchsorted(own, own) + 1
+            told = {c: batch.column(i).take(pa.array(own)) for i, c in enumerate(("doc_id", "page_no"))}
+            yield pa.RecordBatch.from_pydict(told | {"run": pa.array(number, pa.int64())} | {c: out[c] for c in ("text", "x0", "x1")}).filter(out["shown"])
+
+    pages = strips(glyphs, keys, drift).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list("strip")).alias("strips"))
+    return pages.mapInArrow(run, f"doc_id {kind['doc_id']}, page_no {kind['page_no']}, run long, text string, x0 double, x1 double")
 
 
 def space_widths(fonts: DataFrame, advances: DataFrame) -> DataFrame:

@@ -48,3 +48,12 @@ def test_glyphs_are_dealt_as_strips(spark, sf_dir):
     # no window of single letters over pages
     own = plan(Q.QUERIES["run_formation"](spark, sf_dir))
     assert own.count("Window [") == 1 and own.count("MapInArrow") == 2
+
+
+def test_seams_are_judged_without_python(spark):
+    rng = random.Random(5)
+    lines = {i: [rng.choice((rng.random() / 10, rng.random(), 0.28, 0.0, 0.6 + rng.random())) for _ in range(rng.randint(1, 25))] for i in range(300)}
+    rows = [(1, i, k, x) for i, xs in lines.items() for k, x in enumerate(xs)]
+    got = G.word_gaps(spark.createDataFrame(rows, "doc_id long, line long, seam long, ratio double"))
+    assert sorted(map(tuple, got.collect())) == sorted((1, i, k, x >= G.gate(lines[i])) for _, i, k, x in rows)
+    assert "Arrow" not in plan(got)

@@ -12,27 +12,48 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Box = tuple[float, float, float, float]
 
 
+#: Groups whose rows are Python's at one time.
+AT_ONCE = 64
+
+
 def by_group(df: DataFrame, keys: list[str], run: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """run() over the rows of each group; keys are put back in front of its rows."""
+    """run() over the rows of each group; keys are put back in front of its rows.
+
+    A group is one row with a list, and many groups are a batch, as most of them are small.
+    """
     names = [x.split()[0] for x in schema.split(", ")]
     fields = df.select(*keys).schema
     full = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", " + schema
     target = df.sparkSession.createDataFrame([], full).schema
+    held = [c for c in df.columns if c not in keys]
 
-    def grouped(table: pa.Table) -> pa.Table:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        key = {k: table.column(k)[0].as_py() for k in keys}
-        out = [key | r for r in run(table.to_pylist())]
-        return pa.Table.from_pylist([{n: r[n] for n in keys + names} for r in out], to_arrow_schema(target))
-
-    return df.groupBy(*keys).applyInArrow(grouped, target)
+        arrow = to_arrow_schema(target)
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
+                lists = part.column(len(keys))
+                values = lists.flatten().flatten()
+                rows = [dict(zip(held, r)) for r in zip(*(v.to_pylist() for v in values))]
+                at, group, out = 0, [], []
+                for i, n in enumerate(pc.list_value_length(lists).to_pylist()):
+                    own = run(rows[at : at + n])
+                    at += n
+                    group += [i] * len(own)
+                    out += own
+                told = [part.column(k).take(pa.array(group, pa.int64())) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*told, *(pa.array([r[n] for r in out], arrow.field(n).type) for n in names)], schema=arrow)
+
+    return df.groupBy(*keys).agg(F.collect_list(F.struct(*held)).alias("_rows")).mapInArrow(grouped, target)
 
 
 # ---------------------------------------------------------------- lines and words
@@ -48,26 +69,39 @@ def lines_of(runs: list[dict], overlap: float = 1 / 3, cover: float = 0.5, gap:
     A run joins the first line on its axis whose tallest member it overlaps enough, unless it is stacked on a member
     (twice its size, over half its width covered).  A line is split where a gap is over half an em.
     """
+    runs = sorted(runs, key=lambda r: ((r["y0"] + r["y1"]) / 2, r["x0"], r["run"]))
+    # the least top of the runs to come: a line whose tallest member ends above it is done
+    tops = [0.0] * len(runs)
+    for i in range(len(runs) - 1, -1, -1):
+        tops[i] = runs[i]["y0"] if i + 1 == len(runs) else min(runs[i]["y0"], tops[i + 1])
     lines: list[list[dict]] = []
-    for r in sorted(runs, key=lambda r: ((r["y0"] + r["y1"]) / 2, r["x0"], r["run"])):
-        for line in lines:
-            tall = max(line, key=lambda m: m["y1"] - m["y0"])
-            low = min(r["y1"] - r["y0"], tall["y1"] - tall["y0"])
-            stacked = any(max(r["size"], m["size"]) >= 2 * min(r["size"], m["size"]) and shared(r["x0"], r["x1"], m["x0"], m["x1"]) > cover * min(r["x1"] - r["x0"], m["x1"] - m["x0"]) for m in line)
-            if r["axis"] == line[0]["axis"] and low > 0 and shared(r["y0"], r["y1"], tall["y0"], tall["y1"]) >= overlap * low and not stacked:
+    open_: list[list] = []  # [line, tallest member]
+    for r, top in zip(runs, tops):
+        open_ = [o for o in open_ if o[1]["y1"] > top]
+        height = r["y1"] - r["y0"]
+        for o in open_:
+            line, tall = o
+            low = min(height, tall["y1"] - tall["y0"])
+            if r["axis"] != line[0]["axis"] or low <= 0 or shared(r["y0"], r["y1"], tall["y0"], tall["y1"]) < overlap * low:
+                continue
+            if not any(max(r["size"], m["size"]) >= 2 * min(r["size"], m["size"]) and shared(r["x0"], r["x1"], m["x0"], m["x1"]) > cover * min(r["x1"] - r["x0"], m["x1"] - m["x0"]) for m in line):
                 line.append(r)
+                if height > tall["y1"] - tall["y0"]:
+                    o[1] = r
                 break
         else:
             lines.append([r])
+            open_.append([lines[-1], r])
     out = []
     for line in lines:
         line.sort(key=lambda r: (r["x0"], r["run"]))
-        part = [line[0]]
+        part, end = [line[0]], line[0]["x1"]
         for a, b in zip(line, line[1:]):
-            if b["x0"] - max(m["x1"] for m in part) > gap * max(a["size"], b["size"]):
+            if b["x0"] - end > gap * max(a["size"], b["size"]):
                 out.append(part)
-                part = []
+                part, end = [], b["x1"]
             part.append(b)
+            end = max(end, b["x1"])
         out.append(part)
     return out
 

@@ -57,3 +57,40 @@ def test_seams_are_judged_without_python(spark):
     got = G.word_gaps(spark.createDataFrame(rows, "doc_id long, line long, seam long, ratio double"))
     assert sorted(map(tuple, got.collect())) == sorted((1, i, k, x >= G.gate(lines[i])) for _, i, k, x in rows)
     assert "Arrow" not in plan(got)
+
+
+def plain_lines(runs):
+    """lines_of() as a walk over all lines for each run."""
+    lines = []
+    for r in sorted(runs, key=lambda r: ((r["y0"] + r["y1"]) / 2, r["x0"], r["run"])):
+        for line in lines:
+            tall = max(line, key=lambda m: m["y1"] - m["y0"])
+            low = min(r["y1"] - r["y0"], tall["y1"] - tall["y0"])
+            stacked = any(max(r["size"], m["size"]) >= 2 * min(r["size"], m["size"]) and G.shared(r["x0"], r["x1"], m["x0"], m["x1"]) > 0.5 * min(r["x1"] - r["x0"], m["x1"] - m["x0"]) for m in line)
+            if r["axis"] == line[0]["axis"] and low > 0 and G.shared(r["y0"], r["y1"], tall["y0"], tall["y1"]) >= low / 3 and not stacked:
+                line.append(r)
+                break
+        else:
+            lines.append([r])
+    out = []
+    for line in lines:
+        line.sort(key=lambda r: (r["x0"], r["run"]))
+        part = [line[0]]
+        for a, b in zip(line, line[1:]):
+            if b["x0"] - max(m["x1"] for m in part) > 0.5 * max(a["size"], b["size"]):
+                out.append(part)
+                part = []
+            part.append(b)
+        out.append(part)
+    return [[r["run"] for r in line] for line in out]
+
+
+def test_lines_that_end_above_are_not_asked_again(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(60):
+        runs = [{"run": i, "x0": (x := rng.randrange(300)), "y0": (y := rng.randrange(200)), "x1": x + rng.randrange(60), "y1": y + rng.randrange(0, 40), "size": rng.choice((5, 10, 20)), "axis": rng.choice((0, 0, 90))} for i in range(rng.randint(0, 60))]
+        assert [[r["run"] for r in line] for line in G.lines_of(runs)] == plain_lines(runs)
+    asked, shared = [0], G.shared
+    monkeypatch.setattr(G, "shared", lambda *a: asked.__setitem__(0, asked[0] + 1) or shared(*a))
+    G.lines_of([{"run": i, "x0": 100 * (i % 4), "y0": 12 * (i // 4), "x1": 100 * (i % 4) + 60, "y1": 12 * (i // 4) + 10, "size": 10, "axis": 0} for i in range(2000)])
+    assert asked[0] < 20_000

@@ -13,10 +13,17 @@ def ocr_words(rows: DataFrame) -> DataFrame:
     Words are rows of level 5 with twelve cells and text; confidence is a share, -1 where there is none; lines are
     numbered as they come.  A malformed row is left out.
     """
-    cells = rows.withColumn("c", F.split("row", "\t", -1)).where("size(c) >= 12").where("c[0] = '5'")
-    number = lambda i: F.col("c")[i].try_cast("double")
-    words = cells.select("doc_id", "no", F.trim(F.regexp_replace(F.col("c")[11], "^\\s+|\\s+$", "")).alias("text"), number(6).alias("x"), number(7).alias("y"), number(8).alias("w"), number(9).alias("h"), number(10).alias("conf"), F.array_join(F.slice("c", 2, 4), ".").alias("key"))
-    words = words.where("text <> '' and x is not null and y is not null and w is not null and h is not null and conf is not null")
+    def word(c: Column) -> Column:
+        number = lambda i: c[i].try_cast("double")
+        cells = F.struct(F.trim(F.regexp_replace(c[11], "^\\s+|\\s+$", "")).alias("text"), number(6).alias("x"), number(7).alias("y"), number(8).alias("w"), number(9).alias("h"), number(10).alias("conf"), F.array_join(F.slice(c, 2, 4), ".").alias("key"))
+        return F.when((F.size(c) >= 12) & (F.get(c, F.lit(0)) == "5"), cells)
+
+    fine = lambda x: (x["text"] != "") & x["x"].isNotNull() & x["y"].isNotNull() & x["w"].isNotNull() & x["h"].isNotNull() & x["conf"].isNotNull()
+    # a row is split once; a filter on columns of a projection would be pushed below it and split the row for each of them
+    found = F.filter(F.transform(F.array(F.split("row", "\t", -1)), word), fine)
+    words = rows.select("doc_id", "no", F.explode_outer(found).alias("f")).where("f is not null").select("doc_id", "no", "f.*")
+    # dealt once: both windows lie within documents
+    words = words.repartition("doc_id")
     first = F.min("no").over(W.partitionBy("doc_id", "key"))
     words = words.withColumn("first", first)
     line = F.dense_rank().over(W.partitionBy("doc_id").orderBy("first")) - 1

@@ -94,3 +94,11 @@ def test_lines_that_end_above_are_not_asked_again(monkeypatch):
     monkeypatch.setattr(G, "shared", lambda *a: asked.__setitem__(0, asked[0] + 1) or shared(*a))
     G.lines_of([{"run": i, "x0": 100 * (i % 4), "y0": 12 * (i // 4), "x1": 100 * (i % 4) + 60, "y1": 12 * (i // 4) + 10, "size": 10, "axis": 0} for i in range(2000)])
     assert asked[0] < 20_000
+
+
+@pytest.mark.parametrize("name", ["ocr_words", "ocr_page_text"])
+def test_rows_of_a_word_table_are_split_once(spark, sf_dir, name):
+    own = plan(Q.QUERIES[name](spark, sf_dir))
+    assert own.count("split(row#") + own.count("split(concat_ws(") == 1
+    rows = spark.createDataFrame([(1, 1, "5\t1\t1\t1\t0\t0\t1\t2\t3\t4\t50\t a "), (1, 2, "5\t1"), (1, 3, None), (1, 4, "5\t1\t1\t1\t0\t0\tx\t2\t3\t4\t50\ta"), (1, 5, "4\t1\t1\t1\t0\t0\t1\t2\t3\t4\t50\ta"), (1, 6, "5\t1\t1\t1\t1\t0\t1\t2\t3\t4\t-1\tb")], "doc_id long, no long, row string")
+    assert sorted(map(tuple, O.ocr_words(rows).collect())) == [(1, 1, "a", 1.0, 2.0, 3.0, 4.0, 0.5, 0), (1, 6, "b", 1.0, 2.0, 3.0, 4.0, -1.0, 1)]

@@ -167,30 +167,33 @@ def valley(spans: list[tuple[float, float]]) -> tuple[float, float] | None:
     if hi <= lo:
         return None
     n = min(BINS, max(1, int(hi - lo)))
-    edge = [0] * (n + 1)
+    # the profile as steps: where it changes, and what it is from there on
+    edge: dict[int, int] = {0: 0, n: 0}
     for a, b in spans:
-        edge[min(n - 1, int((a - lo) * n / (hi - lo)))] += 1
-        edge[min(n, max(int((a - lo) * n / (hi - lo)) + 1, int((b - lo) * n / (hi - lo))))] -= 1
-    profile, held = [], 0
-    for e in edge[:-1]:
-        held += e
+        i = min(n - 1, int((a - lo) * n / (hi - lo)))
+        j = min(n, max(int((a - lo) * n / (hi - lo)) + 1, int((b - lo) * n / (hi - lo))))
+        edge[i] = edge.get(i, 0) + 1
+        edge[j] = edge.get(j, 0) - 1
+    at, profile, held = sorted(edge), [], 0
+    for k in at[:-1]:
+        held += edge[k]
         profile.append(held)
-    peak = max(profile)
-    best, i = None, 0
-    before, after = 0, [0] * (n + 1)
-    for k in range(n - 1, -1, -1):
+    peak, m = max(profile), len(profile)
+    after = [0] * (m + 1)
+    for k in range(m - 1, -1, -1):
         after[k] = max(after[k + 1], profile[k])
-    while i < n:
+    best, before, i = None, 0, 0
+    while i < m:
         if profile[i] > NOISE * peak:
             before = max(before, profile[i])
             i += 1
             continue
         j = i
-        while j < n and profile[j] <= NOISE * peak:
+        while j < m and profile[j] <= NOISE * peak:
             j += 1
         depth = min(before, after[j]) / peak
         if depth >= DEPTH and (best is None or depth > best[0]):
-            best = (depth, lo + (i + j) / 2 * (hi - lo) / n)
+            best = (depth, lo + (at[i] + at[j]) / 2 * (hi - lo) / n)
         i = j
     return best
 

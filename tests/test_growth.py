@@ -96,6 +96,40 @@ def test_lines_that_end_above_are_not_asked_again(monkeypatch):
     assert asked[0] < 20_000
 
 
+def plain_valley(spans):
+    """valley() bin by bin."""
+    lo, hi = min(a for a, _ in spans), max(b for _, b in spans)
+    if hi <= lo:
+        return None
+    n = min(G.BINS, max(1, int(hi - lo)))
+    profile = [0] * n
+    for a, b in spans:
+        i = min(n - 1, int((a - lo) * n / (hi - lo)))
+        for k in range(i, min(n, max(int((a - lo) * n / (hi - lo)) + 1, int((b - lo) * n / (hi - lo))))):
+            profile[k] += 1
+    best, i = None, 0
+    while i < n:
+        j = i
+        while j < n and profile[j] <= G.NOISE * max(profile):
+            j += 1
+        if j > i:
+            depth = min(max(profile[:i], default=0), max(profile[i:], default=0)) / max(profile)
+            if j < n and depth >= G.DEPTH and (best is None or depth > best[0]):
+                best = (min(max(profile[:i], default=0), max(profile[j:])) / max(profile), lo + (i + j) / 2 * (hi - lo) / n)
+        i = max(j, i + 1)
+    return best
+
+
+def test_valleys_are_found_from_steps(spark):
+    rng = random.Random(11)
+    for _ in range(300):
+        spans = [(a := rng.choice((rng.randrange(60), rng.random() * 50)), a + rng.choice((0, 3, rng.random() * 9))) for _ in range(rng.randint(1, 9))]
+        assert G.valley(spans) == plain_valley(spans)
+    # pages come to Python many at a time
+    df = spark.createDataFrame([(i, 0, 1, 0, 0, 5, 5) for i in range(300)], "doc_id long, page_no long, ord long, x0 long, y0 long, x1 long, y1 long")
+    assert "FlatMapGroups" not in plan(G.read_order(df)) and G.read_order(df).count() == 300
+
+
 @pytest.mark.parametrize("name", ["ocr_words", "ocr_page_text"])
 def test_rows_of_a_word_table_are_split_once(spark, sf_dir, name):
     own = plan(Q.QUERIES[name](spark, sf_dir))

@@ -24,7 +24,7 @@ def broken_runs(docs):
 
     r = M.runs(docs)
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("ord", "run"))
-    rows = r.select("doc_id", "text", "size", "y0", "x0", (n * 2).cast("long").alias("n"), F.regexp_extract("text", f"^(.*{_WORD}{{3}})({_WORD}{{3}}.*)$", 1).alias("head"), F.regexp_extract("text", f"^(.*{_WORD}{{3}})({_WORD}{{3}}.*)$", 2).alias("rest"))
+    rows = r.select("doc_id", "text", "size", "y0", "x0", (n * 2).cast("long").alias("n"), *(F.when(n % 3 == 0, F.regexp_extract("text", f"^(.*{_WORD}{{3}})({_WORD}{{3}}.*)$", i)).alias(c) for i, c in ((1, "head"), (2, "rest"))))
     split = (F.col("n") % 6 == 0) & (F.col("head") != "")
     # capitals of ß differ between engines
     loose = (F.col("n") % 24 == 6) & ~F.contains("rest", F.lit("ß"))
@@ -107,7 +107,7 @@ j AS (SELECT p.*, match, said, greatest(ms, start) - start AS a, least(me, start
 k AS (SELECT *, b + length(regexp_extract(substr(text, b + 1), '^[ \\t\\n\\x0B\\f\\r]*', 0)) AS ink FROM j)
 SELECT doc_id, page_no, ord, run, match::BIGINT AS match, said, (x0 + 6 * a)::DOUBLE AS x0, y0::DOUBLE AS y0, (CASE WHEN ink < length(text) THEN x0 + 6 * ink ELSE x0 + 6 * (b - 1) + 0.6 * size END)::DOUBLE AS x1, (y0 + 1.1 * size)::DOUBLE AS y1 FROM k""")
 def regex_zones(spark, sf_dir):
-    return P.pattern_zones(M.lettered(documents(spark, sf_dir)), _NAMES)
+    return P.pattern_zones(M.spaced_runs(documents(spark, sf_dir)), _NAMES, M.letter_places())
 
 
 typed = M.typed

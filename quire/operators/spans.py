@@ -41,12 +41,13 @@ def match_spans(placed: DataFrame, pattern: str) -> DataFrame:
     return rows.where("said <> ''").select("doc_id", "ord", "match", "said", (F.col("m_end") - F.length("said")).alias("m_start"), "m_end")
 
 
-def pattern_zones(runs: DataFrame, pattern: str) -> DataFrame:
+def pattern_zones(runs: DataFrame, pattern: str, xs: Column | str = "xs") -> DataFrame:
     """doc_id, page_no, ord, run, match, said, x0, y0, x1, y1: a box for every run that a match touches.
 
     It reaches from the first letter that is touched to the next letter with ink, at the end of the run a body's width
     beyond the last.  The pattern sees a paragraph as one text, lines parted by line breaks.  Runs meet matches in
-    buckets of places, so a long paragraph is no pair of all with all.
+    buckets of places, so a long paragraph is no pair of all with all.  xs may be an expression of the runs' columns, which is
+    then made of runs that have matches only.
     """
     placed = units(runs)
     found = match_spans(placed.select("doc_id", "ord", "run", "piece"), pattern)
@@ -58,7 +59,7 @@ def pattern_zones(runs: DataFrame, pattern: str) -> DataFrame:
     once = F.col("bucket") == F.greatest(F.expr(f"start div {BUCKET}"), F.expr(f"m_start div {BUCKET}"))
     rows = rows.join(found, ["doc_id", "ord", "bucket"]).withColumns({"a": (a - F.col("start")).cast("int"), "b": (b - F.col("start")).cast("int")}).where((F.col("a") < F.col("b")) & once)
     ink = F.col("b") + F.length(F.regexp_extract(F.expr("substr(text, b + 1)"), "^[ \\t\\n\\x0B\\f\\r]*", 0))
-    rows = rows.withColumn("ink", ink).withColumns({"left": F.get("xs", F.col("a")), "right": F.coalesce(F.get("xs", F.col("ink")), F.get("xs", F.col("b") - 1) + LAST * F.col("size"))})
+    rows = rows.withColumn("ink", ink).withColumn("xs", F.col(xs) if isinstance(xs, str) else xs).withColumns({"left": F.get("xs", F.col("a")), "right": F.coalesce(F.get("xs", F.col("ink")), F.get("xs", F.col("b") - 1) + LAST * F.col("size"))})
     return rows.select(*PAGE, "ord", "run", "match", "said", F.least("left", "right").alias("x0"), F.col("y0").cast("double").alias("y0"), F.greatest("left", "right").alias("x1"), (F.col("y0") + HEIGHT * F.col("size")).alias("y1"))
 
 
@@ -75,13 +76,13 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def covered(runs: DataFrame, zones: DataFrame) -> DataFrame:
-    """The runs with `hidden`: for each letter, does its body lie in a zone of its page?"""
-    rows = runs.join(_page_zones(zones), PAGE, "left")
+def covered(runs: DataFrame, zones: DataFrame, how: str = "left") -> DataFrame:
+    """The runs with `hidden`: for each letter, does its body lie in a zone of its page?  An inner join gives runs of pages with zones only."""
+    rows = runs.join(_page_zones(zones), PAGE, how)
     y = F.col("y0") + BODY_Y * F.col("size")
     near = F.filter(F.coalesce("zones", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")), lambda z: (y >= z["y0"]) & (y < z["y1"]) & (z["x0"] <= F.array_max("xs") + F.col("size")) & (F.array_min("xs") <= z["x1"]))
     shift = BODY_X * F.col("size")
-    hidden = _let(near, lambda zs: F.transform("xs", lambda x: F.exists(zs, lambda z: (x + shift >= z["x0"]) & (x + shift < z["x1"]))))
+    hidden = _let(near, lambda zs: F.when(F.size(zs) == 0, F.array_repeat(F.lit(False), F.size("xs"))).otherwise(F.transform("xs", lambda x: F.exists(zs, lambda z: (x + shift >= z["x0"]) & (x + shift < z["x1"])))))
     return rows.withColumn("hidden", hidden).drop("zones")
 
 
@@ -98,7 +99,8 @@ def cut_runs(runs: DataFrame, zones: DataFrame) -> DataFrame:
         flag = lambda i: F.get(hidden, i)
         starts = F.filter(at, lambda i: ~flag(i) & F.coalesce(flag(i - 1), F.lit(True)))
         ends = F.filter(at, lambda i: ~flag(i) & F.coalesce(flag(i + 1), F.lit(True)))
-        return F.when(F.size(hidden) > 0, F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))).otherwise(none)
+        whole = F.array(F.struct(F.lit(0).alias("a"), F.size(hidden).alias("b")))
+        return F.when(F.size(hidden) == 0, none).when(~F.array_contains(hidden, True), whole).otherwise(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b"))))
 
     def result(hidden: Column) -> Column:
         n = F.size(F.filter(hidden, lambda h: h)).cast("long")
@@ -118,7 +120,8 @@ def pieces(cut: DataFrame) -> DataFrame:
 
 def proof(before: DataFrame, after: DataFrame, zones: DataFrame) -> DataFrame:
     """doc_id, n_before, n_after, clean: letters in the zones before and after, of documents that have any before."""
-    count = lambda df, name: covered(df, zones).groupBy("doc_id").agg(F.sum(F.size(F.filter("hidden", lambda h: h))).cast("long").alias(name))
+    # pages without zones count nothing
+    count = lambda df, name: covered(df, zones, "inner").groupBy("doc_id").agg(F.sum(F.size(F.filter("hidden", lambda h: h))).cast("long").alias(name))
     rows = count(before, "n_before").where("n_before > 0").join(count(after, "n_after"), "doc_id", "left")
     return rows.select("doc_id", "n_before", F.coalesce("n_after", F.lit(0)).alias("n_after"), (F.coalesce("n_after", F.lit(0)) == 0).alias("clean"))
 

@@ -3,11 +3,12 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from quire import queries as Q
 from quire.operators import glyphs as Y
 from quire.operators import grouped as G
+from quire.plans import bridge
+from quire.plans import model as M
 from quire.sources import words as O
 
 
@@ -16,10 +17,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def dealt(df):
-    return sum(line.lstrip(" +-:*()0123456789").startswith("Exchange") for line in plan(df).split("\n"))
-
-
 def test_glyphs_are_dealt_as_strips(spark, sf_dir):
     rng = random.Random(3)
     rows = []
@@ -136,3 +133,9 @@ def test_rows_of_a_word_table_are_split_once(spark, sf_dir, name):
     assert own.count("split(row#") + own.count("split(concat_ws(") == 1
     rows = spark.createDataFrame([(1, 1, "5\t1\t1\t1\t0\t0\t1\t2\t3\t4\t50\t a "), (1, 2, "5\t1"), (1, 3, None), (1, 4, "5\t1\t1\t1\t0\t0\tx\t2\t3\t4\t50\ta"), (1, 5, "4\t1\t1\t1\t0\t0\t1\t2\t3\t4\t50\ta"), (1, 6, "5\t1\t1\t1\t1\t0\t1\t2\t3\t4\t-1\tb")], "doc_id long, no long, row string")
     assert sorted(map(tuple, O.ocr_words(rows).collect())) == [(1, 1, "a", 1.0, 2.0, 3.0, 4.0, 0.5, 0), (1, 6, "b", 1.0, 2.0, 3.0, 4.0, -1.0, 1)]
+
+
+@pytest.mark.parametrize("name", ["redact_cut_runs", "redact_apply_proof", "redact_purge_refs"])
+def test_letters_come_without_a_window(spark, sf_dir, name):
+    assert "Window" not in plan(M.lettered(Q.documents(spark, sf_dir))) and "Exchange" not in plan(M.lettered(Q.documents(spark, sf_dir)))
+    assert "Window" not in plan(Q.QUERIES[name](spark, sf_dir))

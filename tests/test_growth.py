@@ -139,3 +139,7 @@ def test_rows_of_a_word_table_are_split_once(spark, sf_dir, name):
 def test_letters_come_without_a_window(spark, sf_dir, name):
     assert "Window" not in plan(M.lettered(Q.documents(spark, sf_dir))) and "Exchange" not in plan(M.lettered(Q.documents(spark, sf_dir)))
     assert "Window" not in plan(Q.QUERIES[name](spark, sf_dir))
+
+
+def test_a_pair_is_compared_once(spark, sf_dir):
+    assert plan(Q.QUERIES["compare_texts"](spark, sf_dir)).count("MapInArrow") == 1

@@ -43,14 +43,17 @@ def word_runs(line, line_no, y, size):
 def page_runs(lines: DataFrame, every: int = 97) -> DataFrame:
     """doc_id, page_no, line_no, runs, boxes: the runs of each line, and the opaque boxes of its page.
 
-    Boxes lie over some words, by number, and are painted after them.  One exchange: lines by page.
+    Boxes lie over some words, by number, and are painted after them.  One exchange: lines by page, as texts; runs are made after
+    it, and before it for the lines that have a box only.
     """
-    rows = lines.withColumn("runs", word_runs(F.col("line"), F.col("line_no"), F.col("y"), F.col("size")))
-    covered = F.filter("runs", lambda r: F.pmod(F.col("doc_id") * 31 + r["word_no"] + F.col("line_no"), F.lit(every)) == 0)
+    runs = word_runs(F.col("line"), F.col("line_no"), F.col("y"), F.col("size"))
+    covered = F.filter(runs, lambda r: F.pmod(F.col("doc_id") * 31 + r["word_no"] + F.col("line_no"), F.lit(every)) == 0)
     box = F.transform(covered, lambda r: F.struct(r["x"].alias("x0"), (r["x"] + 5.0 * F.length(r["word"])).alias("x1"), (r["y"] - 0.2 * r["size"]).alias("y0"), (r["y"] + 0.8 * r["size"]).alias("y1"), (r["z"] + 0.5).alias("z")))
-    rows = rows.select("doc_id", "page_no", "line_no", "runs", box.alias("own"))
+    # the number of the first word that a box would cover
+    first = F.pmod(-(F.col("doc_id") * 31 + F.col("line_no")), F.lit(every))
+    rows = lines.select("doc_id", "page_no", "line_no", "line", "y", "size", F.when(first < F.size(F.split("line", " ", -1)), box).alias("own"))
     boxes = F.flatten(F.collect_list("own").over(W.partitionBy("doc_id", "page_no")))
-    return rows.withColumn("boxes", boxes).drop("own")
+    return rows.select("doc_id", "page_no", "line_no", "line", "y", "size", boxes.alias("boxes")).select("doc_id", "page_no", "line_no", runs.alias("runs"), "boxes")
 
 
 def hidden(run, boxes):
@@ -67,7 +70,7 @@ def hidden_words(pages: DataFrame) -> DataFrame:
 
 def redacted(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, line_no, runs: what remains once hidden words are cut out."""
-    return pages.withColumn("runs", F.filter("runs", lambda r: ~hidden(r, F.col("boxes")))).drop("boxes")
+    return pages.withColumn("runs", F.when(F.size("boxes") == 0, F.col("runs")).otherwise(F.filter("runs", lambda r: ~hidden(r, F.col("boxes"))))).drop("boxes")
 
 
 def page_set(lines: DataFrame, slots: list[int]) -> DataFrame:

@@ -23,7 +23,8 @@ def lines(docs: DataFrame, lines_a_page: int = LINES_A_PAGE) -> DataFrame:
         parts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / WORDS_A_LINE).cast("int"))
         return F.transform(parts, lambda i: F.struct(no.alias("para_no"), i.alias("part"), F.slice(words, i * WORDS_A_LINE + 1, WORDS_A_LINE).alias("words")))
 
-    rows = docs.select("doc_id", "source", F.posexplode(F.flatten(F.transform(paras, lines_of))).alias("line_no", "l"))
+    # the list is never empty; a plain explode would test that, and make the list twice
+    rows = docs.select("doc_id", "source", F.posexplode_outer(F.flatten(F.transform(paras, lines_of))).alias("line_no", "l"))
     rows = rows.select("doc_id", "source", "line_no", "l.para_no", "l.part", F.array_join("l.words", " ").alias("line"), F.size("l.words").cast("long").alias("n_words"))
     title = (F.col("para_no") == 0) & (F.col("part") == 0)
     number = F.col("line_no").cast("long")

@@ -143,3 +143,8 @@ def test_letters_come_without_a_window(spark, sf_dir, name):
 
 def test_a_pair_is_compared_once(spark, sf_dir):
     assert plan(Q.QUERIES["compare_texts"](spark, sf_dir)).count("MapInArrow") == 1
+
+
+def test_lines_are_made_once(spark, sf_dir):
+    # a plain explode has a filter below it that makes the list as well
+    assert "Filter (" not in plan(bridge.lines(Q.documents(spark, sf_dir)))

@@ -148,3 +148,7 @@ def test_a_pair_is_compared_once(spark, sf_dir):
 def test_lines_are_made_once(spark, sf_dir):
     # a plain explode has a filter below it that makes the list as well
     assert "Filter (" not in plan(bridge.lines(Q.documents(spark, sf_dir)))
+
+
+def test_joined_lines_meet_titles_by_hash(spark, sf_dir):
+    assert "xxhash64" in plan(Q.QUERIES["outline_alignment"](spark, sf_dir))

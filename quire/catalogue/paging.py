@@ -18,7 +18,10 @@ SELECT doc_id, page_no, block, z0, z1, n, CASE WHEN count(*) OVER (PARTITION BY
 def paragraph_flow(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    r = M.runs(documents(spark, sf_dir))
+    # narrow rows shrink so much on their way that partitions put together by their size are large in memory, in several sorts
+    # at once; a number of partitions that is given is left as it is
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = M.runs(documents(spark, sf_dir)).select("doc_id", "page_no", "ord", "run").repartition(n, "doc_id", "page_no")
     z = F.row_number().over(W.partitionBy("doc_id", "page_no").orderBy("run", "ord")).cast("long")
     own = r.select("doc_id", "page_no", z.alias("z"), F.when((F.col("ord") + F.col("run")) % 5 > 0, F.expr("ord div 2")).alias("block"), F.lit(1).alias("step"))
     return P.paint_spans(own)

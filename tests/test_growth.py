@@ -152,3 +152,9 @@ def test_lines_are_made_once(spark, sf_dir):
 
 def test_joined_lines_meet_titles_by_hash(spark, sf_dir):
     assert "xxhash64" in plan(Q.QUERIES["outline_alignment"](spark, sf_dir))
+
+
+def test_pages_keep_their_partitions(spark, sf_dir):
+    # partitions that are put together by their size on the way are large in memory
+    own = plan(Q.QUERIES["paragraph_flow"](spark, sf_dir))
+    assert own.count("Exchange") == 1 and "REPARTITION_BY_NUM" in own

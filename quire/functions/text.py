@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions import edits
+
 #: What stands for a bullet.
 BULLETS = "•‣◦⁃·∙‧*–—-"
 #: Fixed value: a list marker: a bullet, a short number, or up to three letters or digits with a dot or bracket.
@@ -36,10 +39,20 @@ def line_key(s: Column) -> Column:
     return F.lower(collapse(s))
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """The edit distance of two texts, many at a time."""
+
+    @F.arrow_udf("int")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(edits.distances(a.to_pylist(), b.to_pylist()), pa.int32())
+
+    return run(a, b)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; two empty texts are equal."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longer)
+    return F.when(longer == 0, 1.0).otherwise(1.0 - edit_distance(a, b) / longer)
 
 
 #: Fixed value: digits beyond which a number is an amount or an id and counts no pages.
@@ -51,6 +64,10 @@ def number_shape(s: Column) -> Column:
     return F.when(~s.rlike(f"[0-9]{{{COUNTING_DIGITS + 1}}}"), F.regexp_replace(s, "[0-9]+", "#"))
 
 
+def has_number(s: Column) -> Column:
+    return s.rlike("[0-9]")
+
+
 def numbers(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit("[0-9]+"), 0)
 

@@ -60,34 +60,50 @@ def level_reconcile(blocks: DataFrame) -> DataFrame:
 
 def similar_lines(key, other, gap):
     """Score of two line keys `gap` pages apart: 1 if they count the pages (one number advances by gap, the others stay), else their similarity."""
-    same_shape = T.number_shape(key) == T.number_shape(other)
+    # most lines have no number, and none is looked for a second time
+    same_shape = T.has_number(key) & (T.number_shape(key) == T.number_shape(other))
     steps = F.zip_with(T.numbers(key), T.numbers(other), lambda a, b: F.try_subtract(b.try_cast("long"), a.try_cast("long")))
     counting = same_shape & (F.size(F.filter(steps, lambda s: s == gap)) == 1) & (F.size(F.filter(steps, lambda s: s == 0)) == F.size(steps) - 1)
     return F.when(F.coalesce(counting, F.lit(False)), 1.0).otherwise(T.similarity(key, other))
 
 
-def edge_strength(ranked: DataFrame, depth: str, name: str) -> DataFrame:
-    """Adds the strength of each line as the one that is `depth` lines from its edge of the page.
+def edge_strength(ranked: DataFrame, edges: dict[str, str]) -> DataFrame:
+    """Adds, for each of the depths, the strength of each line as the one that is that many lines from its edge of the page: depth -> name.
 
     The larger of two means: over the pages two before and two after, and over the pages one before and one after.  A
-    page without a line at this depth counts as 0, one that the document has not is left out.
+    page without a line at this depth counts as 0, one that the document has not is left out.  Two lines that meet at
+    more than one depth are compared once.
     """
-    own = W.partitionBy("doc_id", depth).orderBy("page_no")
     key, page = F.col("key"), F.col("page_no")
-    # the line `gap` pages on is among the next `gap` rows
-    at = lambda gap, row: F.when(F.lead(page, row).over(own) == page + gap, F.lead(key, row).over(own))
-    ahead = ranked.withColumns({"_other1": at(1, 1), "_other2": F.coalesce(at(2, 1), at(2, 2))})
-    score = lambda gap: F.coalesce(similar_lines(key, F.col(f"_other{gap}"), gap), F.lit(0.0))
-    ahead = ahead.withColumns({f"_on{gap}": score(gap) for gap in (1, 2)})
-    back = lambda gap, row: F.when(F.lag(page, row).over(own) == page - gap, F.lag(f"_on{gap}", row).over(own))
-    both = ahead.withColumns({"_back1": F.coalesce(back(1, 1), F.lit(0.0)), "_back2": F.coalesce(back(2, 1), back(2, 2), F.lit(0.0))})
-
-    def mean(gap):
-        n = (page >= gap).cast("int") + (page + gap < F.col("n_pages")).cast("int")
-        return F.when(n > 0, (F.col(f"_on{gap}") + F.col(f"_back{gap}")) / n).otherwise(0.0)
-
-    scored = both.withColumn(name, F.round(F.greatest(mean(1), mean(2)), 6))
-    return scored.drop(*[f"_{part}{gap}" for part in ("other", "on", "back") for gap in (1, 2)])
+    rows, seen = ranked.withColumn("_line", F.struct("slot", "key")), []
+    order = {depth: W.partitionBy("doc_id", depth).orderBy("page_no") for depth in edges}
+    for depth, own in order.items():
+        # the line `gap` pages on is among the next `gap` rows
+        at = lambda gap, row: F.when(F.lead(page, row).over(own) == page + gap, F.lead("_line", row).over(own))  # noqa: E731, B023
+        rows = rows.withColumns({f"_{depth}1": at(1, 1), f"_{depth}2": F.coalesce(at(2, 1), at(2, 2))})
+    for depth in edges:
+
+        def score(gap):
+            other, known = F.col(f"_{depth}{gap}"), F.lit(None).cast("double")
+            for d in seen:
+                known = F.coalesce(known, F.when(other["slot"] == F.col(f"_{d}{gap}")["slot"], F.col(f"_on_{d}{gap}")))
+            return F.coalesce(known, similar_lines(F.when(known.isNull(), key), other["key"], gap), F.lit(0.0))
+
+        rows = rows.withColumns({f"_on_{depth}{gap}": score(gap) for gap in (1, 2)})
+        seen.append(depth)
+    # what comes from Python has lost its place by document; scores are dealt once for both depths, without the texts
+    rows = rows.drop("_line", *(f"_{depth}{gap}" for depth in edges for gap in (1, 2))).repartition("doc_id")
+    for depth, own in order.items():
+        on = lambda gap: F.col(f"_on_{depth}{gap}")  # noqa: E731, B023
+        back = lambda gap, row: F.when(F.lag(page, row).over(own) == page - gap, F.lag(on(gap), row).over(own))  # noqa: E731, B023
+        rows = rows.withColumns({"_back1": F.coalesce(back(1, 1), F.lit(0.0)), "_back2": F.coalesce(back(2, 1), back(2, 2), F.lit(0.0))})
+
+        def mean(gap):
+            n = (page >= gap).cast("int") + (page + gap < F.col("n_pages")).cast("int")
+            return F.when(n > 0, (on(gap) + F.col(f"_back{gap}")) / n).otherwise(0.0)
+
+        rows = rows.withColumn(edges[depth], F.round(F.greatest(mean(1), mean(2)), 6)).drop("_back1", "_back2")
+    return rows.drop(*(f"_on_{depth}{gap}" for depth in edges for gap in (1, 2)))
 
 
 def furniture(lines: DataFrame, least: float = 0.6) -> DataFrame:
@@ -100,8 +116,9 @@ def furniture(lines: DataFrame, least: float = 0.6) -> DataFrame:
     text = lines.select("doc_id", "page_no", "slot", "size", "y", T.line_key(F.col("line")).alias("key"))
     pages = text.groupBy("doc_id").agg((F.max("page_no") + 1).alias("n_pages"), T.upper_median(F.collect_list(F.when(F.col("key") != "", F.col("size")))).alias("body")).where("n_pages >= 3")
     down, up = (W.partitionBy("doc_id", "page_no").orderBy(o) for o in (F.col("slot"), F.col("slot").desc()))
-    ranked = text.where("key <> ''").join(pages, "doc_id").withColumns({"top": F.row_number().over(down), "foot": F.row_number().over(up)})
-    scored = edge_strength(edge_strength(ranked, "top", "strength"), "foot", "foot_strength")
+    # a document's lines are dealt once: every window below is of one document
+    ranked = text.where("key <> ''").repartition("doc_id").join(pages, "doc_id").withColumns({"top": F.row_number().over(down), "foot": F.row_number().over(up)})
+    scored = edge_strength(ranked, {"top": "strength", "foot": "foot_strength"})
 
     def run(strength, order):
         near = F.coalesce(F.abs(F.lag("y").over(order) - F.col("y")) <= 2 * F.lag("size").over(order), F.lit(True))

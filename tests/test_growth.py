@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire import queries as Q
+from quire.functions import edits
 from quire.operators import glyphs as Y
 from quire.operators import grouped as G
 from quire.plans import bridge
@@ -150,6 +152,21 @@ def test_lines_are_made_once(spark, sf_dir):
     assert "Filter (" not in plan(bridge.lines(Q.documents(spark, sf_dir)))
 
 
+def test_edit_distances_of_many_pairs(spark):
+    rng = random.Random(13)
+    texts = ["", "a", "ab", "日本語😀", "x" * 700, "x" * 350 + "y" * 349] + ["".join(rng.choice(rng.choice(("ab", "abcdefgh é", "𝒳ß \0"))) for _ in range(rng.choice((3, 7, 8, 31, 63, 64, 65, 90)))) for _ in range(150)]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(1500)] + [(None, "a"), ("a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert edits.distances(*zip(*pairs)) == [r.x for r in df.select(F.levenshtein("a", "b").alias("x")).collect()]
+
+
+@pytest.mark.parametrize("name", ["furniture_header", "furniture_footer"])
+def test_lines_of_a_document_are_dealt_once(spark, sf_dir, name):
+    # once as lines, once as scores, and the pages of the document; no distance letter by letter
+    own = plan(Q.QUERIES[name](spark, sf_dir))
+    assert own.count("Exchange hashpartitioning") <= 3 and "levenshtein" not in own
+
+
 def test_joined_lines_meet_titles_by_hash(spark, sf_dir):
     assert "xxhash64" in plan(Q.QUERIES["outline_alignment"](spark, sf_dir))
 

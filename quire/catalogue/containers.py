@@ -134,8 +134,9 @@ def container_structures(spark, sf_dir):
 @query(M.sql("notes") + """ SELECT doc_id, page_no, lower(kind) AS type, 'annotation' AS what, NULL AS name, x0::DOUBLE AS x0, y1::DOUBLE AS y1 FROM notes WHERE kind <> 'FIELD'
 UNION ALL SELECT doc_id, page_no, 'text', 'field', 'f' || note, x0, y1 FROM notes WHERE kind = 'FIELD'""")
 def container_annots(spark, sf_dir):
-    own = kept(spark, sf_dir).where("kind = 'annots'")
-    box = [F.col("rect")[0].alias("x0"), F.col("rect")[3].alias("y1")]
-    page = F.col("page_no").cast("long").alias("page_no")
-    marks = C.annotation_rows(own).select(doc_id(), page, "type", F.lit("annotation").alias("what"), F.lit(None).cast("string").alias("name"), *box)
-    return marks.unionByName(C.field_rows(own).select(doc_id(), page, "type", F.lit("field").alias("what"), "name", *box))
+    own = C.noted_pages(kept(spark, sf_dir, "path string, kind string, content binary").where("kind = 'annots'"))
+    # both lists of a page come from one reading of its container
+    thing = lambda what, name: lambda x: F.struct(x["type"].alias("type"), F.lit(what).alias("what"), name(x).alias("name"), x["rect"][0].alias("x0"), x["rect"][3].alias("y1"))
+    listed = lambda c, what, name: F.coalesce(F.transform(c, thing(what, name)), F.array())
+    both = F.concat(listed("annots", "annotation", lambda x: F.lit(None).cast("string")), listed("fields", "field", lambda x: x["name"]))
+    return own.select(doc_id(), F.col("page_no").cast("long").alias("page_no"), F.explode(both).alias("t")).select("doc_id", "page_no", "t.*")

@@ -14,6 +14,7 @@ import re
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -28,12 +29,13 @@ from quire.sources.files import MOST_CONTAINER, MOST_MEMBER
 #: Fixed values of the format: the package folder, its version, and members by name.
 PACKAGE, VERSION = "OEBPS/", "4"
 MODEL = ("meta", "outline", "structures", "annots")
-#: Bytes of containers that make a task.
-TASK_BYTES = 64 << 20
+#: Bytes of containers that make a task, what opening one counts as, and up to which size one is read at a go.
+TASK_BYTES, OPEN_BYTES, WHOLE = 64 << 20, 8 << 10, 256 << 10
 SCHEMA = "path string, name string, kind string, page_no int, n_bytes long, content binary"
 _TYPES = {"path": pa.string(), "name": pa.string(), "kind": pa.string(), "page_no": pa.int32(), "n_bytes": pa.int64(), "content": pa.binary()}
 
 
+@lru_cache(1 << 16)
 def kind_of(name: str) -> str:
     """What a member is by its name."""
     rest = name.removeprefix(PACKAGE)
@@ -143,29 +145,37 @@ class ContainerReader(D.DataSourceReader):
         room = 0
         for x in sorted(found, key=lambda x: x.path):
             if passes(by_path, {"path": head + x.path}):
-                if room < x.size:
+                cost = x.size + OPEN_BYTES
+                if room < cost:
                     out.append([])
                     room = TASK_BYTES
                 out[-1].append(head + x.path)
-                room -= x.size
+                room -= cost
         return [Task(x) for x in out] or [Task([])]
 
     def rows(self, uri: str) -> Iterator[dict]:
         fs, path = opened(uri)
         total = 0
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+        # page numbers are made of the package, so they wait until a page passes all other filters
+        plain, by_page = ([f for f in self.filters if (f.attribute == ("page_no",)) == x] for x in (False, True))
+        numbers: dict[str, int] | None = None if by_page or "page_no" in self.names else {}
+        with fs.open_input_file(path) as f, zipfile.ZipFile(io.BytesIO(f.read()) if f.size() <= WHOLE else f) as z:
             meta = [i for i in z.infolist() if kind_of(i.filename) == "meta"]
             if not meta:
                 raise ValueError(f"{uri}: no meta.json: a foreign package is a book, not a model")
             version = json.loads(read_member(z, meta[0])).get("version")
             if version != VERSION:
                 raise ValueError(f"{uri}: version {version}, where {VERSION} is read")
-            numbers = page_numbers(z)
             for info in z.infolist():
                 if info.is_dir():
                     continue
-                row = {"path": uri, "name": info.filename, "kind": kind_of(info.filename), "page_no": numbers.get(info.filename), "n_bytes": info.file_size, "content": None}
-                if not passes(self.filters, row):
+                row = {"path": uri, "name": info.filename, "kind": kind_of(info.filename), "page_no": None, "n_bytes": info.file_size, "content": None}
+                if not passes(plain, row):
+                    continue
+                if row["kind"] == "page":
+                    numbers = page_numbers(z) if numbers is None else numbers
+                    row["page_no"] = numbers.get(info.filename)
+                if not passes(by_page, row):
                     continue
                 if "content" in self.names:
                     row["content"] = read_member(z, info, self.most_member)
@@ -294,9 +304,14 @@ def layer_rows(members: DataFrame) -> DataFrame:
     return m.select("path", F.col("l.id").alias("layer_id"), "l.name", F.coalesce("l.visible", F.lit(True)).alias("visible"), F.coalesce("l.order", F.lit(0)).alias("ord"), F.col("l.ocr.engine").alias("ocr_engine"), F.col("l.ocr.prep").alias("ocr_prep"))
 
 
-def _page_things(members: DataFrame, what: str) -> DataFrame:
+def noted_pages(members: DataFrame) -> DataFrame:
+    """path, page_no, annots, fields: the notes of every page as the container has them."""
     pages = text_of(members, "annots").select("path", F.explode(F.from_json("json", _ANNOTS)["pages"]).alias("page", "of"))
-    return pages.select("path", page_index(F.col("page")).alias("page_no"), F.posexplode(f"of.{what}").alias("no", "a"))
+    return pages.select("path", page_index(F.col("page")).alias("page_no"), "of.annots", "of.fields")
+
+
+def _page_things(members: DataFrame, what: str) -> DataFrame:
+    return noted_pages(members).select("path", "page_no", F.posexplode(what).alias("no", "a"))
 
 
 def annotation_rows(members: DataFrame) -> DataFrame:

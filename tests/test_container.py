@@ -4,8 +4,10 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
+from quire import queries as Q
 from quire.sources import container as C
 
 OPF = '<package><manifest><item id="a" href="pages/page-003.xhtml"/><item id="b" href="pages/page-001.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>'
@@ -61,6 +63,25 @@ def test_pages_follow_the_spine_and_filters_reach_the_source(spark, tmp_path):
     assert "Filter (" not in plan and "quire_container" in plan
 
 
+def test_small_containers_are_read_at_little_cost(spark, tmp_path, monkeypatch):
+    for i in range(20):
+        packed(tmp_path / f"{i}.epub")
+    reader = C.ContainerReader({"path": str(tmp_path)}, ["path", "kind", "content"])
+    # opening counts, so many small containers are no one task
+    monkeypatch.setattr(C, "TASK_BYTES", 5 * C.OPEN_BYTES)
+    tasks = reader.partitions()
+    assert len(tasks) > 4 and sum(len(t.uris) for t in tasks) == 20
+    # the package is not looked at for what asks for no page number
+    monkeypatch.setattr(C, "page_numbers", lambda z: 1 / 0)
+    reader.filters = [D.EqualTo(("kind",), "meta")]
+    assert [r["kind"] for t in tasks for u in t.uris for r in reader.rows(u)] == ["meta"] * 20
+
+
+def test_notes_come_from_one_reading(spark, sf_dir):
+    own = Q.QUERIES["container_annots"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert own.count("BatchScan") == 1
+
+
 def test_kinds(spark, tmp_path):
     packed(tmp_path / "a.epub")
     rows = C.read_containers(spark, str(tmp_path / "a.epub"), "name string, kind string, page_no int").collect()

@@ -20,11 +20,8 @@ _WORD = "[\\p{L}\\p{Nd}]"
 
 def broken_runs(docs):
     """Runs numbered through a document; some end on a hyphen within a word, and the next goes on with its rest."""
-    from pyspark.sql import Window as W
-
-    r = M.runs(docs)
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("ord", "run"))
-    rows = r.select("doc_id", "text", "size", "y0", "x0", (n * 2).cast("long").alias("n"), *(F.when(n % 3 == 0, F.regexp_extract("text", f"^(.*{_WORD}{{3}})({_WORD}{{3}}.*)$", i)).alias(c) for i, c in ((1, "head"), (2, "rest"))))
+    n = F.col("n")
+    rows = M.numbered_runs(docs).select("doc_id", "text", "size", "y0", "x0", (n * 2).cast("long").alias("n"), *(F.when(n % 3 == 0, F.regexp_extract("text", f"^(.*{_WORD}{{3}})({_WORD}{{3}}.*)$", i)).alias(c) for i, c in ((1, "head"), (2, "rest"))))
     split = (F.col("n") % 6 == 0) & (F.col("head") != "")
     # capitals of ß differ between engines
     loose = (F.col("n") % 24 == 6) & ~F.contains("rest", F.lit("ß"))
@@ -55,10 +52,7 @@ def hyphen_join(spark, sf_dir):
 l AS (SELECT *, lag(text) OVER o AS pt, lag(x0) OVER o AS px FROM n0 WINDOW o AS (PARTITION BY doc_id ORDER BY run))
 SELECT doc_id, run, CASE WHEN coalesce(NOT ends_with(pt, '-') AND x0 <= px + 0.01 AND text <> '' AND pt <> '', FALSE) THEN ' ' ELSE '' END || text AS text FROM l""")
 def line_back_space(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("ord", "run"))
-    return A.spaced(M.runs(documents(spark, sf_dir)).select("doc_id", "text", "x0", n.cast("long").alias("run")))
+    return A.spaced(M.numbered_runs(documents(spark, sf_dir)).select("doc_id", "text", "x0", F.col("n").cast("long").alias("run")))
 
 
 _INLINE = "h % 3 = 1 AND parent IS NOT NULL"

@@ -25,7 +25,8 @@ def joined_hyphens(runs: DataFrame, drop: float = 0.5) -> DataFrame:
     """
     order = W.partitionBy("doc_id").orderBy("run")
     rows = runs.withColumns({"next": F.ltrim(F.lead("text").over(order)), "fall": F.lead("y").over(order) - F.col("y"), "em": F.greatest("size", F.lead("size").over(order))})
-    left, right = F.regexp_extract("text", f"([{_LETTER}]+)-$", 1), F.regexp_extract("next", f"^([{_LETTER}]+)", 1)
+    # few runs have a hyphen at all
+    left, right = F.when(F.contains("text", F.lit("-")), F.regexp_extract("text", f"([{_LETTER}]+)-$", 1)), F.regexp_extract("next", f"^([{_LETTER}]+)", 1)
     rows = rows.withColumns({"left": left, "right": right}).where((F.col("left") != "") & (F.col("right") != "") & (F.col("fall") > drop * F.col("em")))
     rows = rows.select("doc_id", "run", "left", "right", F.lower(F.concat("left", F.lit("-"), "right")).alias("compound"), F.lower(F.concat("left", "right")).alias("whole"))
     words = written_words(runs)

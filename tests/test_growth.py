@@ -152,6 +152,22 @@ def test_lines_are_made_once(spark, sf_dir):
     assert "Filter (" not in plan(bridge.lines(Q.documents(spark, sf_dir)))
 
 
+def test_runs_are_numbered_without_a_window(spark, sf_dir):
+    texts = ["one two three four five\n\n \t\nsix", "", None, "\n\n", "a  b\tc d e f g h i", "x " * 30 + "\ny"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = M.runs(docs).columns
+    got = [tuple(r) for r in M.numbered_runs(docs).select("doc_id", "n", *names[1:]).orderBy("doc_id", "n").collect()]
+    want, n = [], {}
+    for r in M.runs(docs).orderBy("doc_id", "ord", "run").collect():
+        n[r[0]] = n.get(r[0], 0) + 1
+        want.append((r[0], n[r[0]], *r[1:]))
+    assert got == want
+    own = plan(M.numbered_runs(Q.documents(spark, sf_dir)))
+    assert "Window" not in own and "Exchange" not in own
+    # the next run, and the joins with the words that are written
+    assert plan(Q.QUERIES["hyphen_join"](spark, sf_dir)).count("Window [") == 1
+
+
 def test_edit_distances_of_many_pairs(spark):
     rng = random.Random(13)
     texts = ["", "a", "ab", "日本語😀", "x" * 700, "x" * 350 + "y" * 349] + ["".join(rng.choice(rng.choice(("ab", "abcdefgh é", "𝒳ß \0"))) for _ in range(rng.choice((3, 7, 8, 31, 63, 64, 65, 90)))) for _ in range(150)]

@@ -168,6 +168,11 @@ def test_runs_are_numbered_without_a_window(spark, sf_dir):
     assert plan(Q.QUERIES["hyphen_join"](spark, sf_dir)).count("Window [") == 1
 
 
+def test_cells_are_made_of_tables_only(spark, sf_dir):
+    own = plan(M.cells(Q.documents(spark, sf_dir)))
+    assert "Join" not in own and "Exchange" not in own
+
+
 def test_edit_distances_of_many_pairs(spark):
     rng = random.Random(13)
     texts = ["", "a", "ab", "日本語😀", "x" * 700, "x" * 350 + "y" * 349] + ["".join(rng.choice(rng.choice(("ab", "abcdefgh é", "𝒳ß \0"))) for _ in range(rng.choice((3, 7, 8, 31, 63, 64, 65, 90)))) for _ in range(150)]

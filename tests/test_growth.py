@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import queries as Q
+from quire.catalogue import sources as C
 from quire.functions import edits
 from quire.operators import glyphs as Y
 from quire.operators import grouped as G
@@ -49,6 +50,32 @@ def test_glyphs_are_dealt_as_strips(spark, sf_dir):
     assert own.count("Window [") == 1 and own.count("MapInArrow") == 2
 
 
+def test_letters_are_not_dealt(spark, sf_dir):
+    # texts are dealt once, by document; letters and pieces of runs are not
+    own = plan(Q.QUERIES["run_formation"](spark, sf_dir))
+    assert own.count("Exchange ") == 1 and "explode(split(text" not in own
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("aé漢😀e\u0301\u200d\x00-") for _ in range(rng.randint(1, 30)))
+    docs = [(i, "\n".join(" \t".join(word() for _ in range(rng.choice((0, 1, 3, 4, 9, 40)))) for _ in range(rng.choice((1, 2, 7, 20, 70))))) for i in range(25)]
+    docs = spark.createDataFrame([*docs, (30, None), (31, ""), (32, " \n\t\n  "), (33, "x" * 70_000 + "\n" + "y z " * 9000)], "doc_id long, text string").repartition(3)
+    rows = C.set_runs(docs)
+    events = C.letters(docs)
+    (batch,) = rows.toArrow().combine_chunks().to_batches()
+    made = C.letters_of(batch).to_pydict()
+    assert list(made) == events.columns
+    assert sorted(zip(*made.values())) == sorted(map(tuple, events.collect()))
+    want = sorted(map(tuple, Y.form_runs(events).collect()))
+    dealt = rows.repartition(3, "doc_id")
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            # pages are joined past the ends of batches, and put in order where they are not
+            for own in (dealt.sortWithinPartitions("doc_id", "ord", "run"), dealt.sortWithinPartitions("doc_id", "page_no", F.desc("ord"), F.col("run") % 3)):
+                assert sorted(map(tuple, Y.form_runs(own, made=C.letters_of).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_seams_are_judged_without_python(spark):
     rng = random.Random(5)
     lines = {i: [rng.choice((rng.random() / 10, rng.random(), 0.28, 0.0, 0.6 + rng.random())) for _ in range(rng.randint(1, 25))] for i in range(300)}
